@@ -86,6 +86,29 @@ def deltas(
     )
 
 
+def order_violations(
+    df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str],
+    width: int = SLICE_ROWS,
+) -> DataFrame:
+    """Per group, how many rows sort before the row above them: ``groups``, ``violations``."""
+    groups = list(groups)
+    sliced = df.select(
+        *groups, order, F.struct(*values).alias("row_values"), _slice(order, width).alias("slice_no")
+    )
+    inner = W.partitionBy(*groups, "slice_no").orderBy(order)
+    interior = sliced.select(
+        *groups, F.lag("row_values").over(inner).alias("before"), F.col("row_values").alias("after")
+    )
+    edges = sliced.groupBy(*groups, "slice_no").agg(
+        F.min_by("row_values", order).alias("after"), F.max_by("row_values", order).alias("last_values")
+    )
+    by_slice = W.partitionBy(*groups).orderBy("slice_no")
+    borders = edges.select(*groups, F.lag("last_values").over(by_slice).alias("before"), "after")
+    return interior.unionByName(borders).groupBy(*groups).agg(
+        F.count_if(F.col("after") < F.col("before")).alias("violations")
+    )
+
+
 def slot_table(
     df: DataFrame, groups: Sequence[str], ts: str, order: str, width_seconds: int,
     payload: Sequence[str] = (),

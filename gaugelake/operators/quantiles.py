@@ -42,10 +42,9 @@ def weighted_quantiles(
         label, F.col(value).cast("double").alias("v"), F.col(weight).alias("w")
     )
     slices = branch * branch
-    cut_at = [i / slices for i in range(1, slices)]
-    cuts = values.groupBy(label).agg(
-        F.percentile_approx("v", cut_at, slices * 10).alias("cuts"), F.sum("w").alias("total")
-    )
+    cut_at = ",".join(f"{i / slices}D" for i in range(1, slices))
+    sketch = F.expr(f"percentile_approx(v, array({cut_at}), {slices * 10})")
+    cuts = values.groupBy(label).agg(sketch.alias("cuts"), F.sum("w").alias("total"))
     # Cut k of the coarse list starts at fine slice k * branch.
     steps = F.array(*[F.lit(i) for i in range(branch)])
     cuts = cuts.select(

@@ -65,11 +65,11 @@ def excess_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     )
 
 
-def keys_across(df: DataFrame, key: str, part: str) -> DataFrame:
-    """Key values present in more than one part, with the number of parts."""
+def keys_across(df: DataFrame, groups: Sequence[str], key: str, part: str) -> DataFrame:
+    """Key values of a group present in more than one part, with first and last part."""
     return (
         df.where(F.col(key).isNotNull())
-        .groupBy(key)
+        .groupBy(*groups, key)
         .agg(F.min(part).alias("first_part"), F.max(part).alias("last_part"),
              F.count(F.lit(1)).alias("row_count"))
         .where(F.col("first_part") < F.col("last_part"))

@@ -171,8 +171,8 @@ def is_valid() -> Column:
     return F.size("issues") == 0
 
 
-def valid_rows(df: DataFrame) -> DataFrame:
-    """Rows without issues, in the normalised schema."""
+def valid_rows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows without issues, in the normalised schema, followed by the ``keep`` columns."""
     return df.where(is_valid()).select(
         "record_index",
         "event_timestamp_local",
@@ -180,12 +180,13 @@ def valid_rows(df: DataFrame) -> DataFrame:
         *[(F.col(n) == 1.0).alias(n) for n in C.DIGITAL],
         F.to_date("event_timestamp_local").alias("source_date"),
         F.lit(C.TIMEZONE_STATUS).alias("event_timestamp_timezone_status"),
+        *keep,
     )
 
 
 def quarantine_rows(
     df: DataFrame, pipeline_version: str, processing_timestamp: Column,
-    lineage: dict[str, Column] | None = None,
+    lineage: dict[str, Column] | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rejected rows with their text, fields, every failed rule and the caller's context."""
     lineage = lineage or {}
@@ -203,5 +204,5 @@ def quarantine_rows(
         **lineage,
     }
     return df.where(~is_valid()).select(
-        *[columns.get(name, absent).alias(name) for name in C.QUARANTINE_COLUMNS]
+        *[columns.get(name, absent).alias(name) for name in C.QUARANTINE_COLUMNS], *keep
     )

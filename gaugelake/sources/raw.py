@@ -43,6 +43,11 @@ def source_date_of(file_path: Column) -> Column:
     return F.nullif(F.regexp_extract(file_path, SOURCE_DATE_KEY, 1), F.lit("")).try_cast("date")
 
 
+def plain_path(path: Column) -> Column:
+    """One spelling for local paths, which some readers give with extra slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def block_table(lines: DataFrame) -> DataFrame:
     """One row per file block: counts, first line and how many rows of the object precede it.
 
@@ -59,7 +64,7 @@ def block_table(lines: DataFrame) -> DataFrame:
         F.bool_and("is_well_formed").alias("is_well_formed"),
     )
     # File URLs arrive percent-encoded; paths are decoded here, once per block.
-    decoded = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    decoded = plain_path(F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B"))))
     blocks = blocks.select(
         "*",
         F.regexp_replace(decoded, "/[^/]*$", "").alias("object_key"),
