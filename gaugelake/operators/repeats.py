@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,31 +27,50 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def flag_repeats(
-    df: DataFrame, keys: Sequence[str], flag: str, spread: Sequence[str],
+    df: DataFrame, groups: Sequence[str], keys: Mapping[str, str], spread: Sequence[str],
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """``df`` plus a boolean: does another row share this row's keys?
+    """``df`` plus one boolean per entry of ``keys`` (flag name to key column): does another
+    row of the same group hold this row's key? Null keys never do.
 
-    Rows of heavy keys and rows with a null key cannot match in the shuffled join; they are
-    salted by ``spread`` (columns that identify a row) so they never pile up in one task. When
-    the staged key table is small, Spark broadcasts it and no row moves at all.
+    All keys are counted in one pass. Rows of heavy keys and rows with a null key cannot match
+    in the shuffled join; they are salted by ``spread`` (columns that identify a row) so they
+    never pile up in one task. When the staged key table is small, Spark broadcasts it and no
+    row moves at all.
     """
-    keys = list(keys)
-    counts = stage(repeated_keys(df, keys), f"repeats-{flag}")
+    groups = list(groups)
+    entries = F.array(
+        *[
+            F.struct(F.lit(flag).alias("flag"), F.col(key).cast("string").alias("key_text"))
+            for flag, key in keys.items()
+        ]
+    )
+    long = df.select(*groups, F.inline(entries))
+    counts = stage(repeated_keys(long, [*groups, "flag", "key_text"]), "repeats")
+    flagged = df
+    for flag, key in keys.items():
+        flagged = _flag(flagged, counts.where(F.col("flag") == flag), groups, flag, key, spread, heavy_rows)
+    return flagged
+
+
+def _flag(
+    df: DataFrame, counts: DataFrame, groups: list[str], flag: str, key: str,
+    spread: Sequence[str], heavy_rows: int,
+) -> DataFrame:
+    on = [*groups, "key_text"]
     heavy = counts.where(F.col("occurrences") >= heavy_rows)
     light = counts.where(F.col("occurrences") < heavy_rows)
-    heavy = F.broadcast(heavy.select(*keys, F.lit(True).alias("is_heavy")))
-    light = light.select(*keys, F.lit(0).cast("bigint").alias("salt"), F.lit(True).alias("is_light"))
-    any_null = F.lit(False)
-    for key in keys:
-        any_null = any_null | F.col(key).isNull()
-    salted = df.join(heavy, keys, "left").withColumn(
+    heavy = F.broadcast(heavy.select(*on, F.lit(True).alias("is_heavy")))
+    light = light.select(*on, F.lit(0).cast("bigint").alias("salt"), F.lit(True).alias("is_light"))
+    keyed = df.withColumn("key_text", F.col(key).cast("string"))
+    salted = keyed.join(heavy, on, "left").withColumn(
         "salt",
         F.when(
-            F.col("is_heavy") | any_null, F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1
+            F.col("is_heavy") | F.col("key_text").isNull(),
+            F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1,
         ).otherwise(F.lit(0).cast("bigint")),
     )
-    return salted.join(light, [*keys, "salt"], "left").select(
+    return salted.join(light, [*on, "salt"], "left").select(
         *df.columns,
         (F.col("is_heavy").isNotNull() | F.col("is_light").isNotNull()).alias(flag),
     )

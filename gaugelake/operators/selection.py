@@ -18,9 +18,15 @@ def month_table(spark: SparkSession, known_start: date, known_end: date) -> Data
     """Every month of the known range with its terminal-partial flag."""
     if known_start > known_end:
         raise ValueError("known source range is reversed")
-    bounds = spark.range(1).select(
-        F.lit(known_start).alias("known_source_start"), F.lit(known_end).alias("known_source_end")
+    return months_of(
+        spark.range(1).select(
+            F.lit(known_start).alias("known_source_start"), F.lit(known_end).alias("known_source_end")
+        )
     )
+
+
+def months_of(bounds: DataFrame) -> DataFrame:
+    """``month_table`` for a one-row frame of ``known_source_start`` and ``known_source_end``."""
     first = F.explode(
         F.sequence(
             F.trunc("known_source_start", "MM"), F.trunc("known_source_end", "MM"),
@@ -253,9 +259,12 @@ def month_reconciliation(inputs: DataFrame, curated: DataFrame) -> DataFrame:
         F.sum("valid_row_count").alias("selected_row_count"),
         F.sum("quarantine_row_count").alias("quarantine_row_count"),
     )
-    return totals.join(curated, MONTH, "left").select(
+    counted = totals.join(curated, MONTH, "left").withColumn(
+        "curated_row_count", F.coalesce("curated_row_count", F.lit(0))
+    )
+    return counted.select(
         "*",
-        F.coalesce(F.col("curated_row_count") == F.col("selected_row_count"), F.lit(False)).alias(
+        (F.col("curated_row_count") == F.col("selected_row_count")).alias(
             "curated_equals_selected_valid"
         ),
         (

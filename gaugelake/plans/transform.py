@@ -64,7 +64,7 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
     """
     parsed = stage(parsed_lines(lines), "parsed")
     blocks = stage(raw.block_table(parsed), "blocks")
-    objects = stage(raw.object_table(blocks), "objects")
+    objects = raw.object_table(blocks)
     passed = objects.where(
         ~F.col("schema_drift") & ~F.col("empty_input") & F.col("is_utf8")
         & F.col("is_well_formed") & F.col("source_date").isNotNull()
@@ -75,12 +75,10 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
         .where(F.col("source_row_number") > 0)
         .join(passed, "object_key", "left_semi")
     )
-    position = ["object_key", "source_row_number"]
     flagged = repeats.flag_repeats(
-        numbered, ["object_key", "record_index"], "repeats_index", position
-    )
-    flagged = repeats.flag_repeats(
-        flagged, ["object_key", "event_timestamp_local"], "repeats_timestamp", position
+        numbered, ["object_key"],
+        {"repeats_index": "record_index", "repeats_timestamp": "event_timestamp_local"},
+        ["object_key", "source_row_number"],
     )
     judged = rules.with_object_issues(
         flagged, "source_date", "repeats_index", "repeats_timestamp"

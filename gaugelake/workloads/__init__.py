@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reporting",)
+_MODULES = ("reporting", "validation", "history", "lakes")
 
 
 def _registries():
