@@ -283,7 +283,7 @@ def curated_state(spark: SparkSession, lake: Lake, inventory: DataFrame) -> Data
     """Inventory months beside re-read rows, checksums and completion rows."""
     folders = compact.run_folders(spark, lake, inventory)
     empty = tables.read_normalized(spark, lake.curated, *compact.RUN).limit(0)
-    curated = compact.read_curated(spark, lake, folders) if folders else empty
+    curated = compact.read_curated(spark, lake, folders, True) if folders else empty
     evidence = conformance.curated_evidence(curated, compact.RUN).withColumnsRenamed(
         {"first_timestamp": "seen_first", "last_timestamp": "seen_last"}
     )

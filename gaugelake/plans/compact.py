@@ -35,8 +35,12 @@ class ImmutableRunConflict(RuntimeError):
     """A run directory exists with rows other than those of its identity."""
 
 
-def read_curated(spark: SparkSession, lake: Lake, below: list[str] | None = None) -> DataFrame:
-    return tables.read_normalized(spark, lake.curated, *RUN, below=below)
+def read_curated(
+    spark: SparkSession, lake: Lake, below: list[str] | None = None, tolerate_damage: bool = False
+) -> DataFrame:
+    return tables.read_normalized(
+        spark, lake.curated, *RUN, below=below, tolerate_damage=tolerate_damage
+    )
 
 
 def run_folders(spark: SparkSession, lake: Lake, runs: DataFrame) -> list[str]:

@@ -89,14 +89,14 @@ def staged_evidence(
         .agg(
             F.sum("row_count").alias("staged_row_count"),
             F.bool_and(
-                (F.col("columns") == expected) & ~F.col("timestamp_zoned")
+                F.col("is_readable") & (F.col("columns") == expected) & ~F.col("timestamp_zoned")
                 & ((F.col("row_count") == 0) | (F.array_join("codecs", ",") == "SNAPPY"))
             ).alias("staged_is_conformant"),
         )
     )
     sums = objects.object_checksums(spark, below or lake.staging, "*.parquet")
     rows = tables.read_normalized(
-        spark, lake.staging, "year", "month", "day", "input_id", below=below
+        spark, lake.staging, "year", "month", "day", "input_id", below=below, tolerate_damage=True
     )
     path = raw.plain_path(F.col("_metadata.file_path"))
     position = F.struct(F.length(path), path, F.col("_metadata.row_index"))

@@ -76,7 +76,7 @@ def object_checksums(
 _FOOTER_SCHEMA = (
     "file_path string, row_count long, row_group_count long, largest_row_group long, "
     "codecs array<string>, columns array<string>, timestamp_zoned boolean, "
-    "metadata_has_path boolean"
+    "metadata_has_path boolean, is_readable boolean"
 )
 
 
@@ -87,6 +87,7 @@ def _footer_reader(path_text: str, names: list[str]):
         import re
 
         import pandas as pd
+        import pyarrow as pa
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -96,10 +97,15 @@ def _footer_reader(path_text: str, names: list[str]):
             for path in batch["file_path"]:
                 # Local paths need the three-slash form here.
                 uri = re.sub("^file:/+", "file:///", path)
-                system, inner = fs.FileSystem.from_uri(uri)
-                with system.open_input_file(inner) as stream:
-                    parquet = pq.ParquetFile(stream)
-                    footer, schema = parquet.metadata, parquet.schema_arrow
+                try:
+                    system, inner = fs.FileSystem.from_uri(uri)
+                    with system.open_input_file(inner) as stream:
+                        parquet = pq.ParquetFile(stream)
+                        footer, schema = parquet.metadata, parquet.schema_arrow
+                except (pa.ArrowInvalid, OSError):
+                    # A damaged file is a finding of the caller, not a failed task.
+                    found.append((path, None, None, None, [], [], False, False, False))
+                    continue
                 groups = [footer.row_group(g) for g in range(footer.num_row_groups)]
                 codecs = {g.column(c).compression for g in groups for c in range(g.num_columns)}
                 notes = [v.decode(errors="replace") for v in (schema.metadata or {}).values()]
@@ -108,7 +114,7 @@ def _footer_reader(path_text: str, names: list[str]):
                     max((g.num_rows for g in groups), default=0), sorted(codecs),
                     [f"{f.name}:{f.type}" for f in schema],
                     any(getattr(f.type, "tz", None) is not None for f in schema),
-                    any(path_pattern.search(n) for n in notes),
+                    any(path_pattern.search(n) for n in notes), True,
                 ))
             yield pd.DataFrame(found, columns=names)
 

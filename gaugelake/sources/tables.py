@@ -33,16 +33,20 @@ QUARANTINE_SCHEMA = T.StructType(
 
 
 def read_normalized(
-    spark: SparkSession, folder: str, *partitions: str, below: list[str] | None = None
+    spark: SparkSession, folder: str, *partitions: str, below: list[str] | None = None,
+    tolerate_damage: bool = False,
 ) -> DataFrame:
     """Staging or curated rows with their directory columns as text, and file positions.
 
-    ``below`` limits the read to some folders inside ``folder``.
+    ``below`` limits the read to some folders inside ``folder``. Evidence scans tolerate a
+    damaged file, whose rows then count as absent; scans that feed outputs must not.
     """
     schema = T.StructType(
         [*contract.NORMALIZED_SCHEMA.fields, *[T.StructField(p, T.StringType()) for p in partitions]]
     )
-    reader = spark.read.schema(schema).option("basePath", folder)
+    reader = spark.read.schema(schema).option("basePath", folder).option(
+        "ignoreCorruptFiles", str(tolerate_damage).lower()
+    )
     return reader.parquet(*(below or [folder])).select("*", "_metadata")
 
 
