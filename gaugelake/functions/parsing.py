@@ -13,6 +13,7 @@ FLOAT_TEXT = (
     rf"^{SPACE}*[+-]?((\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?"
     rf"|(?i:inf|infinity|nan)){SPACE}*$"
 )
+SIMPLE_NUMBER = r"^-?\d{1,15}(?:\.\d{1,15})?$"
 NAN_TEXT = r"(?i)^[+-]?nan$"
 CSV_FIELD = r'"(?:[^"]++|"")*+"|[^",][^,]*+|'
 CSV_LINE = rf"^(?:{CSV_FIELD})(?:,(?:{CSV_FIELD}))*$"
@@ -37,8 +38,9 @@ def record_index(text: Column) -> Column:
 
 
 def numeric(text: Column) -> Column:
+    """Decimal, exponent, infinite and NaN spellings; most texts end at the first test."""
     compact = _compact(text)
-    return F.when(
+    return F.when(text.rlike(SIMPLE_NUMBER), text.try_cast("double")).when(
         text.rlike(FLOAT_TEXT),
         F.when(compact.rlike(NAN_TEXT), F.lit(float("nan"))).otherwise(compact.try_cast("double")),
     )
@@ -49,7 +51,7 @@ def is_finite(value: Column) -> Column:
 
 
 def without_carriage_return(line: Column) -> Column:
-    return F.regexp_replace(line, "\r$", "")
+    return F.when(line.endswith("\r"), F.left(line, F.char_length(line) - 1)).otherwise(line)
 
 
 def csv_is_well_formed(line: Column) -> Column:

@@ -36,7 +36,7 @@ def weighted_quantiles(
     its own task. The answer does not depend on the sketch.
 
     ``label`` is a report label such as a column name. What is broadcast has one row per label
-    (``branch`` squared doubles each) or one per label and wanted rank, whatever the data size.
+    (``branch`` squared doubles in all) or one per label and wanted rank, whatever the data size.
     """
     values = counts.where(F.col(value).isNotNull()).select(
         label, F.col(value).cast("double").alias("v"), F.col(weight).alias("w")
@@ -44,24 +44,28 @@ def weighted_quantiles(
     slices = branch * branch
     cut_at = ",".join(f"{i / slices}D" for i in range(1, slices))
     sketch = F.expr(f"percentile_approx(v, array({cut_at}), {slices * 10})")
-    cuts = values.groupBy(label).agg(sketch.alias("cuts"), F.sum("w").alias("total"))
-    # Cut k of the coarse list starts at fine slice k * branch.
+    cuts = stage(values.groupBy(label).agg(sketch.alias("cuts"), F.sum("w").alias("total")), "cuts")
+    # Cut k of the coarse list starts at fine slice k * branch. The two lists are joined one
+    # after the other, so a row never carries more than ``branch`` cuts.
     steps = F.array(*[F.lit(i) for i in range(branch)])
-    cuts = cuts.select(
+    coarse = cuts.select(
         label, "total",
         F.transform(F.slice(steps, 2, branch - 1), lambda i: F.get("cuts", i * branch - 1)).alias("coarse"),
-        F.transform(steps, lambda i: F.slice("cuts", i * branch + 1, branch - 1)).alias("fine"),
+    )
+    fine = cuts.select(label, "cuts", F.explode(steps).alias("coarse_no")).select(
+        label, "coarse_no",
+        F.slice("cuts", F.col("coarse_no") * branch + 1, F.lit(branch - 1)).alias("fine"),
     )
 
     def below(candidates):
         return F.size(F.filter(candidates, lambda c: c < F.col("v")))
 
     sliced = (
-        values.join(F.broadcast(cuts), label)
-        .withColumn("coarse_no", below(F.col("coarse")))
-        .withColumn("fine_no", below(F.get("fine", F.col("coarse_no"))))
+        values.join(F.broadcast(coarse), label)
+        .select(label, "v", "w", "total", below("coarse").alias("coarse_no"))
+        .join(F.broadcast(fine), [label, "coarse_no"])
         .select(label, "v", "w", "total",
-                (F.col("coarse_no") * branch + F.col("fine_no")).alias("slice_no"))
+                (F.col("coarse_no") * branch + below("fine")).alias("slice_no"))
     )
     sliced = stage(sliced, "slices")
     totals = sliced.groupBy(label, "slice_no").agg(

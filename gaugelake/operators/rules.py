@@ -13,7 +13,7 @@ from gaugelake.functions import parsing
 # values in the domain. Most lines do, and skip the rule-by-rule work.
 PLAIN_LINE = (
     r"^[+-]?\d{1,18},\d{4}-\d\d-\d\d \d\d:\d\d:\d\d"
-    rf"(?:,-?\d{{1,15}}(?:\.\d{{1,15}})?){{{len(C.ANALOGUE_FIELDS)}}}"
+    rf"(?:,-?\d{{1,15}}(?:\.\d{{1,15}})?(?:[eE][+-]?\d\d?)?){{{len(C.ANALOGUE_FIELDS)}}}"
     rf"(?:,[01](?:\.0{{1,15}})?){{{len(C.DIGITAL_FIELDS)}}}\r?$"
 )
 _NUMBERS = C.ANALOGUE + C.DIGITAL

@@ -15,7 +15,7 @@ from gaugelake.operators import selection as S
 from gaugelake.plans import lake as L
 from gaugelake.plans import publish
 from gaugelake.plans.lake import Lake
-from gaugelake.session import stage
+from gaugelake.session import stage, together
 from gaugelake.sources import objects, tables
 
 RUN = ["year", "month", "run_id"]
@@ -161,8 +161,12 @@ def compact_months(
         raise RuntimeError("monthly reconciliation failed")
     if not completion.isEmpty():
         boundaries = continuity.selection_boundaries(inputs, S.MONTH)
-        L.write_ledger(boundaries, lake.control("selection_boundary"), *S.MONTH)
-        L.write_ledger(inputs.join(runs, S.MONTH), lake.control("compaction_selection"), *S.MONTH)
+        selected = inputs.join(runs, S.MONTH)
+        together(
+            spark,
+            lambda: L.write_ledger(boundaries, lake.control("selection_boundary"), *S.MONTH),
+            lambda: L.write_ledger(selected, lake.control("compaction_selection"), *S.MONTH),
+        )
         L.write_ledger(completion, lake.control("compaction_run"), *S.MONTH)
     refused = rejected.groupBy(*S.MONTH).agg(
         F.array_sort(F.collect_set("finding")).alias("findings")

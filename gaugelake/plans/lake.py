@@ -131,9 +131,13 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def write_ledger(rows: DataFrame, path: str, *partitions: str) -> None:
-    """Replace the partitions present in ``rows``; others stay. This is the commit point."""
+    """Replace the partitions present in ``rows``; others stay. This is the commit point.
+
+    The partition count is given, because the rows are few and the files many.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
     (
-        rows.repartition(*partitions)
+        rows.repartition(tasks, *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)

@@ -14,7 +14,7 @@ from gaugelake.operators import resume, rules
 from gaugelake.plans import lake as L
 from gaugelake.plans import transform
 from gaugelake.plans.lake import Lake
-from gaugelake.session import stage
+from gaugelake.session import stage, together
 from gaugelake.sources import objects, raw, tables
 
 
@@ -42,9 +42,11 @@ class Run:
         }
 
 
-def raw_evidence(spark: SparkSession, lake: Lake, run: Run) -> DataFrame:
+def raw_evidence(
+    spark: SparkSession, lake: Lake, run: Run, folders: list[str] | None = None
+) -> DataFrame:
     """Current raw objects with checksum and the identity of their processing."""
-    found = objects.object_checksums(spark, lake.raw, "*")
+    found = objects.object_checksums(spark, folders or lake.raw, "*")
     dated = found.select(
         "object_key",
         raw.source_date_of(F.concat("object_key", F.lit("/part"))).alias("source_date"),
@@ -75,7 +77,7 @@ def staged_evidence(
 
     ``below`` limits the work to some folders of the staging zone.
     """
-    if not L.exists(spark, lake.staging):
+    if below == [] or not L.exists(spark, lake.staging):
         return spark.createDataFrame(
             [], "staging_key string, source_date date, staged_row_count long, staged_first timestamp_ntz,"
             " staged_last timestamp_ntz, staged_byte_size long, staged_sha256 string,"
@@ -123,12 +125,14 @@ def staged_evidence(
     )
 
 
-def quarantine_evidence(spark: SparkSession, lake: Lake) -> DataFrame:
-    if not L.exists(spark, lake.quarantine):
+def quarantine_evidence(
+    spark: SparkSession, lake: Lake, below: list[str] | None = None
+) -> DataFrame:
+    if below == [] or not L.exists(spark, lake.quarantine):
         return spark.createDataFrame(
             [], "quarantine_key string, source_date date, rejected_byte_size long, rejected_sha256 string"
         )
-    return objects.object_checksums(spark, lake.quarantine, "*.json").select(
+    return objects.object_checksums(spark, below or lake.quarantine, "*.json").select(
         L.relative(lake, F.col("object_key")).alias("quarantine_key"),
         F.regexp_extract("object_key", "/source_date=([0-9-]+)", 1).try_cast("date").alias("source_date"),
         F.col("byte_size").alias("rejected_byte_size"),
@@ -136,47 +140,68 @@ def quarantine_evidence(spark: SparkSession, lake: Lake) -> DataFrame:
     )
 
 
-def decide(spark: SparkSession, lake: Lake, run: Run, force: bool = False) -> DataFrame:
-    """Current raw objects with their resume status; evidence is that of the current identity."""
-    current = raw_evidence(spark, lake, run)
-    staged = staged_evidence(spark, lake).join(
-        current.select(L.staging_key(lake, F.col("source_date"), F.col("input_id")).alias("staging_key")),
-        "staging_key", "left_semi",
-    )
-    rejected = quarantine_evidence(spark, lake).join(
-        current.select(
-            L.quarantine_key(lake, F.col("source_date"), F.col("input_id")).alias("quarantine_key")
-        ),
-        "quarantine_key", "left_semi",
+def output_folders(
+    spark: SparkSession, lake: Lake, days: DataFrame
+) -> tuple[list[str], list[str]]:
+    """Existing staging and quarantine folders of some days, one of each per day at most."""
+    day, input_id = F.col("source_date"), F.col("input_id")
+    keys = days.select(
+        L.staging_key(lake, day, input_id).alias("s"), L.quarantine_key(lake, day, input_id).alias("q")
+    ).collect()
+    root = lake.root.rstrip("/")
+    return tuple(
+        [path for path in (f"{root}/{row[i]}" for row in keys) if L.exists(spark, path)] for i in (0, 1)
     )
+
+
+def decide(
+    spark: SparkSession, lake: Lake, run: Run, force: bool = False,
+    folders: list[str] | None = None,
+) -> DataFrame:
+    """Raw objects with their resume status, judged on the evidence of their current identity.
+
+    With ``folders`` only those objects and their own outputs are looked at.
+    """
+    current = stage(raw_evidence(spark, lake, run, folders), "current")
+    below = output_folders(spark, lake, current) if folders is not None else (None, None)
+    staged = staged_evidence(spark, lake, below[0])
+    rejected = quarantine_evidence(spark, lake, below[1])
+    day, input_id = F.col("source_date"), F.col("input_id")
     return resume.decisions(
-        current, L.manifests(spark, lake), staged, rejected, run.pinned(), force
+        current,
+        L.manifests(spark, lake),
+        staged.join(current.select(L.staging_key(lake, day, input_id).alias("staging_key")),
+                    "staging_key", "left_semi"),
+        rejected.join(current.select(L.quarantine_key(lake, day, input_id).alias("quarantine_key")),
+                      "quarantine_key", "left_semi"),
+        run.pinned(),
+        force,
     )
 
 
 def publish_days(
-    spark: SparkSession, lake: Lake, run: Run, force: bool = False, days: DataFrame | None = None
+    spark: SparkSession, lake: Lake, run: Run, force: bool = False,
+    folders: list[str] | None = None,
 ) -> DataFrame:
     """Bring raw days up to date; returns one outcome row per day.
 
-    ``days`` (source_date) limits the run. Data is written first and the ledger last, so a
-    reader that goes through the ledger never sees a day half done.
+    ``folders`` limits the run to some raw objects. Data is written first and the ledger last,
+    so a reader that goes through the ledger never sees a day half done.
     """
-    chosen = decide(spark, lake, run, force)
-    if days is not None:
-        chosen = chosen.join(days, "source_date", "left_semi")
-    decided = stage(chosen, "decisions")
-    upgrade_manifests(spark, lake, decided.where(F.col("status") == "manifest_upgraded"))
+    decided = stage(decide(spark, lake, run, force, folders), "decisions")
+    legacy = decided.where(F.col("status") == "manifest_upgraded")
+    if not legacy.isEmpty():
+        upgrade_manifests(spark, lake, legacy)
     todo = decided.where(F.col("status").isin("processed", "rebuilt"))
     # An oversized object is refused before its body is read.
     too_large = F.lit(False) if run.size_limit is None else F.col("raw_byte_size") > run.size_limit
     failed = todo.where(too_large).select("source_date", F.lit("INPUT_TOO_LARGE").alias("error"))
     todo = todo.where(~too_large)
     # One folder per calendar day.
-    folders = [r["object_key"] for r in todo.select("object_key").collect()]
-    if folders:
+    pending = [r["object_key"] for r in todo.select("object_key").collect()]
+    if pending:
         failed = failed.unionByName(
-            build_days(spark, lake, run, todo, raw.read_lines(spark, folders))
+            build_days(spark, lake, run, todo, raw.read_lines(spark, pending))
         )
     book = L.manifests(spark, lake).drop("raw_key", "raw_sha256", "raw_byte_size", "input_id")
     return (
@@ -226,39 +251,45 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
     )
     valid = rules.valid_rows(dated, keep=(*folders, "source_row_number"))
     names = [f.name for f in C.NORMALIZED_SCHEMA]
-    (
-        valid.repartitionByRange(*folders, "source_row_number")
-        .sortWithinPartitions(*folders, "source_row_number")
-        .select(*names, *folders)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .option("parquet.enable.dictionary", "false")
-        .partitionBy(*folders)
-        .parquet(lake.staging)
-    )
-    rejected = rows.where(~rules.is_valid())
-    quarantine = rules.quarantine_rows(
-        rejected, run.pipeline_version, F.lit(run.processing_timestamp).cast("timestamp"),
+
+    def write_staging() -> None:
+        (
+            valid.repartitionByRange(*folders, "source_row_number")
+            .sortWithinPartitions(*folders, "source_row_number")
+            .select(*names, *folders)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "snappy")
+            .option("parquet.enable.dictionary", "false")
+            .partitionBy(*folders)
+            .parquet(lake.staging)
+        )
+
+    rejected = rules.quarantine_rows(
+        rows, run.pipeline_version, F.lit(run.processing_timestamp).cast("timestamp"),
         {
             "source_object_key": L.relative(lake, F.col("object_key")),
             "source_object_checksum": F.concat(F.lit("sha256:"), F.col("raw_sha256")),
         },
         keep=("input_id", "source_date"),
     )
-    folders = ["source_date", "input_id"]
-    (
-        quarantine.repartitionByRange(*folders, "source_row_number")
-        .sortWithinPartitions(*folders, "source_row_number")
-        .select(*sorted(C.QUARANTINE_COLUMNS), *folders)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("ignoreNullFields", "false")
-        .option("timeZone", "UTC")
-        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
-        .partitionBy(*folders)
-        .json(lake.quarantine)
-    )
+    dates = ["source_date", "input_id"]
+
+    def write_quarantine() -> None:
+        (
+            rejected.repartitionByRange(*dates, "source_row_number")
+            .sortWithinPartitions(*dates, "source_row_number")
+            .select(*sorted(C.QUARANTINE_COLUMNS), *dates)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("ignoreNullFields", "false")
+            .option("timeZone", "UTC")
+            .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX")
+            .partitionBy(*dates)
+            .json(lake.quarantine)
+        )
+
+    together(rows.sparkSession, write_staging, write_quarantine)
 
 
 def commit(
@@ -268,8 +299,9 @@ def commit(
     keyed = accepted.withColumn(
         "staging_key", L.staging_key(lake, F.col("source_date"), F.col("input_id"))
     ).withColumn("quarantine_folder", L.quarantine_key(lake, F.col("source_date"), F.col("input_id")))
-    staged = objects_by_key(spark, lake, lake.staging, "*.parquet", "staging")
-    rejected = objects_by_key(spark, lake, lake.quarantine, "*.json", "quarantine")
+    staging, quarantine = output_folders(spark, lake, accepted)
+    staged = objects_by_key(spark, lake, staging, "*.parquet", "staging")
+    rejected = objects_by_key(spark, lake, quarantine, "*.json", "quarantine")
     joined = keyed.join(staged, "staging_key", "left").join(
         rejected.withColumnRenamed("quarantine_key", "quarantine_folder"), "quarantine_folder", "left"
     )
@@ -295,6 +327,7 @@ def commit(
         "source_date", "seconds", "interval_count"
     )
     L.write_ledger(within, lake.control("daily_interval"), "source_date")
+    # The last write is the commit.
     L.write_ledger(
         manifest.select(*[f.name for f in L.MANIFEST_SCHEMA]),
         lake.control("daily_manifest"), "source_date",
@@ -318,7 +351,7 @@ def objects_by_key(
 def upgrade_manifests(spark: SparkSession, lake: Lake, days: DataFrame) -> None:
     """Give legacy manifest rows the boundary facts, read from their staged rows."""
     old = L.manifests(spark, lake).join(days.select("source_date"), "source_date", "left_semi")
-    staged = staged_evidence(spark, lake).select(
+    staged = staged_evidence(spark, lake, output_folders(spark, lake, days)[0]).select(
         "staging_key", "staged_row_count", "staged_first", "staged_last"
     )
     upgraded = old.join(staged, "staging_key", "left").select(
@@ -332,6 +365,4 @@ def upgrade_manifests(spark: SparkSession, lake: Lake, days: DataFrame) -> None:
             for name in L.MANIFEST_SCHEMA.names
         ]
     )
-    staged_upgrade = stage(upgraded, "upgrades")
-    if not staged_upgrade.isEmpty():
-        L.write_ledger(staged_upgrade, lake.control("daily_manifest"), "source_date")
+    L.write_ledger(stage(upgraded, "upgrades"), lake.control("daily_manifest"), "source_date")

@@ -34,11 +34,11 @@ class Validated:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        """Interval distribution over all parseable timestamps, in source order."""
+        """Interval distribution over all parseable timestamps, in source order, staged once."""
         pairs = ordered.deltas(
             self.rows, ["object_key"], "source_row_number", "event_timestamp_local"
         )
-        return metrics.interval_counts(pairs, ["object_key"])
+        return stage(metrics.interval_counts(pairs, ["object_key"]), "intervals")
 
     def rule_counts(self) -> DataFrame:
         return metrics.quarantine_rule_counts(self.rows, ["object_key"])

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGING_KEY = "spark.checkpoint.dir"
@@ -52,6 +55,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, *actions: Callable[[], object]) -> list:
+    """Run independent Spark actions at the same time and return their results in order."""
+    with ThreadPoolExecutor(max_workers=len(actions)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(action)) for action in actions]
+        return [job.result() for job in started]
+
+
 def clear_stage(spark: SparkSession) -> None:
     """Delete everything this application staged."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

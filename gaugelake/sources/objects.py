@@ -124,12 +124,14 @@ def _footer_reader(path_text: str, names: list[str]):
 def parquet_footers(spark: SparkSession, folder: Folders) -> DataFrame:
     """One row per Parquet file from its footer alone; data pages are not read.
 
-    Only paths travel to the tasks, a few per task.
+    Only paths travel to the tasks. The partition count is given, because paths are so small
+    that they would otherwise all be handed to one task.
     """
+    tasks = 4 * spark.sparkContext.defaultParallelism
     paths = _files(spark, folder, "*.parquet").select(plain_path(F.col("path")).alias("file_path"))
     names = [column.split()[0] for column in _FOOTER_SCHEMA.split(", ")]
     reader = _footer_reader(contract.ABSOLUTE_PATH_ANYWHERE, names)
-    return paths.repartition("file_path").mapInPandas(reader, _FOOTER_SCHEMA)
+    return paths.repartition(tasks, "file_path").mapInPandas(reader, _FOOTER_SCHEMA)
 
 
 # Physical types of the normalised schema as the footer reader names them. Spark stores

@@ -17,6 +17,7 @@ from gaugelake.plans import lake as L
 from gaugelake.plans import publish
 from gaugelake.plans.lake import Lake
 from gaugelake.plans.publish import Run
+from gaugelake.session import stage
 from gaugelake.sources import raw
 
 _ARRIVAL_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -46,15 +47,12 @@ def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None
     One bad object fails alone. Re-running a batch replaces its own outcome rows.
     """
     spark = batch.sparkSession
-    touched = batch.distinct()
-    days = touched.where(F.col("source_date").isNotNull()).select("source_date").distinct()
-    published = publish.publish_days(spark, lake, run, days=days)
-    status = F.col("status")
-    outcomes = published.select(
-        "source_date", "raw_key",
-        F.when(status == "skipped", "duplicate_skipped").otherwise(status).alias("outcome"),
-        "error", "input_row_count", "valid_row_count", "quarantine_row_count",
-    )
+    touched = stage(batch.distinct(), "arrivals")
+    folder = F.regexp_replace("file_path", "/[^/]*$", "")
+    # The folders of one micro-batch, whose size ``max_files`` sets.
+    folders = [
+        r[0] for r in touched.where(F.col("source_date").isNotNull()).select(folder).distinct().collect()
+    ]
     nothing = F.lit(None)
     refused = touched.where(F.col("source_date").isNull()).select(
         nothing.cast("date").alias("source_date"),
@@ -66,8 +64,19 @@ def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None
             for n in ("input_row_count", "valid_row_count", "quarantine_row_count")
         ],
     )
+    outcomes = refused
+    if folders:
+        status = F.col("status")
+        published = publish.publish_days(spark, lake, run, folders=folders)
+        outcomes = refused.unionByName(
+            published.select(
+                "source_date", "raw_key",
+                F.when(status == "skipped", "duplicate_skipped").otherwise(status).alias("outcome"),
+                "error", "input_row_count", "valid_row_count", "quarantine_row_count",
+            )
+        )
     L.write_ledger(
-        outcomes.unionByName(refused).withColumn("batch_id", F.lit(batch_id).cast("long")),
+        outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")),
         lake.control("stream_outcome"), "batch_id",
     )
 
