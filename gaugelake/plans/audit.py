@@ -284,7 +284,7 @@ def curated_state(spark: SparkSession, lake: Lake, inventory: DataFrame) -> Data
     folders = compact.run_folders(spark, lake, inventory)
     empty = tables.read_normalized(spark, lake.curated, *compact.RUN).limit(0)
     curated = compact.read_curated(spark, lake, folders, True) if folders else empty
-    evidence = conformance.curated_evidence(curated, compact.RUN).withColumnsRenamed(
+    evidence = conformance.curated_evidence(curated, MONTH).withColumnsRenamed(
         {"first_timestamp": "seen_first", "last_timestamp": "seen_last"}
     )
     sums = publish.objects_by_key(spark, lake, folders, "*.parquet", "curated").select(
@@ -316,7 +316,7 @@ def curated_state(spark: SparkSession, lake: Lake, inventory: DataFrame) -> Data
     for name in ("selected_row_count", "quarantine_row_count"):
         reconciles = reconciles & F.col(f"booked_counts.{name}").eqNullSafe(F.col(name))
     return (
-        inventory.join(evidence, compact.RUN, "left")
+        inventory.join(evidence, MONTH, "left")
         .join(sums, "curated_key", "left")
         .join(book, ["run_id", "curated_key"], "left")
         .withColumn("completion_matches", matches)

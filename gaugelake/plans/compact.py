@@ -183,8 +183,9 @@ def completions(
     if not folders:
         return spark.createDataFrame([], COMPLETION_SCHEMA)
     curated = read_curated(spark, lake, folders)
-    evidence = conformance.curated_evidence(curated, RUN)
-    gaps = conformance.month_gap_counts(curated, RUN)
+    # A month has one run here, so the short month keys group the rows.
+    evidence = conformance.curated_evidence(curated, S.MONTH)
+    gaps = conformance.month_gap_counts(curated, S.MONTH)
     folder = F.regexp_replace("file_path", "/[^/]*$", "")
     expected = F.array(*[F.lit(c) for c in objects.NORMALIZED_FOOTER])
     footers = (
@@ -211,8 +212,8 @@ def completions(
     ):
         clean = clean & (F.col(name) == 0)
     keyed = (
-        runs.join(evidence, RUN, "left")
-        .join(gaps, RUN, "left")
+        runs.join(evidence, S.MONTH, "left")
+        .join(gaps, S.MONTH, "left")
         .withColumn("curated_key", L.curated_key(lake, F.col("year"), F.col("month"), F.col("run_id")))
         .join(footers, "curated_key", "left")
         .join(sums, "curated_key", "left")
