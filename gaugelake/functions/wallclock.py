@@ -18,6 +18,11 @@ def ordinal_seconds(ts: Column) -> Column:
     return (ts - F.expr(_ORIGIN)).cast("interval second").cast("bigint")
 
 
+def ordinal_micros(ts: Column) -> Column:
+    seconds = (ts - F.expr(_ORIGIN)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("decimal(18,0)")
+
+
 def slot(ts: Column, width_seconds: int) -> Column:
     """Index of the fixed-width time slot holding ts."""
     return F.floor(ordinal_seconds(ts) / F.lit(width_seconds)).cast("bigint")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,13 +42,16 @@ def curated_evidence(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
         .groupBy(*groups)
         .agg(F.sum("violations").alias("inside_violations"))
     )
-    pair = F.struct(TS, INDEX)
     files = placed.groupBy(*groups, "file_path").agg(
-        F.min_by(pair, "row_index").alias("first_pair"), F.max_by(pair, "row_index").alias("last_pair")
+        *[F.min_by(c, "row_index").alias(f"first_{c}") for c in (TS, INDEX)],
+        *[F.max_by(c, "row_index").alias(f"last_{c}") for c in (TS, INDEX)],
+    ).select(
+        *groups, "file_path", F.struct(f"first_{TS}", f"first_{INDEX}").alias("first_pair"),
+        F.struct(f"last_{TS}", f"last_{INDEX}").alias("last_pair"),
     )
     by_file = W.partitionBy(*groups).orderBy(F.length("file_path"), "file_path")
     between = (
-        files.select(*groups, (F.col("first_pair") < F.lag("last_pair").over(by_file)).alias("wrong"))
+        files.select(*groups, _before(F.col("first_pair"), F.lag("last_pair").over(by_file)).alias("wrong"))
         .groupBy(*groups)
         .agg(F.count_if("wrong").alias("between_violations"))
     )
@@ -68,6 +71,14 @@ def curated_evidence(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     ).drop("inside_violations", "between_violations")
 
 
+def _before(first: Column, last: Column) -> Column:
+    """Does a file's first (time, index) pair sort before the last pair of the file above it?"""
+    same_time = first[f"first_{TS}"] == last[f"last_{TS}"]
+    return (first[f"first_{TS}"] < last[f"last_{TS}"]) | (
+        same_time & (first[f"first_{INDEX}"] < last[f"last_{INDEX}"])
+    )
+
+
 def month_gap_counts(
     rows: DataFrame, groups: Sequence[str], gap_seconds: int = 60
 ) -> DataFrame:

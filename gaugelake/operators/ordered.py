@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake.functions import wallclock
+from gaugelake.session import stage
 
 SLICE_ROWS = 1_000_000
 
@@ -43,9 +44,10 @@ def sliced_lag(
         *[F.lag(v).over(inner).alias(f"previous_{v}") for v in values],
         F.lag(order).over(inner).isNull().alias("opens_slice"),
     )
+    # One fixed-width aggregate per value keeps this a hash aggregation.
     edges = sliced.groupBy(*groups, "slice_no").agg(
-        F.max_by(F.struct(*values), order).alias("last_values")
-    )
+        *[F.max_by(v, order).alias(v) for v in values]
+    ).select(*groups, "slice_no", F.struct(*values).alias("last_values"))
     by_slice = W.partitionBy(*groups).orderBy("slice_no")
     before = edges.select(
         *groups, "slice_no", F.lag("last_values").over(by_slice).alias("slice_before")
@@ -92,15 +94,17 @@ def order_violations(
 ) -> DataFrame:
     """Per group, how many rows sort before the row above them: ``groups``, ``violations``."""
     groups = list(groups)
-    sliced = df.select(
-        *groups, order, F.struct(*values).alias("row_values"), _slice(order, width).alias("slice_no")
-    )
+    sliced = df.select(*groups, order, *values, _slice(order, width).alias("slice_no"))
     inner = W.partitionBy(*groups, "slice_no").orderBy(order)
-    interior = sliced.select(
-        *groups, F.lag("row_values").over(inner).alias("before"), F.col("row_values").alias("after")
-    )
+    here = F.struct(*values)
+    interior = sliced.select(*groups, F.lag(here).over(inner).alias("before"), here.alias("after"))
     edges = sliced.groupBy(*groups, "slice_no").agg(
-        F.min_by("row_values", order).alias("after"), F.max_by("row_values", order).alias("last_values")
+        *[F.min_by(v, order).alias(f"first_{v}") for v in values],
+        *[F.max_by(v, order).alias(f"last_{v}") for v in values],
+    ).select(
+        *groups, "slice_no",
+        F.struct(*[F.col(f"first_{v}").alias(v) for v in values]).alias("after"),
+        F.struct(*[F.col(f"last_{v}").alias(v) for v in values]).alias("last_values"),
     )
     by_slice = W.partitionBy(*groups).orderBy("slice_no")
     borders = edges.select(*groups, F.lag("last_values").over(by_slice).alias("before"), "after")
@@ -109,33 +113,54 @@ def order_violations(
     )
 
 
+# First rows are compared as one number: microseconds, then the order value shifted to be
+# non-negative. Decimals aggregate in place, so slots need no sort of their rows.
+_ORDER_RANGE = "100000000000000000000"
+_ORDER_SHIFT = "9223372036854775808"
+
+
 def slot_table(
-    df: DataFrame, groups: Sequence[str], ts: str, order: str, width_seconds: int,
-    payload: Sequence[str] = (),
+    df: DataFrame, groups: Sequence[str], ts: str, order: str, width_seconds: int
 ) -> DataFrame:
-    """First row and last timestamp of every time slot, combined map-side."""
-    row = F.struct(ts, order, *payload)
+    """First row (its ``ts`` and ``order``) and last timestamp of every time slot.
+
+    One scan, combined map-side. ``order`` is an integer column.
+    """
+    rank = (
+        wallclock.ordinal_micros(F.col(ts)) * F.expr(_ORDER_RANGE)
+        + (F.col(order).cast("decimal(20,0)") + F.expr(_ORDER_SHIFT))
+    ).cast("decimal(38,0)")
     return (
         df.where(F.col(ts).isNotNull())
-        .withColumn("slot_no", wallclock.slot(F.col(ts), width_seconds))
-        .withColumn("slot_day", F.to_date(ts))
+        .select(
+            *groups, F.col(ts).alias("slot_ts"), rank.alias("row_rank"),
+            F.to_date(ts).alias("slot_day"), wallclock.slot(F.col(ts), width_seconds).alias("slot_no"),
+        )
         .groupBy(*groups, "slot_day", "slot_no")
-        .agg(F.min(row).alias("first_row"), F.max(ts).alias("last_ts"))
+        .agg(
+            F.min("slot_ts").alias("first_ts"), F.max("slot_ts").alias("last_ts"),
+            F.min("row_rank").alias("first_rank"),
+        )
+        .select(
+            *groups, "slot_day", "slot_no", "first_ts", "last_ts",
+            (F.col("first_rank") % F.expr(_ORDER_RANGE) - F.expr(_ORDER_SHIFT)).cast("bigint").alias(
+                "first_order"
+            ),
+        )
     )
 
 
 def sampling_gaps(
-    df: DataFrame, groups: Sequence[str], ts: str, order: str, gap_seconds: int,
-    payload: Sequence[str] = (),
+    df: DataFrame, groups: Sequence[str], ts: str, order: str, gap_seconds: int
 ) -> DataFrame:
     """Rows that follow a gap of more than ``gap_seconds`` in (ts, order) order.
 
-    Columns: ``groups``, ``order``, ``payload``, ``previous_<ts>``, ``<ts>``, ``interval_seconds``.
-    A slot never spans two days, a day has at most 86400 / gap_seconds slots, and the day
-    table has one row per calendar day.
+    Columns: ``groups``, ``order``, ``previous_<ts>``, ``<ts>``, ``interval_seconds``. The slot
+    table is staged, so the rows are scanned once. A slot never spans two days, a day has at
+    most 86400 / slot width slots, and the day table has one row per calendar day.
     """
     groups = list(groups)
-    slots = slot_table(df, groups, ts, order, _day_divisor(gap_seconds), payload)
+    slots = stage(slot_table(df, groups, ts, order, _day_divisor(gap_seconds)), "slots")
     in_day = W.partitionBy(*groups, "slot_day").orderBy("slot_no")
     lagged = slots.withColumn("in_day_before", F.lag("last_ts").over(in_day))
     days = slots.groupBy(*groups, "slot_day").agg(F.max("last_ts").alias("day_last"))
@@ -145,12 +170,9 @@ def sampling_gaps(
     return (
         lagged.join(days, [*groups, "slot_day"])
         .select(
-            *groups,
-            F.col(f"first_row.{order}").alias(order),
-            *[F.col(f"first_row.{p}").alias(p) for p in payload],
-            before.alias(f"previous_{ts}"),
-            F.col(f"first_row.{ts}").alias(ts),
-            wallclock.seconds_between(before, F.col(f"first_row.{ts}")).alias("interval_seconds"),
+            *groups, F.col("first_order").alias(order), before.alias(f"previous_{ts}"),
+            F.col("first_ts").alias(ts),
+            wallclock.seconds_between(before, F.col("first_ts")).alias("interval_seconds"),
         )
         .where(F.col("interval_seconds") > gap_seconds)
     )

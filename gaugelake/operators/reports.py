@@ -44,8 +44,10 @@ def digital_state_rates(df: DataFrame, day: Column, states: Mapping[str, Column]
     return df.groupBy(day.alias("source_date")).agg(*rates).orderBy("source_date")
 
 
-def sampling_gap_report(
-    df: DataFrame, ts: str, index: str, source_date: str, gap_seconds: int = 60
-) -> DataFrame:
-    """Gaps over the complete history, so those across month borders show too."""
-    return ordered.sampling_gaps(df, [], ts, index, gap_seconds, [source_date]).orderBy(ts, index)
+def sampling_gap_report(df: DataFrame, ts: str, index: str, gap_seconds: int = 60) -> DataFrame:
+    """Gaps over the complete history, so those across month borders show too.
+
+    A valid row's source date is the date of its timestamp.
+    """
+    gaps = ordered.sampling_gaps(df, [], ts, index, gap_seconds)
+    return gaps.withColumn("source_date", F.to_date(ts)).orderBy(ts, index)

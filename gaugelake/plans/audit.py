@@ -24,12 +24,17 @@ COVERAGE = ("complete", "known_missing_dates", "terminal_partial")
 def raw_counts(spark: SparkSession, lake: Lake) -> DataFrame:
     """Per raw day: data rows, exact header and drive-letter paths, from one text scan."""
     lines = raw.read_lines(spark, lake.raw)
+    blocks = lines.groupBy("file_path", "block_start").agg(
+        F.count(F.lit(1)).alias("line_count"),
+        F.min_by(F.col("line") == HEADER_LINE, "scan_id").alias("first_matches"),
+        F.count_if(F.col("line").rlike(C.ABSOLUTE_PATH_ANYWHERE)).alias("path_count"),
+    )
     key = L.relative(lake, F.regexp_replace(raw.plain_path(F.col("file_path")), "/[^/]*$", ""))
-    first = F.struct(F.length("file_path"), "file_path", "block_start", "scan_id")
-    return lines.groupBy(key.alias("raw_key")).agg(
-        (F.count(F.lit(1)) - 1).alias("raw_row_count"),
-        (F.min_by("line", first) == HEADER_LINE).alias("raw_header_matches"),
-        F.count_if(F.col("line").rlike(C.ABSOLUTE_PATH_ANYWHERE)).alias("raw_path_count"),
+    place = F.struct(F.length("file_path"), "file_path", "block_start")
+    return blocks.groupBy(key.alias("raw_key")).agg(
+        (F.sum("line_count") - 1).alias("raw_row_count"),
+        F.min_by("first_matches", place).alias("raw_header_matches"),
+        F.sum("path_count").alias("raw_path_count"),
     )
 
 

@@ -100,11 +100,16 @@ def staged_evidence(
     rows = tables.read_normalized(
         spark, lake.staging, "year", "month", "day", "input_id", below=below, tolerate_damage=True
     )
-    path = raw.plain_path(F.col("_metadata.file_path"))
-    position = F.struct(F.length(path), path, F.col("_metadata.row_index"))
-    ts = F.col("event_timestamp_local")
-    ends = rows.groupBy("year", "month", "day", "input_id").agg(
-        F.min_by(ts, position).alias("staged_first"), F.max_by(ts, position).alias("staged_last")
+    ts, at = F.col("event_timestamp_local"), F.col("_metadata.row_index")
+    folders = ["year", "month", "day", "input_id"]
+    # First and last row per file, then per day over its few files.
+    files = rows.groupBy(*folders, F.col("_metadata.file_path").alias("path")).agg(
+        F.min_by(ts, at).alias("first_ts"), F.max_by(ts, at).alias("last_ts")
+    )
+    place = F.struct(F.length("path"), "path")
+    ends = files.groupBy(*folders).agg(
+        F.min_by("first_ts", place).alias("staged_first"),
+        F.max_by("last_ts", place).alias("staged_last"),
     )
     keyed = ends.select(
         "staged_first", "staged_last",

@@ -71,7 +71,7 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
     ).select("object_key")
 
     numbered = (
-        raw.with_row_numbers(parsed.drop("is_utf8", "is_well_formed", "file_size"), blocks)
+        raw.with_row_numbers(parsed.drop("is_utf8", "is_well_formed", "is_header", "file_size"), blocks)
         .where(F.col("source_row_number") > 0)
         .join(passed, "object_key", "left_semi")
     )

@@ -50,15 +50,17 @@ def plain_path(path: Column) -> Column:
 
 
 def block_table(lines: DataFrame) -> DataFrame:
-    """One row per file block: counts, first line and how many rows of the object precede it.
+    """One row per file block: counts, first-line verdict and how many lines of the object
+    precede it.
 
-    The first line of an object is its header, so the first data row gets number 1.
+    The first line of an object is its header, so the first data row gets number 1. Only
+    fixed-width values are aggregated, which keeps the pass over the lines free of sorting.
     """
     blocks = lines.groupBy("file_path", "block_start").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.min("scan_id").alias("first_scan_id"),
         F.max("scan_id").alias("last_scan_id"),
-        F.min_by("line", "scan_id").alias("first_line"),
+        F.min_by("is_header", "scan_id").alias("first_is_header"),
         F.sum(F.octet_length("line") + 1).alias("text_bytes"),
         F.max("file_size").alias("file_size"),
         F.bool_and("is_utf8").alias("is_utf8"),
@@ -93,12 +95,10 @@ def block_table(lines: DataFrame) -> DataFrame:
 
 def object_table(blocks: DataFrame) -> DataFrame:
     """One row per object: header gate, row count and encoding state."""
-    header = parsing.csv_fields(F.col("first_line"))
-    expected = F.array(*[F.lit(name) for name in contract.SOURCE_HEADER])
     return (
         blocks.groupBy("object_key")
         .agg(
-            F.min_by("first_line", "lines_before").alias("first_line"),
+            F.min_by("first_is_header", "lines_before").alias("has_header"),
             (F.sum("line_count") - 1).alias("input_row_count"),
             F.bool_and("is_utf8").alias("is_utf8"),
             F.bool_and("is_well_formed").alias("is_well_formed"),
@@ -110,7 +110,7 @@ def object_table(blocks: DataFrame) -> DataFrame:
             "input_row_count",
             "is_utf8",
             "is_well_formed",
-            (~header.eqNullSafe(expected)).alias("schema_drift"),
+            (~F.col("has_header")).alias("schema_drift"),
             (F.col("input_row_count") == 0).alias("empty_input"),
         )
     )
@@ -139,8 +139,16 @@ def with_row_numbers(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def checked_lines(lines: DataFrame) -> DataFrame:
+    """Add per-line verdicts: strict UTF-8, well-formed CSV, equal to the contract header."""
+    line = F.col("line")
+    plain = ",".join(contract.SOURCE_HEADER)
+    names = F.array(*[F.lit(name) for name in contract.SOURCE_HEADER])
+    quoted = line.contains('"') & line.contains(contract.SOURCE_HEADER[-1])
     return lines.select(
         "*",
         F.is_valid_utf8("line").alias("is_utf8"),
-        parsing.csv_is_well_formed(F.col("line")).alias("is_well_formed"),
+        parsing.csv_is_well_formed(line).alias("is_well_formed"),
+        F.when(quoted, parsing.csv_fields(line) == names)
+        .otherwise(parsing.without_carriage_return(line) == plain)
+        .alias("is_header"),
     )

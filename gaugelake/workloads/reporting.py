@@ -71,8 +71,7 @@ where interval_seconds > 60"""
 
 @query(_GAPS_SQL)
 def sampling_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dated = table(spark, sf_dir, "events").select("event_id", "ts", F.to_date("ts").alias("source_date"))
-    return reports.sampling_gap_report(dated, "ts", "event_id", "source_date")
+    return reports.sampling_gap_report(table(spark, sf_dir, "events"), "ts", "event_id")
 
 
 @query(f"""
