@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from gaugelake.llm.decontaminate import op5_benchmark_decontamination
 from gaugelake.llm.substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op5_benchmark_decontamination, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
