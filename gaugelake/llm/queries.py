@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from gaugelake.llm.decontaminate import op5_benchmark_decontamination
+from gaugelake.llm.ngram_join import op4_ngram_jaccard_join
 from gaugelake.llm.packing import op1_packing
 from gaugelake.llm.substring_dedup import op10_substring_dedup
 from gaugelake.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_benchmark_decontamination, op9_toxicity, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op4_ngram_jaccard_join, op5_benchmark_decontamination, op9_toxicity, op10_substring_dedup,
+)}
 ORACLES: dict[str, str] = {}
