@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gaugelake.llm.decontaminate import op5_benchmark_decontamination
+from gaugelake.llm.fingerprints import op2_fingerprints
 from gaugelake.llm.ngram_join import op4_ngram_jaccard_join
 from gaugelake.llm.packing import op1_packing
 from gaugelake.llm.quality import op3_quality
@@ -14,7 +15,7 @@ from gaugelake.llm.url_filter import op7_url_filters
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packing, op3_quality, op4_ngram_jaccard_join, op5_benchmark_decontamination, op7_url_filters,
+        op1_packing, op2_fingerprints, op3_quality, op4_ngram_jaccard_join, op5_benchmark_decontamination, op7_url_filters,
         op8_token_rollups, op9_toxicity, op10_substring_dedup,
     )
 }
