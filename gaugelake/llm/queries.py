@@ -8,6 +8,7 @@ from gaugelake.llm.ngram_join import op4_ngram_jaccard_join
 from gaugelake.llm.packing import op1_packing
 from gaugelake.llm.quality import op3_quality
 from gaugelake.llm.substring_dedup import op10_substring_dedup
+from gaugelake.llm.suffix_dedup import op6_suffix_dedup
 from gaugelake.llm.token_rollups import OP8_SQL, op8_token_rollups
 from gaugelake.llm.toxicity import op9_toxicity
 from gaugelake.llm.url_filter import op7_url_filters
@@ -15,7 +16,8 @@ from gaugelake.llm.url_filter import op7_url_filters
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_packing, op2_fingerprints, op3_quality, op4_ngram_jaccard_join, op5_benchmark_decontamination, op7_url_filters,
+        op1_packing, op2_fingerprints, op3_quality, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_dedup,
+        op7_url_filters,
         op8_token_rollups, op9_toxicity, op10_substring_dedup,
     )
 }

@@ -27,11 +27,11 @@ from gaugelake.llm import common
 WINDOW_WORDS = 20
 _BUCKET_WORDS = 5
 
-_PACKED = "bucket int, places binary, keys binary, counts binary, starts binary, hashes binary"
-_RUNS = "place long, text_key long, runs binary"
+PACKED = "bucket int, places binary, keys binary, counts binary, starts binary, hashes binary"
+RUNS = "place long, text_key long, runs binary"
 
 
-def _pack(bucket, places, keys, text, starts, hashes) -> dict:
+def pack_places(bucket, places, keys, text, starts, hashes) -> dict:
     """One row for the windows of one bucket; ``text`` ascends."""
     heads = np.flatnonzero(np.diff(text, prepend=-1))
     return {
@@ -45,7 +45,7 @@ def _pack(bucket, places, keys, text, starts, hashes) -> dict:
 
 
 def _hash_windows(parts: int, width: int):
-    schema = common.schema_of(_PACKED)
+    schema = common.schema_of(PACKED)
     inner = min(_BUCKET_WORDS, width)
 
     def rows(batch):
@@ -72,13 +72,13 @@ def _hash_windows(parts: int, width: int):
             new[again] = False
             if len(again):
                 again.sort()
-                yield _pack(first_row % parts, places, keys, text[again], starts[again], None)
+                yield pack_places(first_row % parts, places, keys, text[again], starts[again], None)
             buckets = common.buckets_of(least, parts)
             order = np.flatnonzero(new)
             order = order[np.argsort(buckets[order], kind="stable")]
             cuts = np.flatnonzero(np.diff(buckets[order])) + 1
             for part in np.split(order, cuts):
-                yield _pack(buckets[part[0]], places, keys, text[part], starts[part], hashes[part])
+                yield pack_places(buckets[part[0]], places, keys, text[part], starts[part], hashes[part])
 
     def task(batches):
         for batch in batches:
@@ -88,7 +88,7 @@ def _hash_windows(parts: int, width: int):
     return task
 
 
-def _unpack(row: dict):
+def unpack_places(row: dict):
     counts = np.frombuffer(row["counts"], np.uint32)
     places = np.repeat(np.frombuffer(row["places"], np.int64), counts)
     keys = np.repeat(np.frombuffer(row["keys"], np.int64), counts)
@@ -96,7 +96,7 @@ def _unpack(row: dict):
     return places, keys, starts, np.frombuffer(row["hashes"], np.uint64)
 
 
-def _as_runs(places, keys, starts) -> pa.RecordBatch:
+def as_runs(places, keys, starts) -> pa.RecordBatch:
     """Window starts, sorted by document and start, as one row of runs per document."""
     new = np.concatenate([[True], (np.diff(places) != 0) | (np.diff(keys) != 0)])
     heads = np.flatnonzero(new)
@@ -106,7 +106,7 @@ def _as_runs(places, keys, starts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(places[heads]), pa.array(keys[heads]),
          pa.array([spans[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())],
-        schema=common.schema_of(_RUNS),
+        schema=common.schema_of(RUNS),
     )
 
 
@@ -116,9 +116,9 @@ def _repeated(batches):
     for batch in batches:
         for row in batch.to_pylist():
             if row["hashes"]:
-                packed.append(_unpack(row))
+                packed.append(unpack_places(row))
             else:
-                yield _as_runs(*_unpack(row)[:3])
+                yield as_runs(*unpack_places(row)[:3])
     if not packed:
         return
     places, keys, starts, hashes = (np.concatenate(x) for x in zip(*packed, strict=True))
@@ -135,15 +135,15 @@ def _repeated(batches):
     later = order[1:][hashes[order][1:] == hashes[order][:-1]]
     later = later[np.lexsort((starts[later], keys[later], places[later]))]
     if len(later):
-        yield _as_runs(places[later], keys[later], starts[later])
+        yield as_runs(places[later], keys[later], starts[later])
 
 
 def removal_runs(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     """(place, text_key, runs): packed runs of removed window starts, several per document."""
     texts = common.keyed(docs).select("place", "text_key", "text")
     parts = common.partitions_for(docs)
-    packed = texts.mapInArrow(_hash_windows(parts, width), _PACKED)
-    found = common.deal(packed, parts).mapInArrow(_repeated, _RUNS)
+    packed = texts.mapInArrow(_hash_windows(parts, width), PACKED)
+    found = common.deal(packed, parts).mapInArrow(_repeated, RUNS)
     return found.groupBy("place", "text_key").agg(F.collect_list("runs").alias("runs"))
 
 
