@@ -193,31 +193,21 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the smallest node it reaches.
 
-    Alternating large-star and small-star rounds. Every round is grouped with partial
-    aggregation and joined by key, so a node with very many neighbours is split by Spark, and
-    each is written to the shared folder.
+    Every node takes the least label among its neighbours, then the label of its label, until
+    nothing changes. Minima combine before the shuffle and labels are joined by key, so a node
+    with very many neighbours is no hot task; every round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-
-    def sign(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = sign(now)
+    links = edges.where("a <> b").select("a", "b")
+    links = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
+    now = stage(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), label)
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
-        after = sign(now)
-        if after == before:
-            break
-        before = after
-    roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), label)
+        least = links.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        step = now.join(least, "node").select("node", F.least("root", "least").alias("new"), F.col("root").alias("old"))
+        jump = now.select(F.col("node").alias("new"), F.col("root").alias("next"))
+        after = stage(step.join(jump, "new").select("node", F.least("new", "next").alias("root"), "old"), label)
+        if after.where("root <> old").isEmpty():
+            return after.select("node", "root")
+        now = after.select("node", "root")
 
 
 def deal(df: DataFrame, parts: int) -> DataFrame:

@@ -36,6 +36,8 @@ PERCENT = 80
 ORDERS = 3
 HOT_CLASSES = 64
 HUB_ROUNDS = 6
+# Hub rounds end when enumerating what is left costs no more than this.
+PAIRS_PER_HOLDER = 20
 
 _DOC, _COLD, _HOT, _LIST = range(4)
 _PACKED = "bucket int, kind int, classes binary, sizes binary, counts binary, items binary"
@@ -68,7 +70,7 @@ def _hash_sets(parts: int, width: int):
         return {"bucket": int(bucket), "kind": kind, "classes": classes.tobytes(), "sizes": sizes.astype(np.int32).tobytes(),
                 "counts": counts.astype(np.int32).tobytes(), "items": common.planes(items)}
 
-    def block(places, data, offsets, number):
+    def block(places, data, offsets):
         text, items = sets_of(data, offsets, width)
         sizes = np.bincount(text, minlength=len(places))
         total = np.zeros((2, len(places)), np.uint64)
@@ -77,7 +79,7 @@ def _hash_sets(parts: int, width: int):
             if len(heads):
                 total[k, text[heads]] = np.add.reduceat(common.mix(items, k + 11), heads)
         classes = common.mix(total[0] ^ common.mix(total[1] + sizes.astype(np.uint64))).view(np.int64)
-        yield row(number % parts, _DOC, classes, sizes, np.zeros(0), places.view(np.uint64))
+        yield row(classes[0] % parts, _DOC, classes, sizes, np.zeros(0), places.view(np.uint64))
         # Of equal sets one goes on.
         lead = np.zeros(len(places), bool)
         lead[np.unique(classes, return_index=True)[1]] = True
@@ -104,16 +106,14 @@ def _hash_sets(parts: int, width: int):
                 yield row(buckets[heads[part[0]]], _HOT, np.zeros(0), np.zeros(0), lengths[hot][part], items[heads[part]])
             for start, length in zip(starts[hot], lengths[hot], strict=True):
                 owners = text[order[start : start + length]]
-                yield row(number % parts, _LIST, classes[owners], sizes[owners], np.zeros(0), items[order[start : start + 1]])
+                yield row(classes[owners[0]] % parts, _LIST, classes[owners], sizes[owners], np.zeros(0), items[order[start : start + 1]])
 
     def task(batches):
-        number = 0
         for batch in batches:
             places = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, data, offsets in common.text_blocks(batch):
-                for packed in block(np.ascontiguousarray(places[first:last]), data, offsets, number):
+                for packed in block(np.ascontiguousarray(places[first:last]), data, offsets):
                     yield pa.RecordBatch.from_pylist([packed], schema)
-                number += 1
 
     return task
 
@@ -274,11 +274,16 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "items_a", "df_a", "n_b", "items_b", "df_b").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _may_link(percent: int, n_a: str, sums_a: str, n_b: str, sums_b: str):
-    """Sizes and the summaries of the other orders' prefixes allow a link."""
-    out = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+def _may_link(percent: int, a: str, b: str):
+    """Sizes, shared members and the summaries of the other orders' prefixes allow a link.
+
+    What no other class holds can't be common, so the rest of the smaller set bounds the
+    overlap. ``a`` and ``b`` are prefixes of column names.
+    """
+    most = F.least(F.col(f"{a}n") - F.col(f"{a}own"), F.col(f"{b}n") - F.col(f"{b}own"))
+    out = most * 100 >= (F.col(f"{a}n") + F.col(f"{b}n") - most) * percent
     for k in range(ORDERS - 1):
-        out &= F.col(sums_a)[k].bitwiseAND(F.col(sums_b)[k]) != 0
+        out &= F.col(f"{a}sums")[k].bitwiseAND(F.col(f"{b}sums")[k]) != 0
     return out
 
 
@@ -300,12 +305,11 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
     links = tested = None
     now = holders.withColumn("root", F.col("cls"))
     for turn in range(HUB_ROUNDS):
-        rank = F.struct((F.col("own") / F.col("n")).alias("own"), F.xxhash64("cls", F.lit(turn)).alias("tie"), "cls", "n", "sums", "root")
-        if turn:
-            rank = F.struct(F.xxhash64("cls", F.lit(turn)).alias("tie"), "cls", "n", "sums", "root")
+        first = F.lit(0.0) if turn else F.col("own") / F.col("n")
+        rank = F.struct(first.alias("first"), F.xxhash64("cls", F.lit(turn)).alias("tie"), "cls", "n", "own", "sums", "root")
         hubs = now.groupBy("item").agg(F.min(rank).alias("hub"))
-        pairs = now.alias("m").join(hubs.alias("h"), "item").select(F.col("m.cls").alias("cls"), F.col("m.n").alias("n"), F.col("m.sums").alias("sums"), F.col("m.root").alias("root"), "hub")
-        pairs = pairs.where("root <> hub.root").where(_may_link(percent, "n", "sums", "hub.n", "hub.sums"))
+        pairs = now.alias("m").join(hubs.alias("h"), "item").select(*(F.col(f"m.{c}").alias(c) for c in ("cls", "n", "own", "sums", "root")), "hub")
+        pairs = pairs.where("root <> hub.root").where(_may_link(percent, "", "hub."))
         pairs = pairs.select(*_pair("cls", "hub.cls")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -322,10 +326,10 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
         if not apart:
             return roots
         now = stage(now.join(left.select("item"), "item", "left_semi"), "apart")
-        if apart <= 2 * size:
+        if apart <= PAIRS_PER_HOLDER * size:
             break
     a, b = now.alias("a"), now.alias("b")
-    pairs = a.join(b, F.col("a.item") == F.col("b.item")).where("a.cls < b.cls and a.root <> b.root").where(_may_link(percent, "a.n", "a.sums", "b.n", "b.sums"))
+    pairs = a.join(b, F.col("a.item") == F.col("b.item")).where("a.cls < b.cls and a.root <> b.root").where(_may_link(percent, "a.", "b."))
     pairs = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     found = stage(_checked(stage(pairs, "pairs"), sets, percent), "links")
     return common.components(links.unionByName(found), "components")

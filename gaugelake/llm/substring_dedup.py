@@ -72,7 +72,7 @@ def _hash_windows(parts: int, width: int):
             new[again] = False
             if len(again):
                 again.sort()
-                yield pack_places(first_row % parts, places, keys, text[again], starts[again], None)
+                yield pack_places(keys[text[again[0]]] % parts, places, keys, text[again], starts[again], None)
             buckets = common.buckets_of(least, parts)
             order = np.flatnonzero(new)
             order = order[np.argsort(buckets[order], kind="stable")]

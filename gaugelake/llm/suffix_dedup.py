@@ -79,7 +79,6 @@ def _row(bucket, kind, places, keys, starts, widths=None, hashes=None, bodies=No
 
 def _rows(batches, schema, block):
     """Run ``block`` over blocks of texts in document order, without rows that repeat one document."""
-    number = 0
     for batch in batches:
         batch = common.ordered(batch)
         places, keys = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
@@ -88,13 +87,12 @@ def _rows(batches, schema, block):
             ids = list(zip(places[first:last].tolist(), keys[first:last].tolist(), strict=True))
             again = np.array([x == (ids[i - 1] if i else seen) for i, x in enumerate(ids)])
             seen = ids[-1]
-            for packed in block(batch.slice(first, last - first), places[first:last], keys[first:last], data, offsets, again, number):
+            for packed in block(batch.slice(first, last - first), places[first:last], keys[first:last], data, offsets, again):
                 yield pa.RecordBatch.from_pylist([packed], schema)
-            number += 1
 
 
 def _find_anchors(parts: int, length: int, gram: int):
-    def block(batch, places, keys, data, offsets, again, number):
+    def block(batch, places, keys, data, offsets, again):
         text, low, high, _, hashes = anchors(data, offsets, length, gram)
         keep = ~again[text]
         text, low, high, hashes = text[keep], low[keep], high[keep], hashes[keep]
@@ -109,7 +107,7 @@ def _find_anchors(parts: int, length: int, gram: int):
         size = np.diff(np.flatnonzero(head), append=len(order))
         copies = order[np.repeat(size > 1, size)]
         if len(copies):
-            yield _row(number % parts, _DONE, places[text[copies]], keys[text[copies]], low[copies], width[copies])
+            yield _row(keys[text[copies[0]]] % parts, _DONE, places[text[copies]], keys[text[copies]], low[copies], width[copies])
         lead, size = order[head], size
         buckets = common.buckets_of(hashes[lead], parts)
         to = np.argsort(buckets, kind="stable")
@@ -180,7 +178,7 @@ def _count_anchors(batches):
 def _gather(parts: int, length: int, gram: int, hot: np.ndarray):
     """Contexts of open anchors by anchor, strings of hot ones by hash."""
 
-    def block(batch, places, keys, data, offsets, again, number):
+    def block(batch, places, keys, data, offsets, again):
         text, low, high, place, hashes = anchors(data, offsets, length, gram)
         wanted = np.zeros(len(data) + 1, bool)
         for i, packed in enumerate(batch.column(3).to_pylist()):
@@ -211,7 +209,7 @@ def _gather(parts: int, length: int, gram: int, hot: np.ndarray):
             local = start - offsets[owners]
             double = order[np.repeat(size > 1, size)]
             if len(double):
-                yield _row(number % parts, _DONE, places[owners[double]], keys[owners[double]], local[double])
+                yield _row(keys[owners[double[0]]] % parts, _DONE, places[owners[double]], keys[owners[double]], local[double])
             lead = order[head]
             buckets = common.buckets_of(strings[lead], parts)
             to = np.argsort(buckets, kind="stable")
