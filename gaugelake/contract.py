@@ -16,7 +16,6 @@ SCHEMA_VERSION = "1.0.0"
 MANIFEST_VERSION = "1.1.0"
 LEGACY_MANIFEST_VERSION = "1.0.0"
 COMPACTION_MANIFEST_VERSION = "1.0.0"
-INVENTORY_VERSION = "1.0.0"
 TIMEZONE_STATUS = "unknown"
 BLANK_HEADER_LABEL = "<blank index header>"
 
@@ -78,9 +77,7 @@ ERROR_TEXT = {
 }
 
 ROW_GROUP_ROWS = 65_536
-INPUT_SIZE_LIMIT = 25 * 1024 * 1024
 PROFILE_QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-ABSOLUTE_PATH_START = r"^[A-Za-z]:[\\/]"
 ABSOLUTE_PATH_ANYWHERE = r"(?:^|[\"'\s])[A-Za-z]:[\\/]"
 
 # --- End of fixed values. ----------------------------------------------------------------
@@ -98,18 +95,22 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class CompactionBounds:
-    max_selected_objects: int = 31
-    max_compressed_input_bytes: int = 128 * 1024 * 1024
-    max_input_rows: int = 500_000
-    max_output_bytes: int = 128 * 1024 * 1024
+    """Limits of one month; None leaves a quantity unbounded."""
+
+    max_selected_objects: int | None = None
+    max_compressed_input_bytes: int | None = None
+    max_input_rows: int | None = None
+    max_output_bytes: int | None = None
 
 
 @dataclass(frozen=True)
 class AuditBounds:
-    max_months: int = 24
-    max_object_bytes: int = 128 * 1024 * 1024
-    max_total_bytes: int = 256 * 1024 * 1024
-    max_total_rows: int = 2_000_000
+    """Limits of one audit; None leaves a quantity unbounded."""
+
+    max_months: int | None = None
+    max_object_bytes: int | None = None
+    max_total_bytes: int | None = None
+    max_total_rows: int | None = None
 
 
 def normalized_name(source_name: str) -> str:

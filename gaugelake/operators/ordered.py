@@ -27,14 +27,21 @@ def _slice(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join by name in which null matches null; key columns come from the left."""
+    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys]
+    return left.join(renamed, match, how).drop(*(f"right_{k}" for k in keys))
+
+
 def sliced_lag(
     df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str],
     width: int = SLICE_ROWS,
 ) -> DataFrame:
     """``df`` plus ``previous_<value>`` from the row before it in its group.
 
-    ``order`` must be unique inside a group: a slice then holds at most ``width`` rows.
-    Group columns must not be null.
+    ``order`` must be unique inside a group: a slice then holds at most ``width`` rows. Null is a
+    group of its own.
     """
     groups, values = list(groups), list(values)
     sliced = df.withColumn("slice_no", _slice(order, width))
@@ -53,7 +60,7 @@ def sliced_lag(
         *groups, "slice_no", F.lag("last_values").over(by_slice).alias("slice_before")
     )
     # Same keys as the window above, so the rows stay where they are.
-    joined = lagged.join(before, [*groups, "slice_no"], "left")
+    joined = _null_safe(lagged, before, [*groups, "slice_no"], "left")
     filled = [
         F.when(F.col("opens_slice"), F.col(f"slice_before.{v}"))
         .otherwise(F.col(f"previous_{v}"))
@@ -168,7 +175,7 @@ def sampling_gaps(
     days = days.select(*groups, "slot_day", F.lag("day_last").over(by_day).alias("day_before"))
     before = F.coalesce("in_day_before", "day_before")
     return (
-        lagged.join(days, [*groups, "slot_day"])
+        _null_safe(lagged, days, [*groups, "slot_day"], "inner")
         .select(
             *groups, F.col("first_order").alias(order), before.alias(f"previous_{ts}"),
             F.col("first_ts").alias(ts),

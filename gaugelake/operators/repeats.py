@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugelake.session import stage
 
-# A key this frequent gets broadcast. At most total_rows / HEAVY_ROWS such keys can exist
-# (one hundred thousand in 10^11 rows), which bounds the broadcast side.
-HEAVY_ROWS = 1_000_000
-
-
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row, with ``occurrences``. Null keys never repeat."""
     present = df
@@ -28,15 +23,14 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def flag_repeats(
     df: DataFrame, groups: Sequence[str], keys: Mapping[str, str], spread: Sequence[str],
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """``df`` plus one boolean per entry of ``keys`` (flag name to key column): does another
     row of the same group hold this row's key? Null keys never do.
 
-    All keys are counted in one pass. Rows of heavy keys and rows with a null key cannot match
-    in the shuffled join; they are salted by ``spread`` (columns that identify a row) so they
-    never pile up in one task. When the staged key table is small, Spark broadcasts it and no
-    row moves at all.
+    All keys are counted in one pass with partial counts. The staged table of repeated keys has
+    one row a key, so Spark broadcasts it while it is small and else joins by key, splitting
+    partitions that a frequent key makes large. Rows with a null key match nothing and are
+    spread by ``spread``, columns that identify a row.
     """
     groups = list(groups)
     entries = F.array(
@@ -49,31 +43,21 @@ def flag_repeats(
     counts = stage(repeated_keys(long, [*groups, "flag", "key_text"]), "repeats")
     flagged = df
     for flag, key in keys.items():
-        flagged = _flag(flagged, counts.where(F.col("flag") == flag), groups, flag, key, spread, heavy_rows)
+        flagged = _flag(flagged, counts.where(F.col("flag") == flag), groups, flag, key, spread)
     return flagged
 
 
 def _flag(
-    df: DataFrame, counts: DataFrame, groups: list[str], flag: str, key: str,
-    spread: Sequence[str], heavy_rows: int,
+    df: DataFrame, counts: DataFrame, groups: list[str], flag: str, key: str, spread: Sequence[str],
 ) -> DataFrame:
-    on = [*groups, "key_text"]
-    heavy = counts.where(F.col("occurrences") >= heavy_rows)
-    light = counts.where(F.col("occurrences") < heavy_rows)
-    heavy = F.broadcast(heavy.select(*on, F.lit(True).alias("is_heavy")))
-    light = light.select(*on, F.lit(0).cast("bigint").alias("salt"), F.lit(True).alias("is_light"))
-    keyed = df.withColumn("key_text", F.col(key).cast("string"))
-    salted = keyed.join(heavy, on, "left").withColumn(
-        "salt",
-        F.when(
-            F.col("is_heavy") | F.col("key_text").isNull(),
-            F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1,
-        ).otherwise(F.lit(0).cast("bigint")),
-    )
-    return salted.join(light, [*on, "salt"], "left").select(
-        *df.columns,
-        (F.col("is_heavy").isNotNull() | F.col("is_light").isNotNull()).alias(flag),
+    on = [*groups, "key_text", "salt"]
+    known = counts.select(
+        *groups, "key_text", F.lit(0).cast("bigint").alias("salt"), F.lit(True).alias("is_repeated")
     )
+    salt = F.when(F.col("key_text").isNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1)
+    keyed = df.withColumn("key_text", F.col(key).cast("string"))
+    salted = keyed.withColumn("salt", F.coalesce(salt, F.lit(0).cast("bigint")))
+    return salted.join(known, on, "left").select(*df.columns, F.col("is_repeated").isNotNull().alias(flag))
 
 
 def excess_rows(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

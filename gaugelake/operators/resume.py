@@ -23,17 +23,17 @@ def ledger_is_consistent() -> Column:
     return (
         counts & quarantine & F.col("reconciliation_matches") & F.col("reconciliation_applicable")
         & ~has_absolute_path(
-            F.col("raw_key"), F.col("staging_key"), F.col("quarantine_key"),
-            *[F.col("source_identity")],
+            "raw_key", "staging_key", "quarantine_key", "processing_timestamp", "pipeline_version",
+            F.array_join(F.map_values("source_identity"), "\n"),
         )
     )
 
 
-def has_absolute_path(*values: Column) -> Column:
-    """True when any text, or any value of a map, starts like a drive-letter path."""
+def has_absolute_path(*values: Column | str) -> Column:
+    """True when any text holds a drive-letter path."""
     found = F.lit(False)
     for value in values:
-        text = value.cast("string")
+        text = (F.col(value) if isinstance(value, str) else value).cast("string")
         found = found | F.coalesce(text.rlike(C.ABSOLUTE_PATH_ANYWHERE), F.lit(False))
     return found
 

@@ -78,13 +78,18 @@ def unexpected_dates(expected: DataFrame, inputs: DataFrame) -> DataFrame:
     return inputs.join(expected.select("source_date"), "source_date", "left_anti")
 
 
-def _tagged(*checks: tuple[Column, str]) -> Column:
+def tagged(*checks: tuple[Column, str]) -> Column:
     """Texts of the checks that fail; a check that is null fails too."""
     return F.array_compact(
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for ok, text in checks])
     )
 
 
+def within(column: str, limit: int | None) -> Column:
+    """The quantity keeps its limit; without one it always does."""
+    return F.lit(True) if limit is None else F.col(column) <= limit
+
+
 def input_findings(inputs: DataFrame) -> DataFrame:
     """Contract violations of single inputs: year, month, source_date, finding."""
     first, last = F.col("first_valid_timestamp"), F.col("last_valid_timestamp")
@@ -101,28 +106,28 @@ def input_findings(inputs: DataFrame) -> DataFrame:
     no_rows = valid == 0
     on_day = (F.to_date(first) == F.col("source_date")) & (F.to_date(last) == F.col("source_date"))
     bare = first.isNull() & last.isNull()
-    checks = _tagged(
-        (in_month, "selected input belongs to a different month"),
-        (kind.isin("version_id", "sha256", "etag"), "unsupported completion-marker identity kind"),
-        (value != "", "completion marker is not pinned"),
-        ((kind != "sha256") | F.lower(value).rlike(identity.HEX64), "invalid completion-marker SHA-256"),
-        (filled, "selected input contains an empty required identity field"),
+    checks = tagged(
+        (in_month, "MONTH_DIFFERS"),
+        (kind.isin("version_id", "sha256", "etag"), "MARKER_KIND"),
+        (value != "", "MARKER_EMPTY"),
+        ((kind != "sha256") | F.lower(value).rlike(identity.HEX64), "MARKER_DIGEST"),
+        (filled, "IDENTITY_EMPTY"),
         (
             F.col("input_row_count") == valid + F.col("quarantine_row_count"),
-            "selected daily counts do not reconcile",
+            "COUNTS_DIFFER",
         ),
-        ((valid >= 0) & (F.col("quarantine_row_count") >= 0), "selected daily counts cannot be negative"),
-        (~no_rows | bare, "empty daily input has boundary timestamps"),
-        (no_rows | (first.isNotNull() & last.isNotNull()), "nonempty daily input lacks boundary timestamps"),
-        (bare | on_day, "selected boundary timestamp conflicts with source_date"),
-        (bare | (first <= last), "selected daily boundary is reversed"),
+        ((valid >= 0) & (F.col("quarantine_row_count") >= 0), "COUNT_NEGATIVE"),
+        (~no_rows | bare, "EMPTY_DAY_HAS_BOUNDS"),
+        (no_rows | (first.isNotNull() & last.isNotNull()), "BOUNDS_MISSING"),
+        (bare | on_day, "BOUNDS_OFF_DAY"),
+        (bare | (first <= last), "BOUNDS_REVERSED"),
         (
             (F.col("schema_version") == C.SCHEMA_VERSION)
             & (F.col("manifest_version") == C.MANIFEST_VERSION),
-            "unsupported schema or manifest version",
+            "VERSION_UNKNOWN",
         ),
-        (F.lower("staging_sha256").rlike(identity.HEX64), "invalid staging SHA-256"),
-        (F.col("staging_byte_size") > 0, "staging byte size must be positive"),
+        (F.lower("staging_sha256").rlike(identity.HEX64), "STAGING_DIGEST_INVALID"),
+        (F.col("staging_byte_size") > 0, "STAGING_SIZE"),
     )
     return inputs.select(*MONTH, "source_date", F.explode(checks).alias("finding"))
 
@@ -131,11 +136,11 @@ def selection_findings(inputs: DataFrame, months: DataFrame) -> DataFrame:
     """Violations of whole selections added to those of single inputs."""
     expected = expected_dates(months)
     repeated = inputs.groupBy(*MONTH, "source_date").count().where("count > 1").select(
-        *MONTH, "source_date", F.lit("selection contains duplicate approved dates").alias("finding")
+        *MONTH, "source_date", F.lit("DATE_REPEATED").alias("finding")
     )
     outside = unexpected_dates(expected, inputs).select(
         *MONTH, "source_date",
-        F.lit("selected date is absent from the expected raw-date inventory").alias("finding"),
+        F.lit("DATE_UNEXPECTED").alias("finding"),
     )
     return input_findings(inputs).unionByName(repeated).unionByName(outside)
 
@@ -145,10 +150,10 @@ def bound_findings(inputs: DataFrame, bounds: CompactionBounds) -> DataFrame:
         F.count(F.lit(1)).alias("objects"), F.sum("staging_byte_size").alias("bytes"),
         F.sum("input_row_count").alias("rows"),
     )
-    checks = _tagged(
-        (F.col("objects") <= bounds.max_selected_objects, "selected object count exceeds configured limit"),
-        (F.col("bytes") <= bounds.max_compressed_input_bytes, "selected compressed bytes exceed configured limit"),
-        (F.col("rows") <= bounds.max_input_rows, "selected rows exceed configured limit"),
+    checks = tagged(
+        (within("objects", bounds.max_selected_objects), "OVER_OBJECT_LIMIT"),
+        (within("bytes", bounds.max_compressed_input_bytes), "OVER_BYTE_LIMIT"),
+        (within("rows", bounds.max_input_rows), "OVER_ROW_LIMIT"),
     )
     return totals.select(
         *MONTH, F.lit(None).cast("date").alias("source_date"), F.explode(checks).alias("finding")
@@ -166,8 +171,8 @@ def marker_findings(inputs: DataFrame, manifests: DataFrame) -> DataFrame:
     gone = F.col("b.processing_identity").isNull()
     return joined.where(gone | differs).select(
         F.col("a.year").alias("year"), F.col("a.month").alias("month"), "source_date",
-        F.when(gone, "selected completion marker is missing")
-        .otherwise("selected completion marker conflicts with reviewed evidence").alias("finding"),
+        F.when(gone, "MARKER_GONE")
+        .otherwise("MARKER_CONFLICT").alias("finding"),
     )
 
 
@@ -175,21 +180,21 @@ def evidence_findings(inputs: DataFrame, staged: DataFrame) -> DataFrame:
     """Selected days against what is staged now: digest, size, rows, endpoints, dates."""
     joined = inputs.join(staged.drop("source_date"), "staging_key", "left")
     empty = (F.col("valid_row_count") == 0) & F.col("staged_row_count").isNull()
-    checks = _tagged(
+    checks = tagged(
         (
             empty | ((F.col("staged_byte_size") == F.col("staging_byte_size"))
                      & (F.col("staged_sha256") == F.lower("staging_sha256"))),
-            "selected staging checksum or size mismatch",
+            "STAGING_BYTES_DIFFER",
         ),
-        (empty | F.col("staged_is_conformant"), "staged schema or codec mismatch"),
+        (empty | F.col("staged_is_conformant"), "STAGING_FORMAT"),
         (
             empty | (F.col("staged_row_count") == F.col("valid_row_count")),
-            "daily Parquet row count does not match its completion marker",
+            "STAGING_ROWS_DIFFER",
         ),
         (
             F.col("staged_first").eqNullSafe(F.col("first_valid_timestamp"))
             & F.col("staged_last").eqNullSafe(F.col("last_valid_timestamp")),
-            "daily Parquet boundary timestamps conflict with completion marker",
+            "STAGING_BOUNDS_DIFFER",
         ),
     )
     return joined.select(*MONTH, "source_date", F.explode(checks).alias("finding"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gaugelake import contract as C
 from gaugelake.contract import AuditBounds, Thresholds
 from gaugelake.functions import identity
-from gaugelake.operators import conformance, continuity
-from gaugelake.operators.selection import MONTH, _tagged, month_table
+from gaugelake.operators import conformance, continuity, resume
+from gaugelake.operators.selection import MONTH, month_table, tagged, within
 from gaugelake.plans import catalog, compact, publish
 from gaugelake.plans import lake as L
 from gaugelake.plans.lake import Lake
@@ -41,34 +41,57 @@ def raw_counts(spark: SparkSession, lake: Lake) -> DataFrame:
 def quarantine_counts(spark: SparkSession, lake: Lake) -> DataFrame:
     if not L.exists(spark, lake.quarantine):
         return spark.createDataFrame(
-            [], "quarantine_key string, rejected_row_count long, rejected_path_count long"
+            [], "quarantine_key string, rejected_row_count long, rejected_path_count long,"
+            " damaged_line_count long"
         )
-    rows = tables.read_quarantine(spark, lake.quarantine)
+    rows = tables.read_quarantine(spark, lake.quarantine, tolerate_damage=True)
     text = F.to_json(F.struct("original_record", "original_field_values", "source_object_key"))
     return rows.groupBy(
         L.quarantine_key(lake, F.col("source_date"), F.col("input_id")).alias("quarantine_key")
     ).agg(
         F.count(F.lit(1)).alias("rejected_row_count"),
         F.count_if(text.rlike(C.ABSOLUTE_PATH_ANYWHERE)).alias("rejected_path_count"),
+        F.count("damaged_line").alias("damaged_line_count"),
     )
 
 
 def lake_evidence(spark: SparkSession, lake: Lake) -> DataFrame:
-    """Ledger beside independent evidence from every zone, one row per day.
+    """Ledger beside independent evidence from every zone, one row per day and input.
 
-    The full outer join keeps raw days the ledger does not know.
+    Zones are joined on the folder that the day's identity names, also where the ledger has no
+    quarantine. The full outer joins keep raw, staged and quarantine folders of days that the
+    ledger does not know.
     """
-    book = L.manifests(spark, lake)
+    day, input_id = F.col("source_date"), F.col("input_id")
+    book = L.manifests(spark, lake).withColumn("quarantine_folder", L.quarantine_key(lake, day, input_id))
+    has_path = resume.has_absolute_path(
+        "raw_key", "staging_key", "quarantine_key", "processing_timestamp", "pipeline_version",
+        F.array_join(F.map_values("source_identity"), "\n"),
+    )
+    book = book.withColumn("manifest_has_path", has_path)
     sums = objects.object_checksums(spark, lake.raw, "*").select(
         L.relative(lake, F.col("object_key")).alias("raw_key"), F.col("sha256").alias("seen_raw_sha256")
     )
-    staged = publish.staged_evidence(spark, lake).drop("source_date")
-    rejected = publish.quarantine_evidence(spark, lake).drop("source_date")
-    return (
+    staged = publish.staged_evidence(spark, lake).withColumnRenamed("source_date", "staged_date")
+    rejected = publish.quarantine_evidence(spark, lake).withColumnRenamed("source_date", "rejected_date")
+    rejected = rejected.join(quarantine_counts(spark, lake), "quarantine_key", "left").withColumnRenamed(
+        "quarantine_key", "quarantine_folder"
+    )
+
+    def current(found: DataFrame, key: str, date: str) -> DataFrame:
+        """Without outputs of earlier inputs of a day, which stay where they are."""
+        known = book.select(F.col("source_date").alias(date), F.col(key).alias("known_key"), F.lit(True).alias("known_day"))
+        joined = found.join(known, date, "left")
+        return joined.where(F.col("known_day").isNull() | (F.col(key) == F.col("known_key"))).drop("known_key", "known_day")
+
+    staged = current(staged, "staging_key", "staged_date")
+    rejected = current(rejected, "quarantine_folder", "rejected_date")
+    joined = (
         book.join(raw_counts(spark, lake).join(sums, "raw_key"), "raw_key", "full_outer")
-        .join(staged, "staging_key", "left")
-        .join(rejected.join(quarantine_counts(spark, lake), "quarantine_key"), "quarantine_key", "left")
+        .join(staged, "staging_key", "full_outer")
+        .join(rejected, "quarantine_folder", "full_outer")
     )
+    return joined.withColumn("source_date", F.coalesce("source_date", "staged_date", "rejected_date"))
 
 
 def lake_failures(evidence: DataFrame) -> DataFrame:
@@ -80,34 +103,38 @@ def lake_failures(evidence: DataFrame) -> DataFrame:
     def same(left: str, right: str) -> Column:
         return F.col(left).eqNullSafe(F.col(right))
 
-    checks = _tagged(
-        (known, "raw object has no manifest"),
-        (~known | same("raw_row_count", "input_row_count"), "raw row count mismatch"),
-        (~known | same("seen_raw_sha256", "raw_sha256"), "raw checksum mismatch"),
-        (F.col("raw_header_matches"), "raw header mismatch"),
-        (~known | same("staged_row_count", "valid_row_count") | none, "Parquet row count mismatch"),
-        (~known | none | F.col("staged_is_conformant"), "Parquet schema or codec mismatch"),
-        (~known | none | same("staged_sha256", "staging_sha256"), "staging checksum mismatch"),
+    checks = tagged(
+        (known | F.col("raw_row_count").isNull(), "RAW_WITHOUT_MANIFEST"),
+        (known | F.col("staged_byte_size").isNull(), "STAGED_WITHOUT_MANIFEST"),
+        (known | F.col("rejected_byte_size").isNull(), "QUARANTINE_WITHOUT_MANIFEST"),
+        (~known | same("raw_row_count", "input_row_count"), "RAW_ROWS"),
+        (~known | same("seen_raw_sha256", "raw_sha256"), "RAW_DIGEST"),
+        (F.col("raw_row_count").isNull() | F.col("raw_header_matches"), "RAW_HEADER"),
+        (~known | same("staged_row_count", "valid_row_count") | none, "STAGED_ROWS"),
+        (~known | none | F.col("staged_is_conformant"), "STAGED_FORMAT"),
+        (~known | none | same("staged_sha256", "staging_sha256"), "STAGED_DIGEST"),
         (
             ~known | ~rejected | same("rejected_row_count", "quarantine_row_count"),
-            "quarantine row count mismatch",
+            "QUARANTINE_ROWS",
         ),
         (
             ~known | ~rejected | same("rejected_sha256", "quarantine_sha256"),
-            "quarantine checksum mismatch",
+            "QUARANTINE_DIGEST",
         ),
         (
             ~known | rejected | F.col("rejected_byte_size").isNull(),
-            "unexpected zero-row quarantine file",
+            "QUARANTINE_UNEXPECTED",
         ),
+        (F.coalesce("damaged_line_count", F.lit(0)) == 0, "QUARANTINE_DAMAGED"),
         (
             ~known | same("input_row_count", "accounted_rows"),
-            "input/valid/quarantine reconciliation failed",
+            "ROWS_UNBALANCED",
         ),
         (
             (F.coalesce("raw_path_count", F.lit(0)) == 0)
-            & (F.coalesce("rejected_path_count", F.lit(0)) == 0),
-            "generated output contains an absolute path",
+            & (F.coalesce("rejected_path_count", F.lit(0)) == 0)
+            & ~F.coalesce("staged_has_path", F.lit(False)) & ~F.coalesce("manifest_has_path", F.lit(False)),
+            "ABSOLUTE_PATH",
         ),
     )
     accounted = evidence.withColumn(
@@ -122,6 +149,10 @@ def lake_summary(evidence: DataFrame) -> DataFrame:
     totals = evidence.agg(
         F.count("manifest_version").alias("manifest_count"),
         F.count("raw_row_count").alias("raw_object_count"),
+        F.count("staged_row_count").alias("staged_object_count"),
+        F.count_if(F.col("valid_row_count") > 0).alias("expected_staged_count"),
+        F.count("rejected_byte_size").alias("quarantine_object_count"),
+        F.count_if(F.col("quarantine_row_count") > 0).alias("expected_quarantine_count"),
         F.min("source_date").alias("start_date"), F.max("source_date").alias("end_date"),
         F.sum("input_row_count").alias("manifest_input_row_count"),
         F.sum("valid_row_count").alias("manifest_valid_row_count"),
@@ -132,11 +163,23 @@ def lake_summary(evidence: DataFrame) -> DataFrame:
         F.sum("significant_gap_count").alias("significant_gap_count"),
         F.lit(1).alias("row"),
     )
-    return totals.join(failed, "row").drop("row").withColumn(
-        "aggregate_reconciliation_matches",
-        F.col("raw_row_count")
-        == F.col("parquet_row_count") + F.coalesce("quarantine_row_count", F.lit(0)),
-    ).withColumn(
+    none = F.lit(0)
+    sums_match = (
+        (F.coalesce("raw_row_count", none) == F.coalesce("manifest_input_row_count", none))
+        & (F.coalesce("parquet_row_count", none) == F.coalesce("manifest_valid_row_count", none))
+        & (F.coalesce("quarantine_row_count", none) == F.coalesce("manifest_quarantine_row_count", none))
+        & (F.coalesce("raw_row_count", none)
+           == F.coalesce("parquet_row_count", none) + F.coalesce("quarantine_row_count", none))
+    )
+    counts_match = (
+        (F.col("manifest_count") == F.col("raw_object_count"))
+        & (F.col("staged_object_count") == F.col("expected_staged_count"))
+        & (F.col("quarantine_object_count") == F.col("expected_quarantine_count"))
+    )
+    helpers = ("staged_object_count", "expected_staged_count", "quarantine_object_count", "expected_quarantine_count")
+    return totals.join(failed, "row").withColumn(
+        "aggregate_reconciliation_matches", sums_match & counts_match
+    ).drop("row", *helpers).withColumn(
         "verified", (F.col("failure_count") == 0) & F.col("aggregate_reconciliation_matches")
     )
 
@@ -182,32 +225,32 @@ def inventory_findings(
     outside = F.exists(
         "known_missing_dates", lambda d: F.date_format(d, "yyyy-MM") != F.concat_ws("-", F.col("year"), F.col("month"))
     )
-    checks = _tagged(
-        (F.col("month").rlike("^(0[1-9]|1[0-2])$") & F.col("run_id").rlike(identity.HEX64), "invalid month or run ID"),
-        (F.col("curated_sha256").rlike(identity.HEX64), "invalid curated checksum"),
-        ((F.col("curated_byte_size") > 0) & (F.col("curated_row_count") >= 0), "invalid curated evidence"),
-        (F.col("selected_row_count") == F.col("curated_row_count"), "selected and curated rows differ"),
-        ((F.col("quarantine_row_count") >= 0) & (F.col("within_month_gap_count") >= 0), "negative count"),
-        (F.col("location").endswith(path), "location does not identify the approved run"),
-        (F.concat(F.lit("/"), "curated_key", F.lit("/")).endswith(path), "curated key does not identify the approved run"),
-        (first.isNull() | last.isNull() | (first <= last), "reversed month boundary"),
-        (F.col("coverage_status").isin(*COVERAGE), "unsupported coverage status"),
-        (~outside, "missing-date fact is outside the month"),
+    checks = tagged(
+        (F.col("month").rlike("^(0[1-9]|1[0-2])$") & F.col("run_id").rlike(identity.HEX64), "RUN_LABEL"),
+        (F.col("curated_sha256").rlike(identity.HEX64), "CURATED_DIGEST_INVALID"),
+        ((F.col("curated_byte_size") > 0) & (F.col("curated_row_count") >= 0), "CURATED_SIZE_INVALID"),
+        (F.col("selected_row_count") == F.col("curated_row_count"), "SELECTED_ROWS_DIFFER"),
+        ((F.col("quarantine_row_count") >= 0) & (F.col("within_month_gap_count") >= 0), "COUNT_NEGATIVE"),
+        (F.col("location").endswith(path), "LOCATION_RUN"),
+        (F.concat(F.lit("/"), "curated_key", F.lit("/")).endswith(path), "KEY_RUN"),
+        (first.isNull() | last.isNull() | (first <= last), "BOUNDS_REVERSED"),
+        (F.col("coverage_status").isin(*COVERAGE), "COVERAGE_UNKNOWN"),
+        (~outside, "MISSING_DATE_OFF_MONTH"),
     )
     per_month = inventory.select(label.alias("month_label"), F.explode(checks).alias("finding"))
     repeated = inventory.groupBy(label.alias("month_label")).count().where("count > 1").select(
-        "month_label", F.lit("audit inventory contains duplicate months").alias("finding")
+        "month_label", F.lit("MONTH_REPEATED").alias("finding")
     )
     expected = month_table(spark, known_start, known_end).select(label.alias("month_label"))
     present = inventory.select(label.alias("month_label"))
     uncovered = expected.join(present, "month_label", "left_anti").unionByName(
         present.join(expected, "month_label", "left_anti")
-    ).select("month_label", F.lit("month entries must exactly match expected months").alias("finding"))
+    ).select("month_label", F.lit("MONTHS_DIFFER").alias("finding"))
     total = inventory.agg(F.coalesce(F.sum("curated_row_count"), F.lit(0)).alias("total")).where(
         F.col("total") != expected_total_rows
     ).select(
         F.lit(None).cast("string").alias("month_label"),
-        F.lit("inventory aggregate row count does not reconcile").alias("finding"),
+        F.lit("TOTAL_ROWS_DIFFER").alias("finding"),
     )
     return per_month.unionByName(repeated).unionByName(uncovered).unionByName(total)
 
@@ -224,40 +267,40 @@ def audit_months(
     limits = bounds or AuditBounds()
     label = F.concat_ws("-", "year", "month")
     seen = curated_state(spark, lake, inventory)
-    checks = _tagged(
-        (F.col("curated_byte_size") <= limits.max_object_bytes, "curated object exceeds the configured object limit"),
+    checks = tagged(
+        (within("curated_byte_size", limits.max_object_bytes), "OVER_OBJECT_LIMIT"),
         (
             (F.col("seen_byte_size") == F.col("curated_byte_size"))
             & (F.col("seen_sha256") == F.col("curated_sha256")),
-            "curated checksum or size mismatch",
+            "CURATED_BYTES_DIFFER",
         ),
-        (F.col("row_count") == F.col("curated_row_count"), "curated output row count does not reconcile"),
-        (F.col("order_violation_count") == 0, "curated output is not stably sorted"),
-        (F.col("duplicate_timestamp_count") == 0, "curated output contains duplicate timestamps"),
-        (F.col("duplicate_index_count") == 0, "curated output contains duplicate record indexes"),
-        (F.col("null_row_count") == 0, "curated output contains missing required values"),
+        (F.col("row_count") == F.col("curated_row_count"), "CURATED_ROWS_DIFFER"),
+        (F.col("order_violation_count") == 0, "CURATED_ORDER"),
+        (F.col("duplicate_timestamp_count") == 0, "CURATED_TIMESTAMP_REPEATED"),
+        (F.col("duplicate_index_count") == 0, "CURATED_INDEX_REPEATED"),
+        (F.col("null_row_count") == 0, "CURATED_NULL"),
         (
             F.col("seen_first").eqNullSafe(F.col("first_timestamp"))
             & F.col("seen_last").eqNullSafe(F.col("last_timestamp")),
-            "curated timestamp boundaries do not match inventory",
+            "CURATED_BOUNDS_DIFFER",
         ),
-        (F.col("completion_matches"), "completion evidence conflicts with inventory"),
+        (F.col("completion_matches"), "COMPLETION_DIFFERS"),
     )
 
-    def tagged(df: DataFrame, severity: str, finding: Column) -> DataFrame:
+    def graded(df: DataFrame, severity: str, finding: Column) -> DataFrame:
         return df.select(F.lit(severity).alias("severity"), "month_label", finding.alias("finding"))
 
-    fatal = tagged(seen.withColumn("month_label", label), "fatal", F.explode(checks))
-    differs = seen.select(label.alias("month_label"), F.explode(_tagged(
-        (F.col("selected_row_count") == F.col("row_count"), "selected rows differ from curated rows"),
-        (F.col("completion_reconciles"), "completion reconciliation is not successful"),
+    fatal = graded(seen.withColumn("month_label", label), "fatal", F.explode(checks))
+    differs = seen.select(label.alias("month_label"), F.explode(tagged(
+        (F.col("selected_row_count") == F.col("row_count"), "SELECTED_ROWS_DIFFER"),
+        (F.col("completion_reconciles"), "COMPLETION_UNBALANCED"),
     )).alias("finding"))
-    reconciliation = tagged(differs, "reconciliation", F.col("finding"))
-    drift = tagged(
+    reconciliation = graded(differs, "reconciliation", F.col("finding"))
+    drift = graded(
         catalog.publication_drift(inventory, published).withColumn("month_label", label), "drift",
         F.col("finding"),
     )
-    quality = tagged(
+    quality = graded(
         inventory.select(
             label.alias("month_label"),
             F.explode(F.array_compact(F.array(
@@ -272,15 +315,15 @@ def audit_months(
         F.sum("curated_row_count").alias("rows"),
     ).select(
         F.lit(None).cast("string").alias("month_label"),
-        F.explode(_tagged(
-            (F.col("months") <= limits.max_months, "inventory exceeds the configured month limit"),
-            (F.col("bytes") <= limits.max_total_bytes, "inventory exceeds the configured total-byte limit"),
-            (F.col("rows") <= limits.max_total_rows, "inventory exceeds the configured row limit"),
+        F.explode(tagged(
+            (within("months", limits.max_months), "OVER_MONTH_LIMIT"),
+            (within("bytes", limits.max_total_bytes), "OVER_BYTE_LIMIT"),
+            (within("rows", limits.max_total_rows), "OVER_ROW_LIMIT"),
         )).alias("finding"),
     )
     return (
         fatal.unionByName(reconciliation).unionByName(drift).unionByName(quality)
-        .unionByName(tagged(whole, "fatal", F.col("finding")))
+        .unionByName(graded(whole, "fatal", F.col("finding")))
     )
 
 

@@ -15,7 +15,7 @@ from gaugelake.operators import selection as S
 from gaugelake.plans import lake as L
 from gaugelake.plans import publish
 from gaugelake.plans.lake import Lake
-from gaugelake.session import stage, together
+from gaugelake.session import partitions_for, stage, together
 from gaugelake.sources import objects, tables
 
 RUN = ["year", "month", "run_id"]
@@ -31,10 +31,6 @@ COMPLETION_SCHEMA = (
 )
 
 
-class ImmutableRunConflict(RuntimeError):
-    """A run directory exists with rows other than those of its identity."""
-
-
 def read_curated(
     spark: SparkSession, lake: Lake, below: list[str] | None = None, tolerate_damage: bool = False
 ) -> DataFrame:
@@ -71,7 +67,10 @@ def rejections(
     spark: SparkSession, lake: Lake, inputs: DataFrame, months: DataFrame, rows: DataFrame,
     bounds: CompactionBounds,
 ) -> DataFrame:
-    """Everything that keeps a month from being compacted: year, month, source_date, finding."""
+    """Everything that keeps a month from being compacted: year, month, source_date, finding.
+
+    ``inputs`` is what was reviewed; the ledger as it is now must still say the same.
+    """
     found = (
         S.selection_findings(inputs, months)
         .unionByName(S.bound_findings(inputs, bounds))
@@ -82,18 +81,17 @@ def rejections(
             )
         )
     )
-    for key, text in (
-        ("event_timestamp_local", "duplicate timestamp across selected daily inputs"),
-        ("record_index", "duplicate record_index across selected daily inputs"),
-    ):
-        across = repeats.keys_across(rows, S.MONTH, key, "source_date")
-        found = found.unionByName(
-            across.select(*S.MONTH, F.col("last_part").alias("source_date"), F.lit(text).alias("finding"))
-        )
-    return found
+    # A timestamp can only be on two days if it is on a day other than its own.
+    off_day = rows.where(F.to_date("event_timestamp_local") != F.col("source_date"))
+    across = repeats.keys_across(rows, S.MONTH, "record_index", "source_date")
+    return found.unionByName(
+        off_day.groupBy(*S.MONTH, "source_date").agg(F.lit("TIMESTAMP_ON_TWO_DAYS").alias("finding"))
+    ).unionByName(
+        across.groupBy(*S.MONTH, F.col("last_part").alias("source_date")).agg(F.lit("INDEX_ON_TWO_DAYS").alias("finding"))
+    )
 
 
-def write_runs(rows: DataFrame, lake: Lake) -> None:
+def write_runs(rows: DataFrame, lake: Lake, parts: int) -> None:
     """Sorted curated files: one range-partitioned pass over all months.
 
     A month larger than a partition becomes several files whose name order is the sort order.
@@ -102,7 +100,7 @@ def write_runs(rows: DataFrame, lake: Lake) -> None:
     keys = [*RUN, "event_timestamp_local", "record_index"]
     (
         rows.select(*names, *RUN)
-        .repartitionByRange(*keys)
+        .repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .write.mode("append")
         .option("compression", "snappy")
@@ -126,20 +124,22 @@ def existing_runs(spark: SparkSession, lake: Lake, wanted: DataFrame) -> DataFra
 
 def compact_months(
     spark: SparkSession, lake: Lake, known_start: date, known_end: date,
-    bounds: CompactionBounds | None = None,
+    bounds: CompactionBounds | None = None, selection: DataFrame | None = None,
 ) -> DataFrame:
     """Compact every month of the range that may be compacted.
 
-    Returns one completion row per month with inputs; rejected months carry their findings and
-    have no run. Running again with the same inputs writes nothing.
+    ``selection`` is a reviewed selection in the columns of ``selected_inputs``; without one the
+    ledger is taken as it stands. Days of a month outside the known range are findings. Returns
+    one row per month with inputs; a month that is rejected, or whose run or output conflicts,
+    carries its findings and holds up no other. Running again with the same inputs writes
+    nothing.
     """
+    limits = bounds or CompactionBounds()
     months = S.month_table(spark, known_start, known_end)
-    in_range = F.col("source_date").between(F.lit(known_start), F.lit(known_end))
-    inputs = stage(S.selected_inputs(L.manifests(spark, lake)).where(in_range), "inputs")
+    chosen = S.selected_inputs(L.manifests(spark, lake)) if selection is None else selection
+    inputs = stage(chosen.join(months.select(*S.MONTH), S.MONTH, "left_semi"), "inputs")
     rows = staged_rows(spark, lake, inputs)
-    rejected = stage(
-        rejections(spark, lake, inputs, months, rows, bounds or CompactionBounds()), "rejections"
-    )
+    rejected = stage(rejections(spark, lake, inputs, months, rows, limits), "rejections")
     runs = stage(
         S.run_identities(inputs, lake.source).join(rejected, S.MONTH, "left_anti"), "runs"
     )
@@ -149,18 +149,32 @@ def compact_months(
     if not old.isEmpty():
         again = with_run.join(F.broadcast(old.select(*RUN)), RUN, "left_semi")
         fresh = identity.content_fingerprint(again, RUN, [f.name for f in C.NORMALIZED_SCHEMA])
-        if not old.exceptAll(fresh.select(*old.columns)).isEmpty():
-            raise ImmutableRunConflict("a curated run holds rows other than its selection")
-    write_runs(with_run.join(F.broadcast(old.select(*RUN)), RUN, "left_anti"), lake)
+        # The run directory holds rows other than those of its identity: leave it alone.
+        differs = stage(
+            old.exceptAll(fresh.select(*old.columns)).select(
+                *S.MONTH, F.lit(None).cast("date").alias("source_date"), F.lit("RUN_CONFLICT").alias("finding")
+            ), "conflicts",
+        )
+        rejected = rejected.unionByName(differs)
+        runs = runs.join(differs, S.MONTH, "left_anti")
+    size = inputs.agg(F.sum("staging_byte_size")).first()[0]
+    write_runs(
+        with_run.join(F.broadcast(old.select(*RUN)), RUN, "left_anti"), lake, partitions_for(spark, size)
+    )
     completion = stage(completions(spark, lake, inputs, runs, months, old), "completion")
-    failed = completion.where(
-        ~(F.col("curated_equals_selected_valid") & F.col("input_equals_valid_plus_quarantine")
-          & F.col("is_conformant"))
+    bad = completion.select(
+        *S.MONTH, F.lit(None).cast("date").alias("source_date"),
+        F.explode(S.tagged(
+            (F.col("curated_equals_selected_valid") & F.col("input_equals_valid_plus_quarantine"), "ROWS_UNBALANCED"),
+            (F.col("is_conformant"), "CURATED_FORMAT"),
+            (F.col("curated_byte_size").isNull() | S.within("curated_byte_size", limits.max_output_bytes), "OVER_OUTPUT_LIMIT"),
+        )).alias("finding"),
     )
-    if not failed.isEmpty():
-        raise RuntimeError("monthly reconciliation failed")
+    rejected = rejected.unionByName(bad)
+    completion = completion.join(bad, S.MONTH, "left_anti")
+    runs = runs.join(bad, S.MONTH, "left_anti")
     if not completion.isEmpty():
-        boundaries = continuity.selection_boundaries(inputs, S.MONTH)
+        boundaries = continuity.selection_boundaries(inputs.join(runs, S.MONTH, "left_semi"), S.MONTH)
         selected = inputs.join(runs, S.MONTH)
         together(
             spark,

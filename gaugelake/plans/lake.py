@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +63,10 @@ def curated_key(lake: Lake, year: Column, month: Column, run_id: Column) -> Colu
 
 
 def relative(lake: Lake, path: Column) -> Column:
-    """Path below the lake root."""
-    root = lake.root.rstrip("/").rsplit("/", 1)[-1]
-    return F.substring_index(path, f"/{root}/", -1)
+    """Path below the lake root, whose scheme and host readers may spell differently."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", lake.root.rstrip("/")) + "/"
+    at = F.instr(path, root)
+    return F.when(at > 0, F.substring(path, at + len(root), F.length(path))).otherwise(path)
 
 
 _RULES = T.ArrayType(

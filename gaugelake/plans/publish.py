@@ -14,7 +14,7 @@ from gaugelake.operators import resume, rules
 from gaugelake.plans import lake as L
 from gaugelake.plans import transform
 from gaugelake.plans.lake import Lake
-from gaugelake.session import stage, together
+from gaugelake.session import partitions_for, stage, stored_size, together
 from gaugelake.sources import objects, raw, tables
 
 
@@ -81,7 +81,7 @@ def staged_evidence(
         return spark.createDataFrame(
             [], "staging_key string, source_date date, staged_row_count long, staged_first timestamp_ntz,"
             " staged_last timestamp_ntz, staged_byte_size long, staged_sha256 string,"
-            " staged_is_conformant boolean",
+            " staged_is_conformant boolean, staged_has_path boolean",
         )
     folder = F.regexp_replace("file_path", "/[^/]*$", "")
     expected = F.array(*[F.lit(c) for c in objects.NORMALIZED_FOOTER])
@@ -90,6 +90,7 @@ def staged_evidence(
         .groupBy(folder.alias("object_key"))
         .agg(
             F.sum("row_count").alias("staged_row_count"),
+            F.bool_or("metadata_has_path").alias("staged_has_path"),
             F.bool_and(
                 F.col("is_readable") & (F.col("columns") == expected) & ~F.col("timestamp_zoned")
                 & ((F.col("row_count") == 0) | (F.array_join("codecs", ",") == "SNAPPY"))
@@ -123,7 +124,7 @@ def staged_evidence(
         .select(
             L.relative(lake, F.col("object_key")).alias("staging_key"),
             _day_of(F.col("object_key")).alias("source_date"),
-            "staged_row_count", "staged_is_conformant",
+            "staged_row_count", "staged_is_conformant", "staged_has_path",
             F.col("byte_size").alias("staged_byte_size"), F.col("sha256").alias("staged_sha256"),
         )
         .join(keyed, "staging_key", "left")
@@ -233,7 +234,8 @@ def build_days(
         ),
     )
     judged = judged.withColumn("problems", problems)
-    accepted = judged.where(F.size("problems") == 0)
+    # One row a day, written so that Spark knows how small it is beside the rows.
+    accepted = stage(judged.where(F.size("problems") == 0), "accepted")
     write_outputs(lake, run, result, accepted.select("object_key", "input_id", "raw_sha256"))
     commit(spark, lake, run, result, accepted)
     return judged.where(F.size("problems") > 0).select(
@@ -250,6 +252,7 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
     rows = result.rows.join(accepted, "object_key")
     day = F.col("source_date")
     folders = ["year", "month", "day", "input_id"]
+    parts = partitions_for(rows.sparkSession, stored_size(result.rows))
     dated = rows.select(
         "*", F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"),
         F.date_format(day, "dd").alias("day"),
@@ -259,7 +262,7 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
 
     def write_staging() -> None:
         (
-            valid.repartitionByRange(*folders, "source_row_number")
+            valid.repartitionByRange(parts, *folders, "source_row_number")
             .sortWithinPartitions(*folders, "source_row_number")
             .select(*names, *folders)
             .write.mode("overwrite")
@@ -282,7 +285,7 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
 
     def write_quarantine() -> None:
         (
-            rejected.repartitionByRange(*dates, "source_row_number")
+            rejected.repartitionByRange(parts, *dates, "source_row_number")
             .sortWithinPartitions(*dates, "source_row_number")
             .select(*sorted(C.QUARANTINE_COLUMNS), *dates)
             .write.mode("overwrite")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugelake import contract
 from gaugelake.functions import parsing
 from gaugelake.operators import ordered
-from gaugelake.session import stage
+from gaugelake.session import partitions_for, stage
 from gaugelake.sources import raw
 
 HEADER_LINE = ",".join(contract.SOURCE_HEADER) + "\r"
@@ -73,15 +73,18 @@ def write_daily_objects(
         kept = kept.where(F.col("route_date") <= F.lit(end))
     if isinstance(header, str):
         header = kept.select("route_date").distinct().withColumn("line", F.lit(header))
+    size = kept.agg(F.sum(F.length("line"))).first()[0]
     headers = header.select(F.lit(0).cast("bigint").alias("source_row_number"), "line", "route_date")
     (
         kept.select("source_row_number", "line", "route_date")
         .unionByName(headers)
         .withColumnRenamed("route_date", "source_date")
-        .repartitionByRange("source_date", "source_row_number")
+        .repartitionByRange(partitions_for(rows.sparkSession, size), "source_date", "source_row_number")
         .sortWithinPartitions("source_date", "source_row_number")
         .select(F.col("line").alias("value"), "source_date")
         .write.mode("overwrite")
+        # Days outside the window stay whatever the session's setting is.
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source_date")
         .text(folder)
     )

@@ -65,10 +65,11 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
     parsed = stage(parsed_lines(lines), "parsed")
     blocks = stage(raw.block_table(parsed), "blocks")
     objects = raw.object_table(blocks)
-    passed = objects.where(
+    # One row an object: written, so that Spark knows its size and no row moves for the join.
+    passed = stage(objects.where(
         ~F.col("schema_drift") & ~F.col("empty_input") & F.col("is_utf8")
         & F.col("is_well_formed") & F.col("source_date").isNotNull()
-    ).select("object_key")
+    ).select("object_key"), "passed")
 
     numbered = (
         raw.with_row_numbers(parsed.drop("is_utf8", "is_well_formed", "is_header", "file_size"), blocks)

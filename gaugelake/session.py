@@ -8,6 +8,7 @@ broadcasts them or shuffles.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local master without a setting."""
     folder = spark.conf.get(_STAGING_KEY, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {_STAGING_KEY} to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="spark-gaugelake-")
         spark.conf.set(_STAGING_KEY, folder)
@@ -55,6 +56,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(spark: SparkSession, size: int | None, bytes_each: int = 128 << 20) -> int:
+    """Partitions for a write of ``size`` bytes: the session's number, or more for large data."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, (size or 0) // bytes_each + 1)
+
+
+def stored_size(df: DataFrame) -> int:
+    """Bytes of a frame that was read back from files, as Spark's own statistics give them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def together(spark: SparkSession, *actions: Callable[[], object]) -> list:
     """Run independent Spark actions at the same time and return their results in order."""
     with ThreadPoolExecutor(max_workers=len(actions)) as pool:

@@ -50,13 +50,17 @@ def read_normalized(
     return reader.parquet(*(below or [folder])).select("*", "_metadata")
 
 
-def read_quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    """Quarantine JSON lines; a malformed line fails the read."""
+def read_quarantine(spark: SparkSession, folder: str, tolerate_damage: bool = False) -> DataFrame:
+    """Quarantine JSON lines; a malformed line fails the read, or is kept as ``damaged_line``."""
     schema = T.StructType(
         [*QUARANTINE_SCHEMA.fields, T.StructField("source_date", T.DateType()),
          T.StructField("input_id", T.StringType())]
     )
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(folder)
+    if not tolerate_damage:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(folder)
+    schema = T.StructType([*schema.fields, T.StructField("damaged_line", T.StringType())])
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "damaged_line")
+    return reader.option("ignoreCorruptFiles", "true").json(folder)
 
 
 def read_varchar_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugelake import contract as C
 from gaugelake.plans import lake as L
 from gaugelake.plans import publish
 from gaugelake.plans.lake import Lake
@@ -85,9 +84,6 @@ def start(
     spark: SparkSession, lake: Lake, run: Run, checkpoint: str, max_files: int | None = None
 ) -> StreamingQuery:
     """Process everything that has arrived and stop; schedule it again for what comes next."""
-    if run.size_limit is None:
-        run = Run(run.pipeline_version, run.processing_timestamp, run.source_identity, run.limits,
-                  C.INPUT_SIZE_LIMIT)
     return (
         arrivals(spark, lake, max_files)
         .writeStream.foreachBatch(lambda batch, i: process_batch(lake, run, batch, i))

@@ -332,12 +332,12 @@ inputs as (
 @query(f"with {_INPUTS_SQL} " + " union all ".join(
     f"select year, month, source_date, '{finding}' as finding from inputs where {cond}"
     for finding, cond in (
-        ("invalid completion-marker SHA-256", "k % 11 = 3"),
-        ("staging byte size must be positive", "k % 13 = 4"),
-        ("selected daily counts do not reconcile", "k % 17 = 5"),
-        ("selected boundary timestamp conflicts with source_date", "k % 19 = 6 and valid_row_count > 0"),
-        ("unsupported schema or manifest version", "k % 23 = 7"),
-        ("selected date is absent from the expected raw-date inventory",
+        ("MARKER_DIGEST", "k % 11 = 3"),
+        ("STAGING_SIZE", "k % 13 = 4"),
+        ("COUNTS_DIFFER", "k % 17 = 5"),
+        ("BOUNDS_OFF_DAY", "k % 19 = 6 and valid_row_count > 0"),
+        ("VERSION_UNKNOWN", "k % 23 = 7"),
+        ("DATE_UNEXPECTED",
          "source_date not between date '1995-03-10' and date '2001-02-11'"))))
 def selection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = selection.month_table(spark, date(1995, 3, 10), date(2001, 2, 11))
@@ -349,9 +349,9 @@ def selection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
        + " union all ".join(
            f"select year, month, null::date as source_date, '{text}' as finding from t where {cond}"
            for text, cond in (
-               ("selected object count exceeds configured limit", "n > 30"),
-               ("selected compressed bytes exceed configured limit", "b > 19000"),
-               ("selected rows exceed configured limit", "r > 195"))))
+               ("OVER_OBJECT_LIMIT", "n > 30"),
+               ("OVER_BYTE_LIMIT", "b > 19000"),
+               ("OVER_ROW_LIMIT", "r > 195"))))
 def compaction_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = CompactionBounds(30, 19_000, 195)
     return selection.bound_findings(_selection_inputs(spark, sf_dir), limits)

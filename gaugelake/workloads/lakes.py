@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugelake import contract as C
-from gaugelake.operators import conformance, metrics, reports, resume
+from gaugelake.operators import conformance, metrics, reports, resume, selection
 from gaugelake.plans import audit, catalog, compact, publish, split
 from gaugelake.plans import lake as L
 from gaugelake.plans.lake import Lake
@@ -24,10 +24,6 @@ REGISTRY = Registry()
 query = REGISTRY.add
 
 RUN = publish.Run("1.0.0", "2024-02-01T00:00:00Z", {"name": "events"})
-_KNOWN = (date(2024, 1, 1), date(2024, 1, 31))
-# Above the reference defaults, so that larger feeds compact too.
-_BOUNDS = C.CompactionBounds(31, 1 << 40, 1 << 40, 1 << 40)
-_WIDE = C.AuditBounds(24, 1 << 40, 1 << 40, 1 << 40)
 
 
 def _raw_lake(spark: SparkSession, sf_dir: str) -> Lake:
@@ -41,12 +37,40 @@ def _published(spark: SparkSession, sf_dir: str) -> tuple[Lake, DataFrame]:
     return lake, stage(publish.publish_days(spark, lake, RUN), "outcomes")
 
 
+def _known(spark: SparkSession, lake: Lake) -> tuple[date, date]:
+    """Whole months from the first to the last published day."""
+    days = L.manifests(spark, lake).agg(
+        F.trunc(F.min("source_date"), "MM"), F.last_day(F.max("source_date"))
+    )
+    return tuple(days.first())
+
+
 def _compacted(spark: SparkSession, sf_dir: str) -> Lake:
     lake, _ = _published(spark, sf_dir)
-    compact.compact_months(spark, lake, *_KNOWN, _BOUNDS)
+    compact.compact_months(spark, lake, *_known(spark, lake))
     return lake
 
 
+def _inventory(spark: SparkSession, lake: Lake) -> DataFrame:
+    return audit.inventory_from_runs(L.read_months(spark, lake.control("compaction_run")), lake)
+
+
+def _catalog(spark: SparkSession, lake: Lake, months: list) -> str:
+    """A new catalog table with the runs of some months."""
+    name = f"curated_{uuid.uuid4().hex[:12]}"
+    catalog.create_table(spark, name, f"{lake.root}/catalog")
+    for month in months:
+        catalog.publish_partition(spark, name, month["year"], month["month"], month["location"])
+    return name
+
+
+def _then_drop(spark: SparkSession, name: str, result: DataFrame) -> DataFrame:
+    """The result written, the table gone."""
+    kept = stage(result, "catalog-result")
+    spark.sql(f"drop table {name}")
+    return kept
+
+
 # --- Daily publication ----------------------------------------------------------------------
 
 
@@ -161,8 +185,8 @@ def lake_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select source_date, failure from (
   select cast(ts as date) as source_date, day(cast(ts as date)) % 5 as k from events group by 1, 2),
-  (values (0, 'raw row count mismatch'), (0, 'input/valid/quarantine reconciliation failed'),
-          (1, 'raw checksum mismatch'), (2, 'staging checksum mismatch'), (3, 'quarantine checksum mismatch'))
+  (values (0, 'RAW_ROWS'), (0, 'ROWS_UNBALANCED'),
+          (1, 'RAW_DIGEST'), (2, 'STAGED_DIGEST'), (3, 'QUARANTINE_DIGEST'))
   as f(kind, failure)
 where k = kind""")
 def lake_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +241,7 @@ select '2024' as year, '01' as month, (select count(*) from batch) as selected_i
 from kept""")
 def month_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake, _ = _published(spark, sf_dir)
-    done = compact.compact_months(spark, lake, *_KNOWN, _BOUNDS)
+    done = compact.compact_months(spark, lake, *_known(spark, lake))
     return done.select(
         "year", "month", "selected_input_count", "input_row_count", "selected_row_count",
         "quarantine_row_count", "curated_row_count", "first_valid_event_timestamp_local",
@@ -264,12 +288,12 @@ def curated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 select * from (values (1, 'created'), (2, 'no_op'), (3, 'conflict'), (4, 'updated'))
   as s(step, outcome), (select sum(valid_row_count)::bigint as visible_rows from batch)""")
 def partition_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish a run, publish it again, try a move without naming the old run, then move it."""
+    """Publish a run, publish it again, try a move without naming the old run, then move it.
+
+    The steps act on the last month; all months are published."""
     lake = _compacted(spark, sf_dir)
-    inventory = audit.inventory_from_runs(L.read_months(spark, lake.control("compaction_run")), lake)
-    month = inventory.select("year", "month", "location").first()
-    name = f"curated_{uuid.uuid4().hex[:12]}"
-    catalog.create_table(spark, name, f"{lake.root}/catalog")
+    *others, month = _inventory(spark, lake).select("year", "month", "location").orderBy("year", "month").collect()
+    name = _catalog(spark, lake, others)
     moved = f"{lake.root}/curated/moved/year={month['year']}/month={month['month']}/run_id=next/"
     spark.read.parquet(month["location"]).write.parquet(moved)
     steps = [(month["location"], None), (month["location"], None), (moved, None), (moved, month["location"])]
@@ -281,12 +305,10 @@ def partition_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         except catalog.PublicationConflict:
             outcome = "conflict"
-        visible = spark.table(name).where(
-            (F.col("year") == month["year"]) & (F.col("month") == month["month"])
-        ).agg(F.count(F.lit(1)).alias("visible_rows"))
+        visible = spark.table(name).agg(F.count(F.lit(1)).alias("visible_rows"))
         row = visible.select(F.lit(step).alias("step"), F.lit(outcome).alias("outcome"), "visible_rows")
         seen = row if seen is None else seen.unionByName(row)
-    return seen
+    return _then_drop(spark, name, seen)
 
 
 @query(_CURATED_SQL + """
@@ -294,34 +316,39 @@ select cast(event_ts as date) as source_date, count(*) as observation_count, rou
        round(avg(case when n10 = 1 then 1.0 else 0.0 end), 6) as dv_electric_active_rate
 from kept group by 1""")
 def curated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily reports over the published catalog table, pruned to one month."""
+    """The daily reports over the published catalog table, each month by its partition."""
     lake = _compacted(spark, sf_dir)
-    inventory = audit.inventory_from_runs(L.read_months(spark, lake.control("compaction_run")), lake)
-    month = inventory.select("year", "month", "location").first()
-    name = f"curated_{uuid.uuid4().hex[:12]}"
-    catalog.create_table(spark, name, f"{lake.root}/catalog")
-    catalog.publish_partition(spark, name, month["year"], month["month"], month["location"])
-    rows = reports.month_partition(spark.table(name), "2024", "01")
+    months = _inventory(spark, lake).select("year", "month", "location").orderBy("year", "month").collect()
+    name = _catalog(spark, lake, months)
+    rows = None
+    for month in months:
+        part = reports.month_partition(spark.table(name), month["year"], month["month"])
+        rows = part if rows is None else rows.unionByName(part)
     day = F.col("source_date")
     counts = reports.row_counts_by_date(rows, day, "record_index")
     means = reports.analogue_aggregates(rows, day, {"tp2": F.col("tp2")})
     rates = reports.digital_state_rates(rows, day, {"dv_electric": F.col("dv_electric")})
-    return counts.join(means, "source_date").join(rates, "source_date").select(
+    return _then_drop(spark, name, counts.join(means, "source_date").join(rates, "source_date").select(
         "source_date", "observation_count", F.round("avg_tp2", 6).alias("avg_tp2"),
         F.round("dv_electric_active_rate", 6).alias("dv_electric_active_rate"),
-    )
+    ))
 
 
 @query(_CURATED_SQL + f"""
 select * from (values ('approved', 'passed', 0, 0, 0, 1, 1), ('unpublished', 'failed', 0, 0, 1, 1, 1),
+                      ('moved', 'failed', 0, 0, 1, 1, 1),
                       ('miscounted', 'failed', 2, 2, 0, 1, 0))
   as a(scenario, status, fatal_count, reconciliation_count, drift_count, quality_count, passed_months),
   (select count(*) as curated_rows, {_GAP_COUNT_SQL} as gaps from kept)""")
 def curated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of the approved state, of an unpublished month and of a miscounted inventory."""
+    """Audit of the approved state, of an unpublished, a moved and a miscounted month, against
+    the catalog's own partitions."""
     lake = _compacted(spark, sf_dir)
-    inventory = audit.inventory_from_runs(L.read_months(spark, lake.control("compaction_run")), lake)
-    published = inventory.select("year", "month", F.regexp_replace("location", "/$", "").alias("location"))
+    inventory = _inventory(spark, lake)
+    name = _catalog(spark, lake, inventory.select("year", "month", "location").collect())
+    published = catalog.partitions(spark, name)
+    spark.sql(f"drop table {name}")
+    moved = published.withColumn("location", F.concat("location", F.lit("-moved")))
     miscounted = inventory.withColumn("curated_row_count", F.col("curated_row_count") + 1).withColumn(
         "selected_row_count", F.col("selected_row_count") + 1
     )
@@ -332,11 +359,12 @@ def curated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenarios = {
         "approved": (inventory, published),
         "unpublished": (inventory, published.where("year < '2000'")),
+        "moved": (inventory, moved),
         "miscounted": (miscounted, published),
     }
     result = None
     for scenario, (approved, seen) in scenarios.items():
-        findings = stage(audit.audit_months(spark, lake, approved, seen, _WIDE), "findings")
+        findings = stage(audit.audit_months(spark, lake, approved, seen), "findings")
         summary = audit.audit_summary(approved, findings).select(
             F.lit(scenario).alias("scenario"), "status",
             *[F.col(c).cast("int").alias(c) for c in
@@ -349,20 +377,114 @@ def curated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select k as month_label, finding from (values
-  ('2024-01', 'invalid curated checksum'), ('2024-01', 'unsupported coverage status'),
-  ('2024-02', 'month entries must exactly match expected months'),
-  (null, 'inventory aggregate row count does not reconcile')) as f(k, finding)
+  ('2024-01', 'CURATED_DIGEST_INVALID'), ('2024-01', 'COVERAGE_UNKNOWN'),
+  ('2024-02', 'MONTHS_DIFFER'),
+  (null, 'TOTAL_ROWS_DIFFER')) as f(k, finding)
 where (select count(*) from events) > 0""")
 def inventory_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings on an inventory with a bad digest, a bad coverage word and a month missing."""
     lake = _compacted(spark, sf_dir)
-    inventory = audit.inventory_from_runs(L.read_months(spark, lake.control("compaction_run")), lake)
+    inventory = _inventory(spark, lake)
     broken = inventory.withColumn("curated_sha256", F.upper("curated_sha256")).withColumn(
         "coverage_status", F.lit("unknown")
     )
     return audit.inventory_findings(spark, broken, date(2024, 1, 1), date(2024, 2, 10), -1)
 
 
+# --- Reruns, damage and reviewed selections ---------------------------------------------------
+
+
+@query("""
+select cast(ts as date) as source_date, count(*) as line_count,
+       case when day(cast(ts as date)) % 7 = 3 then 'rewritten' else 'kept' end as state
+from events group by 1""")
+def split_window_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days split, then one window of days again from a feed with other text: the rest stays."""
+    lake = _raw_lake(spark, sf_dir)
+    lines = feed.feed_lines(spark, sf_dir)
+    days = [r[0] for r in lines.where(F.dayofmonth("route_date") % 7 == 3).select("route_date").distinct().collect()]
+    marked = lines.withColumn("line", F.concat(F.lit("again,"), "line"))
+    for day in days:
+        split.write_daily_objects(marked, lake.raw, day, day)
+    seen = spark.read.text(lake.raw).where(F.col("value") != split.HEADER_LINE)
+    again = F.startswith("value", F.lit("again,"))
+    return seen.groupBy(F.col("source_date").cast("date").alias("source_date")).agg(
+        F.count(F.lit(1)).alias("line_count"),
+        F.when(F.bool_and(again), "rewritten").when(~F.bool_or(again), "kept").otherwise("mixed").alias("state"),
+    )
+
+
+@query("""
+select source_date, failure from (
+  select cast(ts as date) as source_date, day(cast(ts as date)) % 4 as k from events group by 1, 2),
+  (values (1, 'RAW_DIGEST'), (1, 'RAW_ROWS'), (2, 'STAGED_DIGEST'), (2, 'STAGED_ROWS')) as f(kind, failure)
+where k = kind""")
+def tampered_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and staged objects that got another part file after they were published."""
+    lake, _ = _published(spark, sf_dir)
+    for row in L.manifests(spark, lake).select("source_date", "raw_key", "staging_key").collect():
+        kind = row["source_date"].day % 4
+        if kind == 1:
+            extra = spark.range(1).select(F.lit("1,2,3").alias("value")).coalesce(1)
+            extra.write.mode("append").text(f"{lake.root}/{row['raw_key']}")
+        elif kind == 2:
+            target = f"{lake.root}/{row['staging_key']}"
+            spark.read.schema(C.NORMALIZED_SCHEMA).parquet(target).limit(1).coalesce(1).write.mode("append").option(
+                "parquet.enable.dictionary", "false"
+            ).parquet(target)
+    return audit.lake_failures(audit.lake_evidence(spark, lake)).select("source_date", "failure")
+
+
+@query("""
+with d as (select distinct cast(ts as date) as day from events),
+w as (select (select min(day) from d) as first, (select max(day) from d) as last)
+select strftime(day, '%Y') as year, strftime(day, '%m') as month, count(*) as unexpected_dates
+from d, w where last > first and day = last and date_trunc('month', day) = date_trunc('month', last - 1)
+group by all""")
+def compaction_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published day after the known end refuses its month instead of being left out."""
+    lake, _ = _published(spark, sf_dir)
+    first, last = L.manifests(spark, lake).agg(F.min("source_date"), F.max("source_date")).first()
+    if first == last:
+        return spark.createDataFrame([], "year string, month string, unexpected_dates long")
+    done = compact.compact_months(spark, lake, first, last - timedelta(days=1))
+    return done.where(F.array_contains("findings", "DATE_UNEXPECTED")).groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("unexpected_dates")
+    )
+
+
+@query("""
+select strftime(ts, '%Y') as year, strftime(ts, '%m') as month, outcome from events,
+  (values (1, 'created'), (2, 'existing'), (3, 'RUN_CONFLICT')) as s(step, outcome) group by all""")
+def compaction_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every month compacted, compacted again, then again after its run was altered."""
+    lake, _ = _published(spark, sf_dir)
+    known = _known(spark, lake)
+    outcome = F.coalesce("write_outcome", F.array_join("findings", ",")).alias("outcome")
+    seen = stage(compact.compact_months(spark, lake, *known).select("year", "month", outcome), "first")
+    seen = seen.unionByName(stage(compact.compact_months(spark, lake, *known).select("year", "month", outcome), "second"))
+    for row in _inventory(spark, lake).select("location").collect():
+        extra = stage(spark.read.schema(C.NORMALIZED_SCHEMA).parquet(row["location"]).limit(1), "extra")
+        extra.coalesce(1).write.mode("append").parquet(row["location"])
+    return seen.unionByName(compact.compact_months(spark, lake, *known).select("year", "month", outcome))
+
+
+@query("""
+select strftime(ts, '%Y') as year, strftime(ts, '%m') as month, 'MARKER_CONFLICT' as findings
+from events group by all""")
+def marker_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewed selection of which one day a month was published anew after the review."""
+    lake, _ = _published(spark, sf_dir)
+    book = L.manifests(spark, lake)
+    reviewed = stage(selection.selected_inputs(book), "reviewed")
+    firsts = reviewed.groupBy("year", "month").agg(F.min("source_date").alias("source_date")).select("source_date")
+    later = stage(book.join(firsts, "source_date", "left_semi").withColumn(
+        "processing_timestamp", F.lit("2024-03-01T00:00:00Z")), "republished")
+    L.write_ledger(later, lake.control("daily_manifest"), "source_date")
+    done = compact.compact_months(spark, lake, *_known(spark, lake), selection=reviewed)
+    return done.select("year", "month", F.array_join("findings", ",").alias("findings"))
+
+
 # --- Streaming -------------------------------------------------------------------------------
 
 

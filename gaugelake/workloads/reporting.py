@@ -81,8 +81,7 @@ select * from (
   from events window w as (partition by user_id order by ts, event_id))
 where interval_seconds > 3600""")
 def sampling_gaps_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where(F.col("user_id").isNotNull())
-    return ordered.sampling_gaps(events, ["user_id"], "ts", "event_id", 3600)
+    return ordered.sampling_gaps(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", 3600)
 
 
 # --- Profile -------------------------------------------------------------------------------
@@ -91,7 +90,6 @@ _LINE_COLUMNS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 )
-_EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def _per_column(template: str, columns: tuple[str, ...], source: str) -> str:

@@ -106,8 +106,8 @@ def test_lake_failures_name_the_disagreement(spark, tmp_path):
     found = audit.lake_failures(audit.lake_evidence(spark, lake)).collect()
     seen = {(r["raw_key"][-10:], r["failure"]) for r in found}
     assert seen == {
-        ("2020-02-01", "raw row count mismatch"), ("2020-02-01", "raw checksum mismatch"),
-        ("2020-02-01", "raw header mismatch"), ("2020-02-09", "raw object has no manifest"),
+        ("2020-02-01", "RAW_ROWS"), ("2020-02-01", "RAW_DIGEST"),
+        ("2020-02-01", "RAW_HEADER"), ("2020-02-09", "RAW_WITHOUT_MANIFEST"),
     }
 
 
@@ -161,8 +161,8 @@ def test_altered_run_is_a_conflict(spark, tmp_path):
     target = f"{lake.root}/{run['curated_key']}"
     rows = spark.read.parquet(target).limit(10).collect()
     spark.createDataFrame(rows, C.NORMALIZED_SCHEMA).write.mode("overwrite").parquet(target)
-    with pytest.raises(compact.ImmutableRunConflict):
-        compact.compact_months(spark, lake, *FEB)
+    again = compact.compact_months(spark, lake, *FEB).collect()
+    assert [(r["month"], r["run_id"], r["findings"]) for r in again if r["findings"]] == [("02", None, ["RUN_CONFLICT"])]
 
 
 def test_duplicates_across_days_and_bounds_reject_the_month(spark, tmp_path):
@@ -173,7 +173,7 @@ def test_duplicates_across_days_and_bounds_reject_the_month(spark, tmp_path):
     publish.publish_days(spark, lake, RUN)
     rows = {r["month"]: r for r in compact.compact_months(spark, lake, date(2020, 2, 1), date(2020, 3, 31)).collect()}
     assert rows["02"]["run_id"] is None
-    assert rows["02"]["findings"] == ["duplicate record_index across selected daily inputs"]
+    assert rows["02"]["findings"] == ["INDEX_ON_TWO_DAYS"]
     assert rows["03"]["curated_row_count"] == 5
     tight = compact.compact_months(spark, lake, date(2020, 3, 1), date(2020, 3, 31), CompactionBounds(0, 1, 1, 1))
     assert len(tight.first()["findings"]) == 3
@@ -197,22 +197,22 @@ def test_selection_contract(spark, months):
     inputs = selection.selected_inputs(L.manifests(spark, lake)).where("month = '02'")
     assert selection.input_findings(inputs).count() == 0
     altered = {
-        "selected daily counts do not reconcile": ("input_row_count", F.col("input_row_count") + 1),
-        "invalid staging SHA-256": ("staging_sha256", F.lit("xyz")),
-        "selected daily boundary is reversed": ("last_valid_timestamp", F.to_timestamp_ntz(F.concat("source_date", F.lit(" 00:00:00")))),
-        "selected input belongs to a different month": ("month", F.lit("05")),
-        "staging byte size must be positive": ("staging_byte_size", F.lit(0)),
-        "unsupported completion-marker identity kind": ("completion_marker_identity_kind", F.lit("md5")),
-        "nonempty daily input lacks boundary timestamps": ("first_valid_timestamp", F.lit(None).cast("timestamp_ntz")),
+        "COUNTS_DIFFER": ("input_row_count", F.col("input_row_count") + 1),
+        "STAGING_DIGEST_INVALID": ("staging_sha256", F.lit("xyz")),
+        "BOUNDS_REVERSED": ("last_valid_timestamp", F.to_timestamp_ntz(F.concat("source_date", F.lit(" 00:00:00")))),
+        "MONTH_DIFFERS": ("month", F.lit("05")),
+        "STAGING_SIZE": ("staging_byte_size", F.lit(0)),
+        "MARKER_KIND": ("completion_marker_identity_kind", F.lit("md5")),
+        "BOUNDS_MISSING": ("first_valid_timestamp", F.lit(None).cast("timestamp_ntz")),
     }
     for text, (name, value) in altered.items():
         found = {r["finding"] for r in selection.input_findings(inputs.withColumn(name, value)).collect()}
         assert text in found, text
     moved = inputs.withColumn("staging_sha256", F.sha2("staging_sha256", 256))
     texts = {r["finding"] for r in selection.marker_findings(moved, L.manifests(spark, lake)).collect()}
-    assert texts == {"selected completion marker conflicts with reviewed evidence"}
+    assert texts == {"MARKER_CONFLICT"}
     gone = selection.marker_findings(inputs, L.manifests(spark, lake).limit(0)).collect()
-    assert {r["finding"] for r in gone} == {"selected completion marker is missing"}
+    assert {r["finding"] for r in gone} == {"MARKER_GONE"}
 
 
 def test_publication_and_audit(spark, months):
@@ -245,14 +245,14 @@ def test_publication_and_audit(spark, months):
     wrong = inventory.withColumn("first_timestamp", F.col("first_timestamp") - F.expr("interval 1 second"))
     fatal = {r["finding"] for r in audit.audit_months(spark, lake, wrong, published).where("severity = 'fatal'").collect()}
     assert fatal == {
-        "curated timestamp boundaries do not match inventory", "completion evidence conflicts with inventory",
+        "CURATED_BOUNDS_DIFFER", "COMPLETION_DIFFERS",
     }
     assert audit.inventory_findings(spark, inventory, date(2020, 2, 1), date(2020, 3, 10), 90).count() == 0
     texts = {
         r["finding"] for r in audit.inventory_findings(spark, inventory.where("month = '02'"), date(2020, 2, 1), date(2020, 3, 10), 90).collect()
     }
     assert texts == {
-        "month entries must exactly match expected months", "inventory aggregate row count does not reconcile",
+        "MONTHS_DIFFER", "TOTAL_ROWS_DIFFER",
     }
     one = audit.inventory_identity(inventory).first()[0]
     assert one == audit.inventory_identity(inventory.orderBy(F.desc("month"))).first()[0] and len(one) == 64
