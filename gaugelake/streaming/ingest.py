@@ -1,19 +1,24 @@
-"""File-arrival stream: new or replaced raw objects are validated and published as they land.
+"""File-arrival stream: raw objects are validated and published as they land.
 
-The stream carries arrivals, not bodies: it reads paths and sizes. Each micro-batch names the
-days it touched and runs the batch plan over exactly those objects. Delivery may repeat and
-come in any order: an unchanged object is skipped by its identity, a changed one is rebuilt,
-and continuity is always computed from the ordered ledger, never from arrival order.
+The stream carries arrivals, not bodies: it reads paths, sizes and times. Each micro-batch names
+the days it touched, runs the batch plan over exactly those objects and books their files. A
+file source never looks at a known name again, so ``run_available`` compares a listing with the
+booked files after the stream has drained and processes objects that were replaced in place.
+Delivery may repeat and come in any order: an unchanged object is skipped by its identity, a
+changed one is rebuilt, and continuity is computed anew from the ordered ledger after every
+batch, never from arrival order.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugelake.plans import history, publish
 from gaugelake.plans import lake as L
-from gaugelake.plans import publish
 from gaugelake.plans.lake import Lake
 from gaugelake.plans.publish import Run
 from gaugelake.session import stage
@@ -26,6 +31,28 @@ OUTCOME_SCHEMA = (
 )
 
 
+_BOOKED = "source_date date, file_path string, byte_size long, modified timestamp"
+
+
+def listing(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """source_date, path, size and time of the files below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path = raw.plain_path(F.col("path"))
+    return files.select(
+        raw.source_date_of(path).alias("source_date"), path.alias("file_path"),
+        F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified"),
+    )
+
+
+def replaced(spark: SparkSession, lake: Lake) -> DataFrame:
+    """Files of booked days that are new or differ in size or time from what was booked."""
+    book = L.read_ledger(spark, lake.control("arrival"), spark.createDataFrame([], _BOOKED).schema)
+    days = book.select("source_date").distinct()
+    now = listing(spark, lake.raw).where(F.col("source_date").isNotNull()).join(days, "source_date", "left_semi")
+    same = ["source_date", "file_path", "byte_size", "modified"]
+    return now.join(book, same, "left_anti").select("file_path", "source_date")
+
+
 def arrivals(spark: SparkSession, lake: Lake, max_files: int | None = None) -> DataFrame:
     reader = (
         spark.readStream.format("binaryFile")
@@ -64,6 +91,7 @@ def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None
         ],
     )
     outcomes = refused
+    began = time.monotonic()
     if folders:
         status = F.col("status")
         published = publish.publish_days(spark, lake, run, folders=folders)
@@ -78,6 +106,33 @@ def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None
         outcomes.withColumn("batch_id", F.lit(batch_id).cast("long")),
         lake.control("stream_outcome"), "batch_id",
     )
+    if folders:
+        # Files are booked after their days: a batch that fails is seen as changed again.
+        L.write_ledger(listing(spark, folders), lake.control("arrival"), "source_date")
+        L.write_ledger(
+            history.ledger_boundaries(spark, lake, run.limits).withColumn("scope", F.lit("days")),
+            lake.control("day_boundary"), "scope",
+        )
+        summary = L.read_ledger(spark, lake.control("stream_outcome"), spark.createDataFrame([], OUTCOME_SCHEMA).schema)
+        L.write_ledger(
+            batch_metrics(summary.where(F.col("batch_id") == batch_id), time.monotonic() - began),
+            lake.control("run_metrics"), "batch_id",
+        )
+
+
+def batch_metrics(outcome: DataFrame, seconds: float) -> DataFrame:
+    """(batch_id, metric, value) of one batch."""
+    done = F.col("outcome")
+    values = {
+        "RowsIn": F.sum("input_row_count"), "RowsValid": F.sum("valid_row_count"),
+        "RowsQuarantined": F.sum("quarantine_row_count"),
+        "ObjectsSkippedDuplicate": F.count_if(done == "duplicate_skipped"),
+        "ObjectsFailed": F.count_if(done == "failed"), "DurationSeconds": F.lit(float(seconds)),
+    }
+    wide = outcome.groupBy("batch_id").agg(
+        *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in values.items()]
+    )
+    return wide.unpivot("batch_id", list(values), "metric", "value")
 
 
 def start(
@@ -93,5 +148,19 @@ def start(
     )
 
 
+def run_available(
+    spark: SparkSession, lake: Lake, run: Run, checkpoint: str, max_files: int | None = None
+) -> None:
+    """Drain the stream, then process objects replaced in place under names it already knows.
+
+    Such a sweep gets the next negative batch number.
+    """
+    start(spark, lake, run, checkpoint, max_files).awaitTermination()
+    changed = stage(replaced(spark, lake), "replaced")
+    if not changed.isEmpty():
+        lowest = outcomes(spark, lake).agg(F.min("batch_id")).first()[0]
+        process_batch(lake, run, changed, min(lowest or 0, 0) - 1)
+
+
 def outcomes(spark: SparkSession, lake: Lake) -> DataFrame:
     return spark.read.schema(OUTCOME_SCHEMA).parquet(lake.control("stream_outcome"))
