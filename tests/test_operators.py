@@ -100,12 +100,20 @@ def test_repeat_flags_with_heavy_and_null_keys(spark):
     ]
     frame = spark.createDataFrame(rows, "n long, g string, k long, m long")
     ks, ms = Counter((r[1], r[2]) for r in rows), Counter((r[1], r[3]) for r in rows)
-    for heavy in (5, 10**6):
-        found = repeats.flag_repeats(frame, ["g"], {"rk": "k", "rm": "m"}, ["n"], heavy).collect()
-        assert len(found) == len(rows)
-        for r in found:
-            assert r["rk"] == (r["k"] is not None and ks[r["g"], r["k"]] > 1)
-            assert r["rm"] == (r["m"] is not None and ms[r["g"], r["m"]] > 1)
+    found = repeats.flag_repeats(frame, ["g"], {"rk": "k", "rm": "m"}, ["n"]).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["rk"] == (r["k"] is not None and ks[r["g"], r["k"]] > 1)
+        assert r["rm"] == (r["m"] is not None and ms[r["g"], r["m"]] > 1)
+
+
+def test_null_groups_have_gaps_too(spark):
+    rows = [(None, 1, "2020-01-01 00:00:00"), (None, 2, "2020-01-01 05:00:00"), (1, 3, "2020-01-01 00:00:00"), (1, 4, "2020-01-02 01:00:00")]
+    frame = spark.createDataFrame(rows, "g long, n long, t string").selectExpr("g", "n", "cast(t as timestamp_ntz) as ts")
+    gaps = ordered.sampling_gaps(frame, ["g"], "ts", "n", 3600).collect()
+    assert {(r["g"], r["n"], r["interval_seconds"]) for r in gaps} == {(None, 2, 18_000), (1, 4, 90_000)}
+    lagged = ordered.sliced_lag(frame, ["g"], "n", ["n"], 1).collect()
+    assert {(r["n"], r["previous_n"]) for r in lagged} == {(1, None), (2, 1), (3, None), (4, 3)}
 
 
 def test_excess_counts_null_groups(spark):
