@@ -52,7 +52,8 @@ def _digest_reader(chunk: int):
 def file_checksums(spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """(file_path, byte_size, sha256) of every file below ``folder``.
 
-    Only paths travel to the tasks; a file that can't be read fails its task.
+    Only paths travel to the tasks; a file that can't be read fails its task. Spark's file
+    listing leaves out empty files, so they have no row here.
     """
     tasks = 4 * spark.sparkContext.defaultParallelism
     paths = _files(spark, folder, glob).select(

@@ -1,5 +1,6 @@
 """Daily publication, resume, compaction, catalog, audits and the arrival stream."""
 
+import hashlib
 import json
 import uuid
 from datetime import date
@@ -15,7 +16,7 @@ from gaugelake.operators import conformance, selection
 from gaugelake.plans import audit, catalog, compact, publish
 from gaugelake.plans import lake as L
 from gaugelake.plans.lake import Lake
-from gaugelake.sources import tables
+from gaugelake.sources import objects, tables
 from gaugelake.streaming import ingest
 
 RUN = publish.Run("1.0.0", "2020-10-01T00:00:00Z", {"name": "feed"})
@@ -300,3 +301,33 @@ def test_stream_refuses_oversized_objects(spark, tmp_path):
 def test_run_context_is_checked(version, at):
     with pytest.raises(ValueError):
         publish.Run(version, at)
+
+
+def test_digest_reads_in_chunks(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    body = bytes(range(256)) * 50
+    (tmp_path / "d" / "a.bin").write_bytes(body)
+    (tmp_path / "d" / "b.bin").write_bytes(b"x")
+    sums = {r["file_path"].rsplit("/", 1)[-1]: (r["byte_size"], r["sha256"]) for r in objects.file_checksums(spark, str(tmp_path / "d"), "*", 7).collect()}
+    assert sums == {
+        "a.bin": (len(body), hashlib.sha256(body).hexdigest()), "b.bin": (1, hashlib.sha256(b"x").hexdigest()),
+    }
+
+
+def test_audit_sees_stray_and_damaged_quarantine(spark, tmp_path):
+    lake = build(tmp_path / "staging")
+    publish.publish_days(spark, lake, RUN)
+    assert audit.lake_failures(audit.lake_evidence(spark, lake)).count() == 0
+    clean = L.manifests(spark, lake).where("source_date = date'2020-02-01'").first()
+    stray = Path(lake.root) / f"quarantine/source={lake.source}/source_date=2020-02-01/input_id={clean['input_id']}"
+    stray.mkdir(parents=True)
+    (stray / "part-0.json").write_text("{}\n")
+    unknown = Path(lake.root) / f"quarantine/source={lake.source}/source_date=2020-02-20/input_id=x"
+    unknown.mkdir(parents=True)
+    (unknown / "part-0.json").write_text("not json\n")
+    found = {(str(r["source_date"]), r["failure"]) for r in audit.lake_failures(audit.lake_evidence(spark, lake)).collect()}
+    assert found == {
+        ("2020-02-01", "QUARANTINE_UNEXPECTED"),
+        ("2020-02-20", "QUARANTINE_WITHOUT_MANIFEST"), ("2020-02-20", "QUARANTINE_DAMAGED"),
+    }
+    assert not audit.lake_summary(audit.lake_evidence(spark, lake)).first()["verified"]
