@@ -303,6 +303,7 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
     if not size:
         return None
     links = tested = None
+    before = float("inf")
     now = holders.withColumn("root", F.col("cls"))
     for turn in range(HUB_ROUNDS):
         first = F.lit(0.0) if turn else F.col("own") / F.col("n")
@@ -326,8 +327,10 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
         if not apart:
             return roots
         now = stage(now.join(left.select("item"), "item", "left_semi"), "apart")
-        if apart <= PAIRS_PER_HOLDER * size:
+        # A round that no longer connects much costs more than it saves.
+        if apart <= PAIRS_PER_HOLDER * size or apart > before / 2:
             break
+        before = apart
     a, b = now.alias("a"), now.alias("b")
     pairs = a.join(b, F.col("a.item") == F.col("b.item")).where("a.cls < b.cls and a.root <> b.root").where(_may_link(percent, "a.", "b."))
     pairs = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
