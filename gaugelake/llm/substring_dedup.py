@@ -8,8 +8,8 @@ the first place of each are repeated. Starts return as runs, and runs merge per
 maximal removal intervals.
 
 Results: null or empty text has no words. Texts shorter than a window are never cut. Rows equal
-in doc_id and text are one document and get the same result; a null doc_id sorts first; rows
-that share only the doc_id are separate documents. An empty table gives no rows. Windows are
+in doc_id and text are one document, wherever they lie, and get the same result; a null doc_id
+sorts first; rows that share only the doc_id are separate documents. An empty table gives no rows. Windows are
 told apart by 64-bit hashes: among n windows about n^2 / 2^65 pairs would be mistaken.
 """
 
@@ -61,7 +61,7 @@ def _hash_windows(parts: int, width: int):
             hashes = common.window_hashes(words, width)[at]
             least = common.sliding_min(common.window_hashes(words, inner), width - inner + 1)[at]
             starts = at - first[text]
-            # Rows equal in doc_id and text are one document.
+            # Rows equal in doc_id and text are one document; those of other blocks meet in _repeated.
             same = np.flatnonzero((np.diff(places) == 0) & (np.diff(keys) == 0)) + 1
             if len(same):
                 keep = ~np.isin(text, same)
@@ -110,6 +110,13 @@ def as_runs(places, keys, starts) -> pa.RecordBatch:
     )
 
 
+def first_of_equals(*columns: np.ndarray) -> np.ndarray:
+    """Marks rows of sorted columns that differ from the row before them."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def _repeated(batches):
     """All but the first place of every hash of this partition."""
     packed = []
@@ -132,6 +139,7 @@ def _repeated(batches):
     order, hashes = order[member], hashes[member]
     places, keys, starts = places[order], keys[order], starts[order]
     order = np.lexsort((starts, keys, places, hashes))
+    order = order[first_of_equals(hashes[order], places[order], keys[order], starts[order])]
     later = order[1:][hashes[order][1:] == hashes[order][:-1]]
     later = later[np.lexsort((starts[later], keys[later], places[later]))]
     if len(later):

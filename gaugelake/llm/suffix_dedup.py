@@ -22,7 +22,7 @@ block and then by bucket.
 
 Results: null text is empty; texts shorter than ``LENGTH`` bytes lose nothing. Equal rows are
 separate documents that repeat each other only if their doc_id differs or is null on one side:
-rows equal in doc_id and text are one document. An empty table gives no rows. A removal may
+rows equal in doc_id and text are one document, wherever they lie. An empty table gives no rows. A removal may
 split a character; the kept bytes are bytes.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.llm import common
-from gaugelake.llm.substring_dedup import RUNS, as_runs
+from gaugelake.llm.substring_dedup import RUNS, as_runs, first_of_equals
 from gaugelake.session import stage
 
 LENGTH = 400
@@ -78,7 +78,7 @@ def _row(bucket, kind, places, keys, starts, widths=None, hashes=None, bodies=No
 
 
 def _rows(batches, schema, block):
-    """Run ``block`` over blocks of texts in document order, without rows that repeat one document."""
+    """Run ``block`` over blocks of texts in document order, without rows of a batch that repeat one document."""
     for batch in batches:
         batch = common.ordered(batch)
         places, keys = (np.ascontiguousarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
@@ -153,7 +153,11 @@ def _count_anchors(batches):
     places, keys, starts, widths, hashes, bodies = (np.concatenate(x) for x in zip(*found, strict=True))
     found.clear()
     copies, widths = widths & 0xFFFFFFFF, widths >> 32
-    order = np.lexsort((bodies, hashes))
+    order = np.lexsort((starts, keys, places, bodies, hashes))
+    h = hashes[order]
+    occurrences = np.bincount(np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1, copies[order])
+    # Rows of one document can come from several batches.
+    order = order[first_of_equals(h, bodies[order], places[order], keys[order], starts[order])]
     h, b = hashes[order], bodies[order]
     head = np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])])
     size = np.diff(np.flatnonzero(head), append=len(order))
@@ -163,7 +167,6 @@ def _count_anchors(batches):
     top = np.concatenate([[True], h[1:] != h[:-1]])
     group = np.cumsum(top) - 1
     kinds = np.bincount(group, head)
-    occurrences = np.bincount(group, copies[order])
     differing = order[kinds[group] > 1]
     if len(differing):
         yield _marked(_OPEN, places[differing], keys[differing], starts[differing])
@@ -333,7 +336,9 @@ def _expand(length: int):
                 else:
                     a = _arrays(row)
                     tallies.append((a[0], a[1], a[2], a[4]))
-        contexts.sort(key=lambda c: c[0])
+        # Rows of one document can come from several batches.
+        contexts.sort(key=lambda c: c[:4])
+        contexts = [c for i, c in enumerate(contexts) if not i or c[:4] != contexts[i - 1][:4]]
         first, size = 0, 0
         for i, c in enumerate(contexts):
             size += len(c[5])
@@ -346,7 +351,8 @@ def _expand(length: int):
             first, size = i + 1, 0
         if tallies:
             places, keys, starts, hashes = (np.concatenate(x) for x in zip(*tallies, strict=True))
-            order = np.argsort(hashes)
+            order = np.lexsort((starts, keys, places, hashes))
+            order = order[first_of_equals(hashes[order], places[order], keys[order], starts[order])]
             same = hashes[order][1:] == hashes[order][:-1]
             member = np.zeros(len(order), bool)
             member[1:] |= same

@@ -64,3 +64,20 @@ def test_other_columns_stay(spark):
     out = {r.doc_id: r for r in op.remove_repeats(frame(spark, rows, True), 5).collect()}
     assert out[2].text == "z y" and out[2].place == "x" and out[2].runs == 5
     assert out[1].text == "a b c d e f" and out[2].n_words == 8
+
+
+def test_repeated_rows_in_two_partitions(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(7, words(0, 60)), (None, words(100, 160)), (8, words(200, 230)), (9, words(200, 230) + " x " + words(300, 330))]
+    # Rows of both halves meet after the shuffle only.
+    out = op.remove_repeats(frame(spark, rows).unionByName(frame(spark, rows[::-1])), 20).collect()
+    want = brute(rows, 20)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == sorted(
+        (str(i), *want[i, t]) for i, t in rows * 2)
+    assert {r.doc_id: r.n_removed for r in out} == {7: 0, None: 0, 8: 0, 9: 30}
+
+
+def test_null_doc_id_at_the_end_of_a_batch_comes_first(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    out = op.remove_repeats(frame(spark, [(5, text), (None, text)]).coalesce(1), 20).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {None: 0, 5: 40}

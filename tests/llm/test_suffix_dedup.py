@@ -74,3 +74,18 @@ def test_interval_expansion_against_sorting():
         heads = Counter(tuple(symbols[i:i + least]) for i in range(n - least + 1) if (symbols[i:i + least] > 2).all())
         want = {i for i in range(n - least + 1) if heads[tuple(symbols[i:i + least])] > 1}
         assert set(op.long_prefixes(symbols, 3, least).tolist()) == want
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_repeated_rows_in_two_partitions(spark, monkeypatch, hot):
+    monkeypatch.setattr(op, "HOT_LEAST", hot)
+    rng = random.Random(9)
+    alone = [(i, "".join(rng.choice("abcdé ") for _ in range(300))) for i in (1001, None)]
+    rows = passages(4) + alone
+    # Rows of both halves meet after the shuffle only.
+    docs = frame(spark, rows).unionByName(frame(spark, rows[::-1]))
+    out = op.remove_repeated(docs, 100, 16).collect()
+    want = brute(rows, 100)
+    assert sorted((str(r.rest.doc_id), r.n_bytes, bytes(r.kept), len(r.spans)) for r in out) == sorted(
+        (str(i), *want[i, t]) for i, t in rows * 2)
+    assert all(r.n_removed == 0 for r in out if r.rest.doc_id in (1001, None))
