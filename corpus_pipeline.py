@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group that Jaccard links connect, the document with the least doc_id."""
+    """Of every group that Jaccard links connect, one row of the document with the least doc_id."""
     return keep_first(docs)
 
 

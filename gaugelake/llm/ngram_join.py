@@ -38,10 +38,11 @@ HOT_CLASSES = 64
 HUB_ROUNDS = 6
 # Hub rounds end when enumerating what is left costs no more than this.
 PAIRS_PER_HOLDER = 20
+SALTS = 16
 
 _DOC, _COLD, _HOT, _LIST = range(4)
 _PACKED = "bucket int, kind int, classes binary, sizes binary, counts binary, items binary"
-_FOUND = "kind int, cls long, n int, place long, items binary, counts binary"
+_FOUND = "kind int, cls long, n int, place long, text_key long, items binary, counts binary"
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -70,7 +71,7 @@ def _hash_sets(parts: int, width: int):
         return {"bucket": int(bucket), "kind": kind, "classes": classes.tobytes(), "sizes": sizes.astype(np.int32).tobytes(),
                 "counts": counts.astype(np.int32).tobytes(), "items": common.planes(items)}
 
-    def block(places, data, offsets):
+    def block(places, keys, data, offsets):
         text, items = sets_of(data, offsets, width)
         sizes = np.bincount(text, minlength=len(places))
         total = np.zeros((2, len(places)), np.uint64)
@@ -79,7 +80,7 @@ def _hash_sets(parts: int, width: int):
             if len(heads):
                 total[k, text[heads]] = np.add.reduceat(common.mix(items, k + 11), heads)
         classes = common.mix(total[0] ^ common.mix(total[1] + sizes.astype(np.uint64))).view(np.int64)
-        yield row(classes[0] % parts, _DOC, classes, sizes, np.zeros(0), places.view(np.uint64))
+        yield row(classes[0] % parts, _DOC, classes, sizes, np.zeros(0), np.concatenate([places, keys]).view(np.uint64))
         # Of equal sets one goes on.
         lead = np.zeros(len(places), bool)
         lead[np.unique(classes, return_index=True)[1]] = True
@@ -110,9 +111,9 @@ def _hash_sets(parts: int, width: int):
 
     def task(batches):
         for batch in batches:
-            places = batch.column(0).to_numpy(zero_copy_only=False)
+            places, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, last, data, offsets in common.text_blocks(batch):
-                for packed in block(np.ascontiguousarray(places[first:last]), data, offsets):
+                for packed in block(places[first:last], keys[first:last], data, offsets):
                     yield pa.RecordBatch.from_pylist([packed], schema)
 
     return task
@@ -123,7 +124,7 @@ def _count_bucket(batches):
     schema = common.schema_of(_FOUND)
 
     def out(kind, rows, **columns):
-        arrays = {"kind": np.full(rows, kind, np.int32), "cls": np.zeros(rows, np.int64), "n": np.zeros(rows, np.int32), "place": np.zeros(rows, np.int64)}
+        arrays = {"kind": np.full(rows, kind, np.int32), "cls": np.zeros(rows, np.int64), "n": np.zeros(rows, np.int32), "place": np.zeros(rows, np.int64), "text_key": np.zeros(rows, np.int64)}
         arrays |= columns
         return pa.RecordBatch.from_arrays([
             pa.array(arrays[f.name], f.type) if f.name in arrays else pa.nulls(rows, f.type) for f in schema
@@ -135,7 +136,8 @@ def _count_bucket(batches):
             classes, sizes = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["sizes"], np.int32)
             counts, items = np.frombuffer(r["counts"], np.int32), common.from_planes(r["items"], np.uint64)
             if r["kind"] == _DOC:
-                yield out(_DOC, len(classes), cls=classes, n=sizes, place=items.view(np.int64))
+                places, keys = np.split(items.view(np.int64), 2)
+                yield out(_DOC, len(classes), cls=classes, n=sizes, place=places, text_key=keys)
             elif r["kind"] == _LIST:
                 yield out(_LIST, 1, cls=items.view(np.int64), items=[r["classes"]], counts=[r["sizes"]])
             elif r["kind"] == _HOT:
@@ -339,7 +341,11 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(place, cls, n_shingles, component): one row per document; component is the least place."""
+    """(place, text_key, cls, n_shingles, component, first_key): one row per row of ``docs``.
+
+    ``component`` and ``first_key`` are place and text_key of the first document of the group;
+    text_key orders documents that share a place.
+    """
     texts = common.keyed(docs).select("place", "text_key", "text")
     parts = max(8, common.partitions_for(docs, 32 << 20))
     packed = texts.mapInArrow(_hash_sets(parts, width), _PACKED)
@@ -350,25 +356,40 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     hot = lists.join(counts, "item").select("item", "df", "classes", "sizes")
     hot = hot.mapInArrow(_spread, "cls long, n int, items binary, counts binary")
     roots = linked_classes(cold.unionByName(hot), percent)
-    rows = found.where(f"kind = {_DOC}").select("place", "cls", "n")
+    rows = found.where(f"kind = {_DOC}").select("place", "text_key", "cls", "n")
     if roots is None:
         rows = rows.withColumn("root", F.col("cls"))
     else:
         rows = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = stage(rows, "classes")
-    least = rows.where("n > 0").groupBy("root").agg(F.min("place").alias("least"))
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("place"))
-    return rows.join(least, "root", "left").select("place", "cls", F.col("n").cast("long").alias("n_shingles"), component.alias("component"))
+    least = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("place", "text_key")).alias("least"))
+    first = F.when(F.col("n") > 0, F.col("least")).otherwise(F.struct("place", "text_key"))
+    return rows.join(least, "root", "left").select(
+        "place", "text_key", "cls", F.col("n").cast("long").alias("n_shingles"),
+        first["place"].alias("component"), first["text_key"].alias("first_key"),
+    )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents, all columns, without those that a document of smaller doc_id is linked with.
+    """One row, all columns, of every group that links connect: the first by doc_id, then text_key.
 
-    Rows that share a doc_id stay or go together.
+    A null doc_id is the smallest. Of rows equal in doc_id and text one stays, with the least
+    other columns as JSON; rows without words are linked with nothing and all stay.
     """
-    found = near_duplicates(docs).where("place <> component").select("place").distinct()
-    texts = common.keyed(docs)
-    return texts.join(found, "place", "left_anti").select(*common.unkeyed(docs))
+    # Documents to drop, and those of which several rows are there to keep one of.
+    first = (F.col("place") == F.col("component")) & (F.col("text_key") == F.col("first_key"))
+    found = near_duplicates(docs).where("n_shingles > 0").select("place", "text_key", first.alias("first"))
+    found = found.groupBy("place", "text_key", "first").count().where("not first or count > 1")
+    found = stage(found.select("place", "text_key", "first"), "linked")
+    repeated = stage(found.where("first").select("place", "text_key"), "repeated")
+    texts, key = common.keyed(docs), ["place", "text_key"]
+    single = texts.join(found, key, "left_anti")
+    # Salted, so rows of one key combine in many tasks before they meet.
+    salts = repeated.select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = texts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    one = salted.join(salts, [*key, "salt"], "left_semi").groupBy(*key).agg(
+        F.first("text").alias("text"), F.min_by("rest", F.to_json("rest")).alias("rest"))
+    return single.select(*common.unkeyed(docs)).unionByName(one.select(*common.unkeyed(docs)))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir) -> DataFrame:

@@ -82,3 +82,24 @@ def test_first_of_each_group_stays(spark):
     kept = op.keep_first(docs)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "8", "9", "None"] and kept.columns == docs.columns
     assert common.NO_ID == -(1 << 63)
+
+
+def kept_texts(spark, rows, parts):
+    kept = op.keep_first(frame(spark, rows, True).repartition(parts))
+    return sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+
+
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    near = words("a") + " end"
+    for parts in (1, 5):
+        # A text of its own stays though its doc_id is that of a copy.
+        assert kept_texts(spark, [(1, words("a")), (2, near), (2, words("b"))], parts) == [("1", words("a")), ("2", words("b"))]
+        # Copies that share a doc_id, null included: one row of each group stays.
+        for shared in (7, None):
+            rows = [(shared, words("a"))] * 3 + [(shared, near)] * 2 + [(shared, words("b")), (shared, words("c")), (9, words("c").upper())]
+            kept = kept_texts(spark, rows, parts)
+            assert {i for i, _ in kept} == {str(shared)} and len(kept) == 3
+            assert {t for _, t in kept} >= {words("b"), words("c")} and len({words("a"), near} & {t for _, t in kept}) == 1
+        # Rows without words are linked with nothing.
+        assert kept_texts(spark, [(4, ""), (4, ""), (None, None), (None, None)], parts) == [("4", "")] * 2 + [("None", "")] * 2
