@@ -130,7 +130,7 @@ def test_block_tables_are_small_and_agree_with_steps():
 
 
 def conversations(rng):
-    texts = ["Hello there.", "Hello there.", "Is it so?", "no end", "  ", "", None, "Done!\n\t ", "é. ", "Yes. "]
+    texts = ["Hello there.", "Hello there.", "Is it so?", "no end", "  ", "", None, "Done!\n\t ", "é. ", "Yes.\u00a0", "Off.f", "On.\f\v"]
     rows = []
     for conv in [None, *range(1, 80)]:
         turn = 0
