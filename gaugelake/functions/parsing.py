@@ -15,8 +15,9 @@ FLOAT_TEXT = (
 )
 SIMPLE_NUMBER = r"^-?\d{1,15}(?:\.\d{1,15})?$"
 NAN_TEXT = r"(?i)^[+-]?nan$"
-CSV_FIELD = r'"(?:[^"]++|"")*+"|[^",][^,]*+|'
-CSV_LINE = rf"^(?:{CSV_FIELD})(?:,(?:{CSV_FIELD}))*$"
+CSV_FIELD = r'"(?:[^"]++|"")*+"|[^",\r\n][^,\r\n]*+|'
+CSV_LINE = rf"^(?:{CSV_FIELD})(?:,(?:{CSV_FIELD}))*\z"
+CSV_OPEN_LINE = rf'^(?:(?:{CSV_FIELD}),)*"(?:[^"]++|"")*+\z'
 
 
 def _compact(text: Column) -> Column:
@@ -54,14 +55,20 @@ def without_carriage_return(line: Column) -> Column:
     return F.when(line.endswith("\r"), F.left(line, F.char_length(line) - 1)).otherwise(line)
 
 
-def csv_is_well_formed(line: Column) -> Column:
-    """False for bad quoting, a quote left open, or a carriage return inside the line."""
-    body = without_carriage_return(line)
-    return ~body.contains("\r") & (~body.contains('"') | body.rlike(CSV_LINE))
+def csv_is_well_formed(record: Column) -> Column:
+    """False for bad quoting, a quote left open, or a line end outside quotes."""
+    body = without_carriage_return(record)
+    plain = ~body.contains("\r") & ~body.contains("\n")
+    return F.when(body.contains('"'), body.rlike(CSV_LINE)).otherwise(plain)
+
+
+def csv_leaves_open(line: Column) -> Column:
+    """True where a line, read from the start of a record, ends inside a quoted field."""
+    return line.contains('"') & line.rlike(CSV_OPEN_LINE)
 
 
 def csv_fields(line: Column) -> Column:
-    """Field values of one line; a blank line has none. Quotes are stripped and undoubled."""
+    """Field values of one record; a blank line has none. Quotes are stripped and undoubled."""
     body = without_carriage_return(line)
     quoted = F.transform(
         F.regexp_extract_all(F.concat(F.lit(","), body), F.lit(f",({CSV_FIELD})"), F.lit(1)),

@@ -26,12 +26,12 @@ def read_source(spark: SparkSession, folder: str) -> DataFrame:
     ``folder`` holds the source as one file or as ordered part files. Raises when the header
     differs or a row cannot be routed; both checks read at most one offending row.
     """
-    lines = raw.checked_lines(raw.read_lines(spark, folder))
-    fields = parsing.csv_fields(F.col("line"))
-    routed = lines.select(
-        "*", F.to_date(parsing.strict_timestamp(F.get(fields, F.lit(1)))).alias("route_date")
-    )
-    staged = stage(routed, "source")
+    def routed(lines: DataFrame) -> DataFrame:
+        fields = parsing.csv_fields(F.col("line"))
+        day = F.to_date(parsing.strict_timestamp(F.get(fields, F.lit(1))))
+        return raw.checked_lines(lines).withColumn("route_date", day)
+
+    staged = raw.with_joined_records(spark, stage(routed(raw.read_lines(spark, folder)), "source"), routed)
     blocks = stage(raw.block_table(staged), "blocks")
     state = raw.object_table(blocks).first()
     if state is None:

@@ -62,7 +62,7 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
     from. Row numbers need only the block table. Objects whose header drifts, that are empty,
     not UTF-8 or malformed contribute no rows; they keep their row in ``objects``.
     """
-    parsed = stage(parsed_lines(lines), "parsed")
+    parsed = raw.with_joined_records(lines.sparkSession, stage(parsed_lines(lines), "parsed"), parsed_lines)
     blocks = stage(raw.block_table(parsed), "blocks")
     objects = raw.object_table(blocks)
     # One row an object: written, so that Spark knows its size and no row moves for the join.

@@ -6,7 +6,7 @@ ordered sequence of part files. Line order inside an object is (file, byte block
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gaugelake import contract
 from gaugelake.functions import parsing
+from gaugelake.session import stage
 
 SOURCE_DATE_KEY = r"/source_date=(\d{4}-\d{2}-\d{2})/[^/]+$"
 
@@ -39,6 +40,109 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+SCANNED = ("line", "file_path", "file_size", "block_start", "scan_id")
+
+
+def _state_at(entry: Column, fixed: Column, turned: Column) -> Column:
+    """State after lines whose last fixed one left ``fixed`` (null: none), with ``turned`` turns since."""
+    return F.pmod(F.coalesce(fixed["state"], entry) + turned - F.coalesce(fixed["turns"], F.lit(0)), F.lit(2))
+
+
+def _steps(frame: DataFrame, keys: list[str], order: str, at_end: bool) -> DataFrame:
+    """Add ``fixed`` and ``turned``: what the lines up to a row do to the quoting state.
+
+    Every line (or block) maps the two states, outside and inside a quoted field, to themselves
+    (no ``from_0``), both to one, or each to the other. Such maps compose associatively: what
+    counts is the last one that fixes the state and the parity of turns since, which running
+    windows give for any number of lines. ``at_end`` includes the row itself.
+    """
+    turn = (F.col("from_0") == 1) & (F.col("from_1") == 0)
+    fixes = F.col("from_0") == F.col("from_1")
+    so_far = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    window = so_far if at_end else so_far.rowsBetween(W.unboundedPreceding, -1)
+    counted = frame.withColumn("turns", F.coalesce(F.sum(turn.cast("int")).over(so_far), F.lit(0)))
+    fixed = F.when(fixes, F.struct(F.col("from_0").alias("state"), "turns"))
+    return counted.select(
+        "*", F.last(fixed, True).over(window).alias("fixed"),
+        F.coalesce(F.sum(turn.cast("int")).over(window), F.lit(0)).alias("turned"),
+    ).drop("turns")
+
+
+def joined_records(lines: DataFrame) -> DataFrame:
+    """Records from the physical lines of a scan: a newline inside quotes does not end one.
+
+    ``lines`` is a staged scan (``SCANNED`` columns). Whether a line starts inside quotes depends
+    on all lines before it, so every block is reduced to its effect on the quoting state, the
+    effects of a file's blocks are composed by a running window over one row a block, and then
+    each block finds its record starts by itself. Blocks without a quoted newline keep their
+    lines as they are; in others ``scan_id`` becomes the record's number in the block where it
+    starts, and only lines of longer records are grouped, by record. A file that ends inside
+    quotes keeps its lines, one of which is malformed.
+    """
+    block = ["file_path", "block_start"]
+    line = F.col("line")
+    quoted = line.contains('"')
+    # A line read from inside quotes is one read from outside with a quote before it.
+    effects = lines.select(
+        *SCANNED,
+        F.when(quoted, parsing.csv_leaves_open(line).cast("int")).alias("from_0"),
+        F.when(quoted, parsing.csv_leaves_open(F.concat(F.lit('"'), line)).cast("int")).alias("from_1"),
+    )
+    marks = stage(effects.where(F.col("from_0").isNotNull()).select(*block, "scan_id", "from_0", "from_1"), "quotes")
+    ends = _steps(marks, block, "scan_id", True).groupBy(*block).agg(
+        F.max_by(F.struct("fixed", "turned"), "scan_id").alias("end"), F.max("from_0").alias("opens"))
+    ends = lines.select(*block).distinct().join(ends, block, "left")
+    of = lambda entry: _state_at(F.lit(entry), F.col("end.fixed"), F.coalesce("end.turned", F.lit(0)))
+    # A block without quotes leaves both states as they are.
+    ends = ends.select(*block, "opens", of(0).cast("int").alias("from_0"), of(1).cast("int").alias("from_1"))
+    entries = _steps(ends, ["file_path"], "block_start", False)
+    entries = entries.withColumn("entry", _state_at(F.lit(0), F.col("fixed"), F.col("turned")).cast("int"))
+    leaves = F.when(F.col("entry") == 0, F.col("from_0")).otherwise(F.col("from_1"))
+    # One row a block, and one a file.
+    entries = entries.select(*block, "entry", "opens", leaves.alias("leaves"))
+    last = entries.groupBy("file_path").agg(F.max_by("leaves", "block_start").alias("open"))
+    dirty = stage(
+        entries.join(last.where("open = 0"), "file_path", "left_semi")
+        .where((F.col("entry") == 1) | (F.col("opens") == 1)).select(*block, "entry"), "quoted-blocks")
+    clean = lines.select(*SCANNED).join(dirty, block, "left_anti")
+
+    found = _steps(effects.join(dirty, block), block, "scan_id", True)
+    after = _state_at(F.col("entry"), F.col("fixed"), F.col("turned")).cast("int")
+    in_block = W.partitionBy(*block).orderBy("scan_id")
+    found = found.select(*SCANNED, "entry", after.alias("after"))
+    found = found.withColumn("inside", F.coalesce(F.lag("after").over(in_block), F.col("entry")))
+    # Records are numbered by their starts; number 0 continues a record of an earlier block.
+    found = found.withColumn("record", F.sum(1 - F.col("inside")).over(in_block))
+    found = stage(found.select(*SCANNED, "record", ((F.col("inside") == 1) | (F.col("after") == 1)).alias("shared")), "quoted-lines")
+    counts = found.groupBy(*block).agg(F.max("record").alias("starts"))
+    before = W.partitionBy("file_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    owner = F.last(F.when(F.col("starts") > 0, F.struct(F.col("block_start").alias("block"), F.col("starts").alias("record"))), True)
+    owners = counts.select(*block, owner.over(before).alias("owner"))
+    carried = F.col("record") == 0
+    parts = found.where("shared").join(owners, block).select(
+        "file_path", "file_size", F.struct("block_start", "scan_id", "line").alias("part"),
+        F.when(carried, F.col("owner.block")).otherwise(F.col("block_start")).alias("block_start"),
+        F.when(carried, F.col("owner.record")).otherwise(F.col("record")).alias("scan_id"),
+    )
+    joined = parts.groupBy("file_path", "file_size", "block_start", "scan_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["line"]), "\n").alias("line"))
+    single = found.where("not shared").select("line", "file_path", "file_size", "block_start", F.col("record").alias("scan_id"))
+    return clean.unionByName(single).unionByName(joined.select(*SCANNED))
+
+
+def with_joined_records(spark: SparkSession, checked: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``checked`` with the files read again, record by record, whose lines are not records.
+
+    ``checked`` is ``check`` of a scan, staged. A newline inside quotes shows as a malformed
+    line, so only files that have one are looked at again.
+    """
+    files = stage(checked.where(~F.col("is_well_formed")).select("file_path").distinct(), "malformed")
+    if files.isEmpty():
+        return checked
+    again = check(joined_records(checked.select(*SCANNED).join(files, "file_path", "left_semi")))
+    return checked.join(files, "file_path", "left_anti").unionByName(stage(again, "records"))
+
+
 def source_date_of(file_path: Column) -> Column:
     """Partition date named by an object path, null when the path is not canonical."""
     return F.nullif(F.regexp_extract(file_path, SOURCE_DATE_KEY, 1), F.lit("")).try_cast("date")

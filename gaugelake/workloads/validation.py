@@ -35,6 +35,37 @@ def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BROKEN = ("case when event_id % 41 = 5 then '\"' || f7 || chr(13) || chr(10) || '\"' "
+           "when event_id % 43 = 7 then '\"a \"\"b\"\",' || chr(10) || chr(10) || f7 || '\"' else f7 end")
+_BROKEN_LINE = " || ',' || ".join(_BROKEN if i == 7 else f"f{i}" for i in range(C.FIELD_COUNT))
+_CLEAN_SQL = ", ".join(f"{text} as f{i}" for i, text in enumerate(feed.CLEAN_FIELDS))
+
+
+@query(f"""
+with feed as (
+  select event_id, cast(ts as date) as object_date, {_CLEAN_SQL},
+         row_number() over (partition by cast(ts as date) order by event_id) as source_row_number from events),
+told as (
+  select *, event_id % 43 = 7 and event_id % 41 <> 5 as unread, {_BROKEN_LINE} || chr(13) || chr(10) as record,
+         count(*) over (partition by object_date, f1) > 1 as same_time from feed)
+select object_date, source_row_number, event_id as record_index,
+       case when unread then 'a "b",' || chr(10) || chr(10) || f7
+            when same_time then f7 || case when event_id % 41 = 5 then chr(13) || chr(10) else '' end end as rejected_value,
+       case when unread or same_time then record end as original_record
+from told""")
+def quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of objects in which quoted fields hold line ends: numbered, judged and kept as written."""
+    folder = new_folder(spark, "raw")
+    named = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "to_date(ts) as route_date", *[f"{text} as f{i}" for i, text in enumerate(feed.CLEAN_FIELDS)])
+    written = named.selectExpr("event_id + 1 as source_row_number", f"{_BROKEN_LINE} || '\\r' as line", "route_date")
+    split.write_daily_objects(written, folder)
+    return transform.validate(raw.read_lines(spark, folder)).rows.select(
+        F.col("source_date").alias("object_date"), "source_row_number", "record_index",
+        F.get("fields", F.lit(7)).alias("rejected_value"), "original_record",
+    )
+
+
 def _drifting_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One header per event day; every seventh day renames a column."""
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("route_date")).distinct()

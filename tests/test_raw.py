@@ -1,5 +1,7 @@
 """Line scan, source positions, object gate and daily splitting."""
 
+import csv
+import random
 from datetime import date
 
 import pytest
@@ -126,3 +128,82 @@ def test_order_of_rows_does_not_change_verdicts(spark, tmp_path):
             for r in rows.select("record_index", F.array_join("issues.rule_id", "|").alias("ids")).collect()
         ))
     assert verdicts[0] == verdicts[1]
+
+
+def quoted_texts(seed, count):
+    """Fields for CSV records, some with quotes, commas and line ends inside."""
+    rng = random.Random(seed)
+    for n in range(count):
+        texts = [f"v{n}", 'say ""hi""', "a,b", "x\ny", "\n", "\r\n", '""\n""', "long\n" * rng.randint(1, 60), "é\n,"]
+        fields = [rng.choice(texts) if rng.random() < 0.3 else str(rng.random()) for _ in range(3)]
+        yield ",".join([str(n), *(f'"{x}"' if set(x) & set('",\r\n') or rng.random() < 0.2 else x for x in fields)])
+
+
+def with_blocks(spark, size, action):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        return action()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", [600, 1 << 20])
+def test_quoted_newlines_over_blocks(spark, tmp_path, size):
+    """Records that cross lines and blocks equal those of a sequential reader."""
+    wanted = {}
+    for day in range(1, 4):
+        records = [",".join(raw.contract.SOURCE_HEADER), *quoted_texts(day, 40)]
+        folder = write_object(tmp_path, f"2020-02-0{day}", records[1:], end=("\n", "\r\n")[day % 2])
+        with (folder / "data.csv").open(encoding="utf-8", newline="") as stream:
+            wanted[f"2020-02-0{day}"] = list(csv.reader(stream, strict=True))
+    # A file that ends inside quotes, and one without any.
+    write_object(tmp_path, "2020-02-08", ['1,"open', "2,b", "3,c"])
+    write_object(tmp_path, "2020-02-09", ["1,a", "2,b"])
+
+    def scan():
+        checked = stage(raw.checked_lines(raw.read_lines(spark, str(tmp_path))), "scan")
+        joined = stage(raw.with_joined_records(spark, checked, raw.checked_lines), "joined")
+        blocks = stage(raw.block_table(joined), "blocks")
+        fields = raw.parsing.csv_fields(F.col("line"))
+        rows = raw.with_row_numbers(joined, blocks).select("source_date", "source_row_number", fields.alias("f"), "original_record")
+        return rows.orderBy("source_date", "source_row_number").collect(), raw.object_table(blocks).collect(), joined.count()
+
+    rows, objects, count = with_blocks(spark, size, scan)
+    assert count == len(rows)
+    for day, records in wanted.items():
+        mine = [r for r in rows if str(r.source_date) == day]
+        assert [r.source_row_number for r in mine] == list(range(len(records)))
+        assert [r.f for r in mine] == records
+        assert "".join(r.original_record for r in mine).encode() == (tmp_path / f"source_date={day}" / "data.csv").read_bytes()
+    state = {str(o.source_date): (o.is_well_formed, o.input_row_count) for o in objects}
+    assert all(state[day] == (True, 40) for day in wanted)
+    assert state["2020-02-08"] == (False, 3) and state["2020-02-09"] == (True, 2)
+
+
+def test_real_parse_errors_still_fail(spark, tmp_path):
+    good = day_lines(DAY, 3)
+    broken = {
+        "2020-02-01": ['1,"a"b,2'], "2020-02-02": ['1,"a', 'b"c,2'], "2020-02-03": ["1,a\rb,2"], "2020-02-04": ['1,"a"', '2,"b'],
+        "2020-02-05": [good[0].replace("60.0", '"60.0\n"'), *[x.replace("1.5", '"1.5"') for x in good[1:]]], "2020-02-06": ['1,b"c', '2,"x', 'y",3'],
+    }
+    for day, lines in broken.items():
+        write_object(tmp_path, day, [x.replace(DAY, day) for x in lines])
+    batch = transform.validate(raw.read_lines(spark, str(tmp_path))).batch().collect()
+    state = {str(b.source_date): (b.is_well_formed, b.valid_row_count) for b in batch}
+    assert state == {
+        "2020-02-01": (False, 0), "2020-02-02": (False, 0), "2020-02-03": (False, 0), "2020-02-04": (False, 0),
+        "2020-02-05": (True, 3), "2020-02-06": (True, 0),
+    }
+
+
+def test_split_keeps_quoted_newlines_together(spark, tmp_path):
+    lines = [x for i, d in enumerate(("2020-02-01", "2020-02-02")) for x in day_lines(d, 40, 40 * i)]
+    lines[7] = lines[7].replace("60.0", '"60.0\n\n"')
+    lines[55] = lines[55].replace("60.0", '"a ""b"",\r\nc"')
+    source = source_file(tmp_path / "in", lines)
+    with_blocks(spark, 700, lambda: split.split_source(spark, source, str(tmp_path / "out")))
+    rows = transform.validate(raw.read_lines(spark, str(tmp_path / "out")))
+    assert rows.valid().count() == 79
+    bad = rows.rows.where(F.size("issues") > 0).collect()
+    assert [(r.source_row_number, r.original_record, r.fields[7]) for r in bad] == [(16, lines[55] + "\r\n", 'a "b",\r\nc')]
