@@ -1,7 +1,7 @@
 """What the operators of this package share: text buffers, rolling hashes, sizes, components.
 
 Text reaches Python as Arrow record batches and is worked on as one byte array per block of
-about four megabytes, so the cost per word is a few vector operations.
+about one megabyte, so the cost per word is a few vector operations.
 
 Hashes are Rabin-Karp polynomials modulo 2^64 with a final mixing step. Two different
 strings share a hash with a probability of about 2^-64 per pair.
@@ -10,7 +10,6 @@ strings share a hash with a probability of about 2^-64 per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 
 from gaugelake.session import stage
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+PIECE = 1 << 20
 NO_ID = -(1 << 63)
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
@@ -76,29 +76,54 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(b: int) -> np.ndarray:
-        out = np.full(size, b, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
-    return of(base), of(pow(base, -1, 1 << 64))
 
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse, both modulo 2^64."""
-    room = 1 << max(12, (size - 1).bit_length())
-    up, down = _powers(base, room)
-    return up[:size], down[:size]
+def powers(base: int, size: int) -> np.ndarray:
+    """The first powers of ``base`` modulo 2^64; one table a base, as long as was ever needed."""
+    table = _POWERS.get(base)
+    if table is None or len(table) < size:
+        table = np.full(max(size, 1 << 12), base, np.uint64)
+        table[0] = 1
+        np.cumprod(table, out=table)
+        _POWERS[base] = table
+    return table[:size]
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp hash of values[start:end] for many spans of one array."""
-    up, down = powers(base, len(values) + 1)
+    """Rabin-Karp hash of values[start:end] for many spans of one array.
+
+    Works through pieces of ``PIECE`` values and the spans that start in each, so what it needs
+    besides follows the piece and not the array, however long one text is.
+    """
+    out = np.empty(len(starts), np.uint64)
+    if len(values) <= PIECE:
+        _piece_hash(values, starts, ends, base, out, slice(None))
+        return out
+    if (starts[1:] >= starts[:-1]).all():
+        cuts = np.searchsorted(starts, np.arange(0, len(values) + PIECE, PIECE))
+        parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    else:
+        order = np.argsort(starts, kind="stable")
+        cuts = np.searchsorted(starts[order], np.arange(0, len(values) + PIECE, PIECE))
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for i, part in enumerate(parts):
+        if len(starts[part]):
+            low = i * PIECE
+            high = int(ends[part].max())
+            _piece_hash(values[low:high], starts[part] - low, ends[part] - low, base, out, part)
+    return out
+
+
+def _piece_hash(values, starts, ends, base, out, part) -> None:
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[:-1], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+    np.multiply(values, powers(base, len(values)), out=total[1:], casting="unsafe")
+    np.cumsum(total, out=total)
+    hashes = total[ends]
+    hashes -= total[starts]
+    # Powers of the inverse bring every span to the same place.
+    hashes *= powers(pow(base, -1, 1 << 64), len(values) + 1)[starts]
+    out[part] = hashes
 
 
 def text_blocks(

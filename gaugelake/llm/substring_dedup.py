@@ -88,12 +88,12 @@ def _hash_windows(parts: int, width: int):
     return task
 
 
-def unpack_places(row: dict):
+def unpack_places(row: dict, at: np.ndarray | slice = slice(None)):
+    """Place, key and start of the windows ``at`` of a row."""
     counts = np.frombuffer(row["counts"], np.uint32)
-    places = np.repeat(np.frombuffer(row["places"], np.int64), counts)
-    keys = np.repeat(np.frombuffer(row["keys"], np.int64), counts)
-    starts = np.cumsum(common.from_planes(row["starts"], np.int32), dtype=np.int64)
-    return places, keys, starts, np.frombuffer(row["hashes"], np.uint64)
+    text = np.repeat(np.arange(len(counts)), counts)[at]
+    starts = np.cumsum(common.from_planes(row["starts"], np.int32), dtype=np.int64)[at]
+    return np.frombuffer(row["places"], np.int64)[text], np.frombuffer(row["keys"], np.int64)[text], starts
 
 
 def as_runs(places, keys, starts) -> pa.RecordBatch:
@@ -117,27 +117,43 @@ def first_of_equals(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def repeated_members(hashes: np.ndarray) -> np.ndarray:
+    """Marks values that occur more than once."""
+    order = np.argsort(hashes)
+    equal = hashes[order][1:] == hashes[order][:-1]
+    member = np.zeros(len(hashes), bool)
+    member[order[1:][equal]] = True
+    member[order[:-1][equal]] = True
+    return member
+
+
 def _repeated(batches):
-    """All but the first place of every hash of this partition."""
+    """All but the first place of every hash of this partition.
+
+    Rows stay packed; places are taken out for the hashes that occur twice.
+    """
     packed = []
     for batch in batches:
         for row in batch.to_pylist():
             if row["hashes"]:
-                packed.append(unpack_places(row))
+                packed.append(row)
             else:
-                yield as_runs(*unpack_places(row)[:3])
+                yield as_runs(*unpack_places(row))
     if not packed:
         return
-    places, keys, starts, hashes = (np.concatenate(x) for x in zip(*packed, strict=True))
-    packed.clear()
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    equal = hashes[1:] == hashes[:-1]
-    member = np.zeros(len(order), bool)
-    member[1:] |= equal
-    member[:-1] |= equal
-    order, hashes = order[member], hashes[member]
-    places, keys, starts = places[order], keys[order], starts[order]
+    hashes = np.concatenate([np.frombuffer(row["hashes"], np.uint64) for row in packed])
+    member = repeated_members(hashes)
+    hashes = hashes[member]
+    if not len(hashes):
+        return
+    first, found = 0, []
+    for i, row in enumerate(packed):
+        last = first + len(row["hashes"]) // 8
+        at = np.flatnonzero(member[first:last])
+        if len(at):
+            found.append(unpack_places(row, at))
+        packed[i], first = None, last
+    places, keys, starts = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((starts, keys, places, hashes))
     order = order[first_of_equals(hashes[order], places[order], keys[order], starts[order])]
     later = order[1:][hashes[order][1:] == hashes[order][:-1]]
