@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from gaugelake.llm import common
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 # Characters that both libraries normalise, lower-case and classify alike.
 _PLAIN = regex.compile(r"[\t\n\r -~¡-įı-ňŊ-ž‐-‧‰-⁞€]*")
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -86,6 +87,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process: its words stay known from task to task."""
+    return Encoder(path)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """place, text_key, rest, n and ids (packed) of every document, ``end_id`` last; null text is empty.
 
@@ -96,7 +103,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     rest = texts.schema["rest"].dataType.simpleString()
 
     def task(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             out: list[bytes] = []
@@ -120,4 +127,4 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def width_of(path: str) -> np.dtype:
-    return Encoder(path).dtype
+    return encoder_of(path).dtype
