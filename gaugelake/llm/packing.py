@@ -6,8 +6,9 @@ are then ranged by their rarest ids, ties by document, which brings lexically cl
 one partition and splits groups of copies of any size evenly. A partition is worked through in
 shards of about a million tokens. Texts longer than a window give whole windows first; what is
 left of each is indexed. The next unused text seeds a window: its strongest terms query the
-shard's index, and unused texts fill the window by falling BM25 score. The text that does not
-fit is cut, and its remainder seeds the next window. What is left over at the end of a shard
+shard's index, and unused texts fill the window by falling BM25 score; when those it offers are
+used up it is asked again, then by all terms of the seed, until no unused text shares one. The
+text that does not fit is cut, and its remainder seeds the next window. What is left over at the end of a shard
 goes on to the next; at the end of a partition it is cut into sequences whose lengths are
 powers of two, so nothing is padded.
 
@@ -18,6 +19,8 @@ in equal partitions gives equal sequences. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +33,7 @@ from gaugelake.session import stage
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
 PARTITION_TOKENS = 4_000_000
+# How much one question asks; questions are repeated until there is no answer.
 QUERY_TERMS = 16
 NEIGHBOURS = 64
 _K1, _B = 1.2, 0.75
@@ -69,12 +73,19 @@ class Shard:
             weights.append(weight)
             best = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS] if len(found) > QUERY_TERMS else slice(None)
             self.queries.append(found[best])
+        self.terms = terms
         terms, docs, weights = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = docs[order], weights[order]
         self.bounds = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         self.unused = np.ones(len(texts), bool)
 
+    def offers(self, seed: int) -> Iterator[int]:
+        """Unused texts that share a term with a seed; the caller uses each before the next."""
+        for query in (self.queries[seed], self.terms[seed]):
+            while len(found := self.neighbours(query)):
+                yield from found.tolist()
+
     def neighbours(self, query: np.ndarray) -> np.ndarray:
         """Unused texts with the highest scores, best first, ties by position."""
         spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in query]
@@ -94,10 +105,10 @@ def fill(texts: list[np.ndarray], idf: np.ndarray, mean: float, open_pieces: lis
     """
     shard = Shard(texts, idf, mean)
     room = window - sum(n for _, _, n in open_pieces)
-    query, after = None, 0
+    seed, after = None, 0
     while True:
-        pending = iter(shard.neighbours(query)) if query is not None else iter(())
-        query = None
+        pending = shard.offers(seed) if seed is not None else iter(())
+        seed = None
         while room:
             i = next(pending, None)
             if i is None:
@@ -106,7 +117,7 @@ def fill(texts: list[np.ndarray], idf: np.ndarray, mean: float, open_pieces: lis
                 if after == len(texts):
                     return
                 i = after
-                pending = iter(shard.neighbours(shard.queries[i]))
+                pending = shard.offers(i)
             if not shard.unused[i]:
                 continue
             shard.unused[i] = False
@@ -120,7 +131,7 @@ def fill(texts: list[np.ndarray], idf: np.ndarray, mean: float, open_pieces: lis
             # A remainder is shorter than a window: it was cut from a text of at most one.
             open_pieces.append((int(i), take, len(texts[i]) - take))
             room -= len(texts[i]) - take
-            query = shard.queries[i]
+            seed = i
 
 
 def powers_of_two(pieces: list, total: int):
