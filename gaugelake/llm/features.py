@@ -97,9 +97,11 @@ def held_out(column: str, folds: int, remainder: int):
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """doc_id, label and text of the sampled documents; a repeated doc_id gives its rows all."""
+    """doc_id, label and text of the sampled documents, one row for a doc_id: its text of least hash."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id")
+    found = texts.join(F.broadcast(sample), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("one")
+    return found.groupBy("doc_id", "label").agg(one).select("doc_id", "label", F.col("one.text").alias("text"))
 
 
 def plain(docs: DataFrame) -> DataFrame:
