@@ -2,9 +2,11 @@
 
 Two facts keep every task bounded however the rows are spread over groups:
 
-* An ordering key that is unique inside a group can be cut into slices of fixed width. Lag
-  runs inside a slice; the one row per slice that needs the slice before it is served from a
-  table with one row per slice.
+* An ordering key that is unique inside a group can be cut into slices. Lag runs inside a
+  slice; the one row per slice that needs the slice before it is served from a table with one
+  row per slice. Dense keys (row numbers) are cut at fixed widths. Sparse or hashed keys are cut
+  by counts: a group's range is divided so that a slice would hold the wanted number of rows,
+  and slices that turn out to hold many more are divided again, level by level.
 * Two rows in one time slot of width ``g`` are never more than ``g`` seconds apart, so gaps
   longer than ``g`` are visible from the first and last row of each slot alone.
 """
@@ -27,6 +29,53 @@ def _slice(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("bigint")
 
 
+DENSE_FACTOR = 4
+_EDGES_TOGETHER = 4_096
+
+
+def counted_slices(df: DataFrame, groups: Sequence[str], order: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` plus ``slice_no``, an array that orders slices of about ``rows`` rows each.
+
+    Every level counts the rows of what is too full to be one slice and divides its range
+    evenly; its table has at most one row per ``DENSE_FACTOR * rows`` rows. Keys are unique in a
+    group, so ranges end up small enough. Null groups and keys are values of their own.
+    """
+    wide = F.col(order).cast("decimal(20,0)")
+    cut = df.withColumn("slice_no", F.array().cast("array<bigint>"))
+    keys, most = [*groups, "slice_no"], rows
+    while True:
+        found = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+        span = F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)") + 1
+        width = F.ceil(span / F.ceil(F.col("n") / rows)).cast("decimal(20,0)")
+        full = stage(found.where((F.col("n") > most) & (F.col("lo") < F.col("hi"))).select(*keys, "lo", width.alias("width")), "slices")
+        if full.isEmpty():
+            return cut
+        number = F.floor((wide - F.col("lo").cast("decimal(20,0)")) / F.col("width")).cast("bigint")
+        joined = _null_safe(cut, full, keys, "left")
+        cut = joined.withColumn(
+            "slice_no", F.when(F.col("width").isNull(), F.col("slice_no")).otherwise(F.concat("slice_no", F.array(number)))
+        ).drop("lo", "width")
+        most = DENSE_FACTOR * rows
+
+
+def _edge_before(edges: DataFrame, groups: list[str]) -> DataFrame:
+    """``slice_before``: last values of the slice before each, in two levels of windows.
+
+    No window holds more than ``_EDGES_TOGETHER`` first-level slices and what they were divided
+    into, or one row for each of those.
+    """
+    many = F.floor(F.coalesce(F.get("slice_no", F.lit(0)), F.lit(0)) / _EDGES_TOGETHER).alias("run_no")
+    edges = edges.select(*groups, "slice_no", "last_values", many)
+    inner = W.partitionBy(*groups, "run_no").orderBy("slice_no")
+    inside = edges.withColumn("near", F.lag(F.struct("last_values")).over(inner))
+    runs = edges.groupBy(*groups, "run_no").agg(F.max(F.struct("slice_no", "last_values")).alias("last"))
+    outer = W.partitionBy(*groups).orderBy("run_no")
+    runs = runs.select(*groups, "run_no", F.lag("last").over(outer).alias("far"))
+    joined = _null_safe(inside, runs, [*groups, "run_no"], "left")
+    before = F.when(F.col("near").isNotNull(), F.col("near.last_values")).otherwise(F.col("far.last_values"))
+    return joined.select(*groups, "slice_no", before.alias("slice_before"))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join by name in which null matches null; key columns come from the left."""
     renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
@@ -36,15 +85,19 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 def sliced_lag(
     df: DataFrame, groups: Sequence[str], order: str, values: Sequence[str],
-    width: int = SLICE_ROWS,
+    width: int | None = SLICE_ROWS, rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``df`` plus ``previous_<value>`` from the row before it in its group.
 
-    ``order`` must be unique inside a group: a slice then holds at most ``width`` rows. Null is a
+    ``order`` must be unique inside a group: a slice then holds at most ``width`` rows. Without
+    a width, for sparse keys, slices are cut by counts and hold about ``rows`` rows. Null is a
     group of its own.
     """
     groups, values = list(groups), list(values)
-    sliced = df.withColumn("slice_no", _slice(order, width))
+    if width is None:
+        sliced = stage(counted_slices(df, groups, order, rows), "sliced")
+    else:
+        sliced = df.withColumn("slice_no", _slice(order, width))
     inner = W.partitionBy(*groups, "slice_no").orderBy(order)
     lagged = sliced.select(
         "*",
@@ -55,10 +108,13 @@ def sliced_lag(
     edges = sliced.groupBy(*groups, "slice_no").agg(
         *[F.max_by(v, order).alias(v) for v in values]
     ).select(*groups, "slice_no", F.struct(*values).alias("last_values"))
-    by_slice = W.partitionBy(*groups).orderBy("slice_no")
-    before = edges.select(
-        *groups, "slice_no", F.lag("last_values").over(by_slice).alias("slice_before")
-    )
+    if width is None:
+        before = _edge_before(edges, groups)
+    else:
+        by_slice = W.partitionBy(*groups).orderBy("slice_no")
+        before = edges.select(
+            *groups, "slice_no", F.lag("last_values").over(by_slice).alias("slice_before")
+        )
     # Same keys as the window above, so the rows stay where they are.
     joined = _null_safe(lagged, before, [*groups, "slice_no"], "left")
     filled = [

@@ -69,6 +69,13 @@ def relative(lake: Lake, path: Column) -> Column:
     return F.when(at > 0, F.substring(path, at + len(root), F.length(path))).otherwise(path)
 
 
+def raw_key_date(lake: Lake, path: Column) -> Column:
+    """Date of a canonical raw file of this lake; null for any other prefix, source, folder or name."""
+    source = re.escape(lake.source)
+    shape = rf"^raw/source={source}/source_date=(\d{{4}}-\d{{2}}-\d{{2}})/(?:data\.csv|part[^/]*)$"
+    return F.nullif(F.regexp_extract(relative(lake, path), shape, 1), F.lit("")).try_cast("date")
+
+
 _RULES = T.ArrayType(
     T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("count", T.LongType())])
 )

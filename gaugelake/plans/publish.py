@@ -43,13 +43,17 @@ class Run:
 
 
 def raw_evidence(
-    spark: SparkSession, lake: Lake, run: Run, folders: list[str] | None = None
+    spark: SparkSession, lake: Lake, run: Run, folders: list[str] | None = None,
+    without: DataFrame | None = None,
 ) -> DataFrame:
-    """Current raw objects with checksum and the identity of their processing."""
-    found = objects.object_checksums(spark, folders or lake.raw, "*")
+    """Current raw objects with checksum and the identity of their processing.
+
+    Objects named in ``without`` (object_key) are not read.
+    """
+    found = objects.object_checksums(spark, folders or lake.raw, "*", without=without)
     dated = found.select(
         "object_key",
-        raw.source_date_of(F.concat("object_key", F.lit("/part"))).alias("source_date"),
+        L.raw_key_date(lake, F.concat("object_key", F.lit("/part"))).alias("source_date"),
         L.relative(lake, F.col("object_key")).alias("raw_key"),
         F.col("sha256").alias("raw_sha256"),
         F.col("byte_size").alias("raw_byte_size"),
@@ -162,13 +166,14 @@ def output_folders(
 
 def decide(
     spark: SparkSession, lake: Lake, run: Run, force: bool = False,
-    folders: list[str] | None = None,
+    folders: list[str] | None = None, without: DataFrame | None = None,
 ) -> DataFrame:
     """Raw objects with their resume status, judged on the evidence of their current identity.
 
-    With ``folders`` only those objects and their own outputs are looked at.
+    With ``folders`` only those objects and their own outputs are looked at; objects named in
+    ``without`` have no row.
     """
-    current = stage(raw_evidence(spark, lake, run, folders), "current")
+    current = stage(raw_evidence(spark, lake, run, folders, without), "current")
     below = output_folders(spark, lake, current) if folders is not None else (None, None)
     staged = staged_evidence(spark, lake, below[0])
     rejected = quarantine_evidence(spark, lake, below[1])
@@ -185,6 +190,20 @@ def decide(
     )
 
 
+def too_large(
+    spark: SparkSession, lake: Lake, run: Run, folders: list[str] | None = None
+) -> DataFrame | None:
+    """Raw objects over the size limit of the run, from the listing; None without a limit."""
+    if run.size_limit is None:
+        return None
+    sizes = objects.object_sizes(spark, folders or lake.raw).where(F.col("byte_size") > run.size_limit)
+    found = sizes.select(
+        "object_key", L.raw_key_date(lake, F.concat("object_key", F.lit("/part"))).alias("source_date"),
+        L.relative(lake, F.col("object_key")).alias("raw_key"), F.col("byte_size").alias("raw_byte_size"),
+    )
+    return stage(found.where(F.col("source_date").isNotNull()), "too-large")
+
+
 def publish_days(
     spark: SparkSession, lake: Lake, run: Run, force: bool = False,
     folders: list[str] | None = None,
@@ -192,17 +211,19 @@ def publish_days(
     """Bring raw days up to date; returns one outcome row per day.
 
     ``folders`` limits the run to some raw objects. Data is written first and the ledger last,
-    so a reader that goes through the ledger never sees a day half done.
+    so a reader that goes through the ledger never sees a day half done. Objects over the
+    run's size limit are refused by their listed size; their bodies are not read.
     """
-    decided = stage(decide(spark, lake, run, force, folders), "decisions")
+    large = too_large(spark, lake, run, folders)
+    decided = stage(decide(spark, lake, run, force, folders, large), "decisions")
     legacy = decided.where(F.col("status") == "manifest_upgraded")
     if not legacy.isEmpty():
         upgrade_manifests(spark, lake, legacy)
     todo = decided.where(F.col("status").isin("processed", "rebuilt"))
-    # An oversized object is refused before its body is read.
-    too_large = F.lit(False) if run.size_limit is None else F.col("raw_byte_size") > run.size_limit
-    failed = todo.where(too_large).select("source_date", F.lit("INPUT_TOO_LARGE").alias("error"))
-    todo = todo.where(~too_large)
+    failed = spark.createDataFrame([], "source_date date, error string")
+    if large is not None:
+        decided = decided.unionByName(large.withColumn("status", F.lit("processed")), allowMissingColumns=True)
+        failed = large.select("source_date", F.lit("INPUT_TOO_LARGE").alias("error"))
     # One folder per calendar day.
     pending = [r["object_key"] for r in todo.select("object_key").collect()]
     if pending:

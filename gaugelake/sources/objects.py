@@ -49,23 +49,36 @@ def _digest_reader(chunk: int):
     return read
 
 
-def file_checksums(spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES) -> DataFrame:
+def object_sizes(spark: SparkSession, folder: Folders, glob: str = "*") -> DataFrame:
+    """(object_key, byte_size) per directory, from the listing alone."""
+    path = plain_path(F.col("path"))
+    files = _files(spark, folder, glob).select(F.regexp_replace(path, _PARENT, "").alias("object_key"), "length")
+    return files.groupBy("object_key").agg(F.sum("length").alias("byte_size"))
+
+
+def file_checksums(
+    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES, without: DataFrame | None = None
+) -> DataFrame:
     """(file_path, byte_size, sha256) of every file below ``folder``.
 
     Only paths travel to the tasks; a file that can't be read fails its task. Spark's file
-    listing leaves out empty files, so they have no row here.
+    listing leaves out empty files, so they have no row here. Objects named in ``without``
+    (object_key) are left unread.
     """
     tasks = 4 * spark.sparkContext.defaultParallelism
     paths = _files(spark, folder, glob).select(
         plain_path(F.col("path")).alias("file_path"), F.col("length").alias("byte_size")
     )
+    if without is not None:
+        left_out = without.select(F.col("object_key").alias("left_out"))
+        paths = paths.join(left_out, F.regexp_replace("file_path", _PARENT, "") == F.col("left_out"), "left_anti")
     return paths.repartition(tasks, "file_path").mapInPandas(
         _digest_reader(chunk), "file_path string, byte_size long, sha256 string"
     )
 
 
 def object_checksums(
-    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES
+    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES, without: DataFrame | None = None
 ) -> DataFrame:
     """(object_key, byte_size, sha256, file_count) per directory.
 
@@ -77,7 +90,7 @@ def object_checksums(
         lambda e: e["sha256"],
     )
     return (
-        file_checksums(spark, folder, glob, chunk)
+        file_checksums(spark, folder, glob, chunk, without)
         .groupBy(F.regexp_replace("file_path", _PARENT, "").alias("object_key"))
         .agg(
             F.sum("byte_size").alias("byte_size"),

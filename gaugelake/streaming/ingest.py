@@ -1,10 +1,9 @@
 """File-arrival stream: raw objects are validated and published as they land.
 
-The stream carries arrivals, not bodies: it reads paths, sizes and times. Each micro-batch names
-the days it touched, runs the batch plan over exactly those objects and books their files. A
-file source never looks at a known name again, so ``run_available`` compares a listing with the
-booked files after the stream has drained and processes objects that were replaced in place.
-Delivery may repeat and come in any order: an unchanged object is skipped by its identity, a
+The stream carries arrivals, not bodies: paths, sizes and times from versions of a listing, so
+a file that was replaced under its own name arrives again. Each micro-batch names the days it
+touched and runs the batch plan over exactly those objects. Keys that are not canonical are
+refused, empty objects and objects over the size limit fail by their listed size. Delivery may repeat and come in any order: an unchanged object is skipped by its identity, a
 changed one is rebuilt, and continuity is computed anew from the ordered ledger after every
 batch, never from arrival order.
 """
@@ -17,25 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugelake import contract as C
 from gaugelake.plans import history, publish
 from gaugelake.plans import lake as L
 from gaugelake.plans.lake import Lake
 from gaugelake.plans.publish import Run
 from gaugelake.session import stage
 from gaugelake.sources import raw
+from gaugelake.streaming.arrivals import read_arrivals
 
-_ARRIVAL_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 OUTCOME_SCHEMA = (
     "batch_id long, source_date date, raw_key string, outcome string, error string, "
     "input_row_count long, valid_row_count long, quarantine_row_count long"
 )
 
 
-_BOOKED = "source_date date, file_path string, byte_size long, modified timestamp"
-
-
 def listing(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """source_date, path, size and time of the files below a folder; contents are not read."""
+    """source_date, path, size and time of the files below a folder, without empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = raw.plain_path(F.col("path"))
     return files.select(
@@ -44,31 +41,16 @@ def listing(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     )
 
 
-def replaced(spark: SparkSession, lake: Lake) -> DataFrame:
-    """Files of booked days that are new or differ in size or time from what was booked."""
-    book = L.read_ledger(spark, lake.control("arrival"), spark.createDataFrame([], _BOOKED).schema)
-    days = book.select("source_date").distinct()
-    now = listing(spark, lake.raw).where(F.col("source_date").isNotNull()).join(days, "source_date", "left_semi")
-    same = ["source_date", "file_path", "byte_size", "modified"]
-    return now.join(book, same, "left_anti").select("file_path", "source_date")
-
-
-def arrivals(spark: SparkSession, lake: Lake, max_files: int | None = None) -> DataFrame:
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(_ARRIVAL_SCHEMA)
-        .option("recursiveFileLookup", "true")
-    )
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def arrivals(spark: SparkSession, lake: Lake, checkpoint: str, max_files: int | None = None) -> DataFrame:
+    """Stream of file_path, byte_size and source_date (null where the key is not canonical)."""
+    found = read_arrivals(spark, lake.raw, f"{checkpoint.rstrip('/')}/listing", max_files)
     path = raw.plain_path(F.col("path"))
-    return reader.load(lake.raw).select(
-        path.alias("file_path"), raw.source_date_of(path).alias("source_date")
-    )
+    return found.select(path.alias("file_path"), "byte_size", L.raw_key_date(lake, path).alias("source_date"))
 
 
 def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None:
-    """Publish the days of one micro-batch and record an outcome per object.
+    """Publish the days of one micro-batch (file_path, byte_size, source_date) and record an
+    outcome per object.
 
     One bad object fails alone. Re-running a batch replaces its own outcome rows.
     """
@@ -95,7 +77,16 @@ def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None
     if folders:
         status = F.col("status")
         published = publish.publish_days(spark, lake, run, folders=folders)
+        # Listings leave out empty files: a day without any other file is empty.
+        emptied = touched.where((F.col("byte_size") == 0) & F.col("source_date").isNotNull())
+        emptied = emptied.join(listing(spark, folders).select("source_date"), "source_date", "left_anti")
         outcomes = refused.unionByName(
+            emptied.select(
+                "source_date", L.relative(lake, folder).alias("raw_key"), F.lit("failed").alias("outcome"),
+                F.lit(C.EMPTY_INPUT).alias("error"), F.lit(0).cast("long").alias("input_row_count"),
+                *[F.lit(0).cast("long").alias(n) for n in ("valid_row_count", "quarantine_row_count")],
+            ).distinct()
+        ).unionByName(
             published.select(
                 "source_date", "raw_key",
                 F.when(status == "skipped", "duplicate_skipped").otherwise(status).alias("outcome"),
@@ -107,8 +98,6 @@ def process_batch(lake: Lake, run: Run, batch: DataFrame, batch_id: int) -> None
         lake.control("stream_outcome"), "batch_id",
     )
     if folders:
-        # Files are booked after their days: a batch that fails is seen as changed again.
-        L.write_ledger(listing(spark, folders), lake.control("arrival"), "source_date")
         L.write_ledger(
             history.ledger_boundaries(spark, lake, run.limits).withColumn("scope", F.lit("days")),
             lake.control("day_boundary"), "scope",
@@ -138,9 +127,12 @@ def batch_metrics(outcome: DataFrame, seconds: float) -> DataFrame:
 def start(
     spark: SparkSession, lake: Lake, run: Run, checkpoint: str, max_files: int | None = None
 ) -> StreamingQuery:
-    """Process everything that has arrived and stop; schedule it again for what comes next."""
+    """Process what has arrived or was replaced, and stop; schedule it again for what comes next.
+
+    ``max_files`` bounds the files of one run; what is left over is for the next one.
+    """
     return (
-        arrivals(spark, lake, max_files)
+        arrivals(spark, lake, checkpoint, max_files)
         .writeStream.foreachBatch(lambda batch, i: process_batch(lake, run, batch, i))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -151,15 +143,12 @@ def start(
 def run_available(
     spark: SparkSession, lake: Lake, run: Run, checkpoint: str, max_files: int | None = None
 ) -> None:
-    """Drain the stream, then process objects replaced in place under names it already knows.
-
-    Such a sweep gets the next negative batch number.
-    """
-    start(spark, lake, run, checkpoint, max_files).awaitTermination()
-    changed = stage(replaced(spark, lake), "replaced")
-    if not changed.isEmpty():
-        lowest = outcomes(spark, lake).agg(F.min("batch_id")).first()[0]
-        process_batch(lake, run, changed, min(lowest or 0, 0) - 1)
+    """Run the stream until a run finds nothing more."""
+    while True:
+        query = start(spark, lake, run, checkpoint, max_files)
+        query.awaitTermination()
+        if not (query.lastProgress and query.lastProgress.numInputRows):
+            return
 
 
 def outcomes(spark: SparkSession, lake: Lake) -> DataFrame:

@@ -14,10 +14,10 @@ from gaugelake.plans import audit, catalog, compact, history, publish, split
 from gaugelake.plans import lake as L
 from gaugelake.plans.lake import Lake
 from gaugelake.session import new_folder, stage
-from gaugelake.sources import objects
+from gaugelake.sources import objects, raw
 from gaugelake.streaming import ingest
 from gaugelake.workloads import feed
-from gaugelake.workloads.common import Registry
+from gaugelake.workloads.common import Registry, table
 from gaugelake.workloads.validation import BATCH_SQL
 
 REGISTRY = Registry()
@@ -515,30 +515,63 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 0 as batch_id, 'processed' as outcome, count(*) as object_count, sum(input_row_count)::bigint as input_rows
 from batch group by all having count(*) > 0
 union all
-select -1, 'rebuilt', count(*), sum(input_row_count + 1)::bigint from batch where day(object_date) % 5 = 2
+select 1, 'rebuilt', count(*), sum(input_row_count + 1)::bigint from batch where day(object_date) % 5 = 2
 group by all having count(*) > 0""")
 def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some objects replaced under their own file names after the stream had taken them."""
     lake = _raw_lake(spark, sf_dir)
     checkpoint = new_folder(spark, "stream")
-    ingest.run_available(spark, lake, RUN, checkpoint)
-    files = ingest.listing(spark, lake.raw).where(F.dayofmonth("source_date") % 5 == 2)
-    last = files.groupBy("source_date").agg(F.max_by("file_path", F.struct(F.length("file_path"), "file_path")).alias("path"))
+    ingest.start(spark, lake, RUN, checkpoint).awaitTermination()
+    # One more line in place, by one job: the new files take the old names.
+    changed = F.dayofmonth("source_date") % 5 == 2
+    files = ingest.listing(spark, lake.raw).where(changed).select("file_path", "source_date")
+    last = files.groupBy("source_date").agg(F.max(F.struct(F.length("file_path").alias("n"), "file_path")).alias("last"))
+    lines = raw.read_lines(spark, lake.raw).select(raw.plain_path(F.col("file_path")).alias("file_path"), "line", "block_start", "scan_id")
+    last = stage(last.select("source_date", F.col("last.file_path").alias("file_path")), "last")
+    kept = lines.join(last, "file_path").unionByName(
+        last.select("*", F.lit("1,2,3\r").alias("line"), F.lit(2**62).alias("block_start"), F.lit(0).cast("long").alias("scan_id")))
+    folder = new_folder(spark, "changed")
+    (kept.repartitionByRange("source_date", "block_start", "scan_id").sortWithinPartitions("source_date", "block_start", "scan_id")
+     .select("line", "source_date").coalesce(1).write.partitionBy("source_date").text(folder))
+    written = ingest.listing(spark, folder).withColumnRenamed("file_path", "new_path").join(last, "source_date")
     fs = spark._jvm.org.apache.hadoop.fs
-    for row in last.collect():
-        # One more line in place: the same name, another content.
-        path = fs.Path(row["path"])
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        text = spark.read.text(row["path"], wholetext=True).first()[0]
-        out = system.create(path, True)
-        out.write(bytearray((text + "1,2,3\r\n").encode()))
-        out.close()
-    ingest.run_available(spark, lake, RUN, checkpoint)
-    ingest.run_available(spark, lake, RUN, checkpoint)
+    for row in written.select("new_path", "file_path").collect():
+        target = fs.Path(row["file_path"])
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.delete(target, False)
+        system.rename(fs.Path(row["new_path"]), target)
+    for _ in range(2):
+        ingest.start(spark, lake, RUN, checkpoint).awaitTermination()
     return ingest.outcomes(spark, lake).groupBy(F.col("batch_id").cast("int").alias("batch_id"), "outcome").agg(
         F.count(F.lit(1)).alias("object_count"), F.sum("input_row_count").alias("input_rows"))
 
 
+@query("""
+with d as (select cast(ts as date) as day, day(cast(ts as date)) % 6 as part from events group by all),
+o as (select day, case part when 0 then 'rejected_key' when 1 then 'failed' when 2 then 'failed' else 'processed' end as outcome,
+             case part when 0 then 'object path does not match the canonical layout' when 1 then 'INPUT_TOO_LARGE'
+                       when 2 then 'BATCH_EMPTY_INPUT' end as error from d)
+select outcome, error, count(*) as object_count from o group by all""")
+def stream_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day one small object; some too large, some empty, some under a name that nearly fits."""
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min("event_id").alias("n"))
+    lake = Lake(new_folder(spark, "lake"))
+    part = F.dayofmonth("day") % 6
+    row = F.concat(F.date_format("day", "0,yyyy-MM-dd 00:00:00"), F.lit(",1.0" * 15 + "\r"))
+    text = F.concat_ws("\n", F.lit(split.HEADER_LINE), F.when(part == 1, F.repeat(F.concat(row, F.lit("\n")), 200)).otherwise(row))
+    name = F.concat(F.lit("source_date="), F.date_format("day", "yyyy-MM-dd"), F.when(part == 0, "/data.csv.bak").otherwise("/data.csv"))
+    fs = spark._jvm.org.apache.hadoop.fs
+    # One object a calendar day.
+    for path, body in days.select(name, F.when(part == 2, "").otherwise(text)).collect():
+        target = fs.Path(f"{lake.raw}/{path}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(body.encode()))
+        out.close()
+    small = publish.Run("1.0.0", "2024-02-01T00:00:00Z", size_limit=2_000)
+    ingest.start(spark, lake, small, new_folder(spark, "stream")).awaitTermination()
+    return ingest.outcomes(spark, lake).groupBy("outcome", "error").agg(F.count(F.lit(1)).alias("object_count"))
+
+
 @query(BATCH_SQL + """
 select strftime(lag(object_date) over (order by object_date), '%Y-%m-%d') as previous_label,
        strftime(object_date, '%Y-%m-%d') as current_label,
@@ -548,7 +581,7 @@ from batch qualify previous_label is not null""")
 def stream_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day boundaries after days arrived in two batches, later days first."""
     lake = _raw_lake(spark, sf_dir)
-    files = stage(ingest.listing(spark, lake.raw).select("file_path", "source_date"), "files")
+    files = stage(ingest.listing(spark, lake.raw).select("file_path", "byte_size", "source_date"), "files")
     for number, part in enumerate((F.dayofmonth("source_date") % 3 != 1, F.dayofmonth("source_date") % 3 == 1)):
         ingest.process_batch(lake, RUN, files.where(part), number)
     return spark.read.parquet(lake.control("day_boundary")).select("previous_label", "current_label", "delta_seconds")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugelake import contract as C
 from gaugelake.functions import parsing
-from gaugelake.operators import metrics, profile, resume
+from gaugelake.operators import metrics, ordered, profile, resume
 from gaugelake.plans import split, transform
 from gaugelake.session import new_folder, stage
 from gaugelake.sources import raw, tables
@@ -146,6 +146,23 @@ def out_of_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.out_of_order_rows(rows)
 
 
+# Few dense stretches of keys, spread over most of the 64-bit range.
+_SPREAD = "event_id % 97 * 47000000000000000 + event_id * 1009"
+
+
+@query(f"""
+with k as (select *, {_SPREAD} as k from events),
+p as (select event_type, lag(event_type) over (order by k) as before, k - lag(k) over (order by k) as step from k)
+select before as previous_type, event_type, count(*) as transitions, max(step) as longest_step from p group by all""")
+def sparse_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows what, in the order of a sparse key, without groups."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_type", f"{_SPREAD} as k")
+    lagged = ordered.sliced_lag(rows, [], "k", ["event_type", "k"], width=None, rows=500)
+    step = F.col("k") - F.col("previous_k")
+    return lagged.groupBy(F.col("previous_event_type").alias("previous_type"), "event_type").agg(
+        F.count(F.lit(1)).alias("transitions"), F.max(step).alias("longest_step"))
+
+
 _KEYS = ("case when event_id % 5 = 0 then 'raw/source=t/source_date=' || substring(cast(ts as string), 1, 10)"
          " || '/data.csv' when event_id % 5 = 1 then 'raw/source=t/source_date=2024-02-31/data.csv'"
          " when event_id % 5 = 2 then 'staging/source=t/day=01/data.parquet'"

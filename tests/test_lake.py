@@ -284,17 +284,49 @@ def test_stream_is_idempotent_and_isolates_failures(spark, tmp_path):
         (0, "source_date=2020-02-03", "failed"), (0, "stray.txt", "rejected_key"),
     }
     assert drain() == first
-    folder = write_object(lake.raw, "2020-02-01", day_lines("2020-02-01", 7), name="redelivery.csv")
+    folder = write_object(lake.raw, "2020-02-01", day_lines("2020-02-01", 7), name="part-1.csv")
     (folder / "data.csv").unlink()
     assert drain() - first == {(1, "source_date=2020-02-01", "rebuilt")}
 
 
+def test_stream_sees_replaced_and_empty_objects_by_itself(spark, tmp_path):
+    lake = build(tmp_path / "lake", bad_on=None)
+    folder = Path(lake.raw) / "source_date=2020-02-09"
+    folder.mkdir()
+    (folder / "data.csv").write_bytes(b"")
+    for near in ("source_date=2020-02-08/data.csv.gz", "source_date=2020-02-08/deep/data.csv", "x/source_date=2020-02-08/data.csv"):
+        path = Path(lake.raw) / near
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x\n")
+    checkpoint = str(tmp_path / "checkpoint")
+
+    def drain():
+        ingest.run_available(spark, lake, RUN, checkpoint, 3)
+        return sorted((r["batch_id"], r["raw_key"].split("source_date=")[-1], r["outcome"], r["error"]) for r in ingest.outcomes(spark, lake).collect())
+
+    first = drain()
+    assert {r[1:3] for r in first} == {
+        ("2020-02-01", "processed"), ("2020-02-02", "processed"), ("2020-02-09", "failed"), ("2020-02-08/data.csv.gz", "rejected_key"),
+        ("2020-02-08/deep/data.csv", "rejected_key"), ("2020-02-08/data.csv", "rejected_key"),
+    }
+    assert len(first) == 6 and {r[0] for r in first} == {0, 1} and [r[3] for r in first if r[2] == "failed"] == ["BATCH_EMPTY_INPUT"]
+    assert drain() == first
+    write_object(lake.raw, "2020-02-02", day_lines("2020-02-02", 9))
+    write_object(lake.raw, "2020-02-09", day_lines("2020-02-09", 4))
+    second = drain()
+    assert [r[:3] for r in second if r not in first] == [(2, "2020-02-02", "rebuilt"), (2, "2020-02-09", "processed")]
+    assert drain() == second
+
+
 def test_stream_refuses_oversized_objects(spark, tmp_path):
     lake = build(tmp_path / "lake", days=("2020-02-01",), bad_on=None)
     small = publish.Run("1.0.0", "2020-10-01T00:00:00Z", size_limit=100)
     ingest.start(spark, lake, small, str(tmp_path / "checkpoint")).awaitTermination()
     row = ingest.outcomes(spark, lake).first()
     assert (row["outcome"], row["error"]) == ("failed", "INPUT_TOO_LARGE")
+    large = publish.too_large(spark, lake, small)
+    assert [r["raw_byte_size"] > 100 for r in large.collect()] == [True]
+    assert publish.raw_evidence(spark, lake, small, without=large).count() == 0
 
 
 @pytest.mark.parametrize("version,at", [(" ", "2020-10-01T00:00:00Z"), ("1", "2020-10-01T00:00:00+02:00")])

@@ -5,6 +5,8 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake.contract import Thresholds
@@ -219,3 +221,21 @@ def test_alarms(spark):
     assert found == {
         ("2024-01-01 00:05:00", "QuarantineRate", 5.1), ("2024-01-01 00:00:00", "PublicationDrift", 1.0),
     }
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_lag_over_sparse_keys(spark, groups):
+    """Keys in clusters over the whole 64-bit range: equal to one window, with few edges."""
+    rng = random.Random(12)
+    keys = {rng.randrange(-(2**63), 2**63) for _ in range(300)} | {2**62 + i for i in range(700)} | {-(2**63), 2**63 - 1, -5, 0}
+    keys |= {7 * 10**17 + 1_000 * i for i in range(400)}
+    rows = [(k, k % 1_001, rng.choice(["a", "b", "b", "b", None])) for k in keys]
+    df = spark.createDataFrame(rows, "k long, v long, g string").repartition(5)
+    window = W.partitionBy(*groups).orderBy("k")
+    want = df.withColumn("previous_v", F.lag("v").over(window)).withColumn("previous_k", F.lag("k").over(window))
+    got = ordered.sliced_lag(df, groups, "k", ["v", "k"], width=None, rows=20)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    slices = ordered.counted_slices(df, groups, "k", 20).groupBy(*groups, "slice_no").count()
+    sizes = [r["count"] for r in slices.collect()]
+    assert max(sizes) <= 80 and len(sizes) < len(rows) / 3
+    assert ordered.sliced_lag(df.limit(0), groups, "k", ["v"], width=None).count() == 0
