@@ -13,7 +13,7 @@ order's prefixes, are dropped where the prefixes under the other orders share no
 64-bit summaries, then exactly), and only then verified. Groups are not expanded into all
 pairs: each prefix shingle first pairs its members with one hub, the one with the fewest
 shingles of its own; pairs are enumerated only between members that verified links have not yet
-connected. So every pair that could link is either verified or already connected.
+connected, and at the first of the shingles they share, not at each of them. So every pair that could link is either verified or already connected.
 
 Results: null or empty text has an empty set and is alone; component_id is its own doc_id.
 Fewer than five words make one shingle of all. Repeated rows link with each other; a null
@@ -34,10 +34,12 @@ from gaugelake.session import stage
 SHINGLE_WORDS = 5
 PERCENT = 80
 ORDERS = 3
-HOT_CLASSES = 64
+# A shingle is hot that so many classes of a block of texts share.
+HOT_CLASSES, BLOCK_BYTES = 32, 2 << 20
 HUB_ROUNDS = 6
 # Hub rounds end when enumerating what is left costs no more than this.
 PAIRS_PER_HOLDER = 20
+LEAD = 32
 SALTS = 16
 
 _DOC, _COLD, _HOT, _LIST = range(4)
@@ -112,7 +114,7 @@ def _hash_sets(parts: int, width: int):
     def task(batches):
         for batch in batches:
             places, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for first, last, data, offsets in common.text_blocks(batch):
+            for first, last, data, offsets in common.text_blocks(batch, block_bytes=BLOCK_BYTES):
                 for packed in block(places[first:last], keys[first:last], data, offsets):
                     yield pa.RecordBatch.from_pylist([packed], schema)
 
@@ -293,6 +295,18 @@ def _pair(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
+def _with_lead(holders: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add ``lead``: up to ``LEAD`` members that come before a holder's item in its prefix.
+
+    Prefixes follow one global order, so two sets that share several prefix members meet first at
+    the same one, and the leads of all later meetings overlap. What lies beyond a lead can only
+    let a pair meet twice.
+    """
+    placed = sets.join(holders.select("cls").distinct(), "cls", "left_semi").select("cls", "prefix", F.posexplode("prefix").alias("at", "item"))
+    leads = placed.select("cls", "item", F.slice("prefix", F.lit(1), F.least("at", F.lit(LEAD))).alias("lead"))
+    return holders.join(leads, ["cls", "item"])
+
+
 def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of classes that links connect, from (cls, n, items, counts) rows."""
     grouped = shared.groupBy("cls").agg(F.max("n").alias("n"), F.collect_list("items").alias("items"), F.collect_list("counts").alias("counts"))
@@ -333,8 +347,11 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
         if apart <= PAIRS_PER_HOLDER * size or apart > before / 2:
             break
         before = apart
+    now = stage(_with_lead(now, sets), "leads")
     a, b = now.alias("a"), now.alias("b")
     pairs = a.join(b, F.col("a.item") == F.col("b.item")).where("a.cls < b.cls and a.root <> b.root").where(_may_link(percent, "a.", "b."))
+    # Whoever shares an earlier member has met there: holders of an open member apart are apart in all they share.
+    pairs = pairs.where(~F.arrays_overlap("a.lead", "b.lead"))
     pairs = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     found = stage(_checked(stage(pairs, "pairs"), sets, percent), "links")
     return common.components(links.unionByName(found), "components")
