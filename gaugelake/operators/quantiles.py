@@ -1,4 +1,5 @@
-"""Exact quantiles over value counts, with the ranking spread over value slices."""
+"""Exact quantiles: of columns by brackets from a mergeable rank sketch, and of value counts
+with the ranking spread over value slices."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from gaugelake.session import stage
 
 # Values are cut into BRANCH * BRANCH slices; a value finds its slice in two short searches.
 BRANCH = 32
+# A rank from the sketch is off by one in so many rows at most.
+ACCURACY = 20_000
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "double") -> DataFrame:
@@ -24,6 +27,102 @@ def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "double") ->
     )
 
 
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """Continuous quantiles of numeric columns, nulls left out: ``column_name, prob, quantile``.
+
+    Two passes over ``df``, neither of which shuffles its values. The first is one aggregate of
+    rank sketches, which merge map-side; each wanted rank gets a bracket of two values around it.
+    The second counts, per column, what falls between brackets as a number and only what falls
+    inside by value. If a rank lies outside its bracket after all, its column's brackets are
+    widened and counted again, so the answer does not depend on the sketch. The driver sees a
+    few numbers per column and probability.
+    """
+    columns, probs = list(columns), [float(p) for p in probs]
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    slack, done, open_columns = 2.0 / accuracy, [], columns
+    while open_columns:
+        at = sorted({min(max(p + side * slack, 0.0), 1.0) for p in probs for side in (-1, 1)} | {0.0, 1.0})
+        wanted = F.array(*[F.lit(p) for p in at])
+        sketches = typed.agg(*[F.percentile_approx(c, wanted, accuracy).alias(c) for c in open_columns]).first()
+        # A column of nulls alone has no brackets and no quantiles.
+        ends = {0.0: float("-inf"), 1.0: float("inf")}
+        brackets = {
+            c: _brackets(dict(zip(at, sketches[c], strict=True)) | ends, probs, slack) for c in open_columns if sketches[c] is not None
+        }
+        if not brackets:
+            break
+        counts = stage(_bracket_counts(typed, brackets), "brackets")
+        totals = {(r[0], r[1]): r[2] for r in counts.groupBy("column_name", "gap").agg(F.sum("n")).collect()}
+        ranks, open_columns = [], []
+        for c, found in brackets.items():
+            before = [0]
+            for gap in range(2 * len(found) + 1):
+                before.append(before[-1] + totals.get((c, gap), 0))
+            mine = []
+            for p in probs:
+                position = p * (before[-1] - 1)
+                for rank in {int(position), -int(-position // 1)}:
+                    gap = next(g for g in range(2 * len(found) + 1) if before[g] <= rank < before[g + 1])
+                    mine.append((c, gap, before[gap], p, position, rank))
+            if all(gap % 2 for _, gap, *_ in mine):
+                ranks += mine
+            else:
+                open_columns.append(c)
+        if ranks:
+            done.append(_at_ranks(counts, ranks))
+        slack *= 16
+    if not done:
+        return df.sparkSession.createDataFrame([], "column_name string, prob double, quantile double")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _brackets(values: dict[float, float], probs: list[float], slack: float) -> list[tuple[float, float]]:
+    """Disjoint closed ranges of values, ascending, that should hold the wanted ranks."""
+    clamp = lambda p: min(max(p, 0.0), 1.0)
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted((values[clamp(p - slack)], values[clamp(p + slack)]) for p in probs):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _bracket_counts(typed: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """(column_name, gap, value, n): even gaps lie between brackets, odd ones are brackets."""
+    parts = []
+    for c, found in brackets.items():
+        v, gap = F.col(c), F.lit(2 * len(found))
+        for i in range(len(found) - 1, -1, -1):
+            low, high = found[i]
+            # The last bracket can be open, and then holds NaN too.
+            gap = F.when(v < low, 2 * i).when(F.lit(True) if high == float("inf") else v <= high, 2 * i + 1).otherwise(gap)
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.when(v.isNotNull(), gap).alias("gap"), v.alias("value")))
+    rows = typed.select(F.explode(F.array(*parts)).alias("one")).select("one.*").where("gap is not null")
+    inside = F.when(F.col("gap") % 2 == 1, F.col("value")).alias("value")
+    return rows.select("column_name", "gap", inside).groupBy("column_name", "gap", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _at_ranks(counts: DataFrame, ranks: list[tuple]) -> DataFrame:
+    """Quantiles from the values of the brackets that hold the wanted ranks."""
+    wanted = counts.sparkSession.createDataFrame(
+        ranks, "column_name string, gap int, before long, prob double, position double, rank long")
+    needed = wanted.select("column_name", "gap", "before").distinct()
+    running = W.partitionBy("column_name", "gap").orderBy("value")
+    upto = F.col("before") + F.sum("n").over(running)
+    # A few rows for each column, whatever the data size.
+    placed = counts.join(F.broadcast(needed), ["column_name", "gap"]).select("column_name", "gap", "value", "n", upto.alias("upto"))
+    hits = placed.join(F.broadcast(wanted.drop("before")), ["column_name", "gap"]).where("rank >= upto - n and rank < upto")
+    ends = hits.groupBy("column_name", "prob", "position").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    part = F.col("position") - F.floor("position")
+    return ends.select("column_name", "prob", (F.col("low") + (F.col("high") - F.col("low")) * part).alias("quantile"))
+
+
 def weighted_quantiles(
     counts: DataFrame, label: str, value: str, weight: str, probs: Sequence[float],
     branch: int = BRANCH,

@@ -17,7 +17,7 @@ MONTH = ["year", "month"]
 def month_table(spark: SparkSession, known_start: date, known_end: date) -> DataFrame:
     """Every month of the known range with its terminal-partial flag."""
     if known_start > known_end:
-        raise ValueError("known source range is reversed")
+        raise ValueError("KNOWN_RANGE")
     return months_of(
         spark.range(1).select(
             F.lit(known_start).alias("known_source_start"), F.lit(known_end).alias("known_source_end")

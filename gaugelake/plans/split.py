@@ -35,17 +35,17 @@ def read_source(spark: SparkSession, folder: str) -> DataFrame:
     blocks = stage(raw.block_table(staged), "blocks")
     state = raw.object_table(blocks).first()
     if state is None:
-        raise SourceError("source is empty")
+        raise SourceError("SOURCE_EMPTY")
     if state["schema_drift"]:
-        raise SourceError("source header does not match the contract")
+        raise SourceError("SOURCE_HEADER")
     if not (state["is_utf8"] and state["is_well_formed"]):
-        raise SourceError("source text is not strict UTF-8 CSV")
+        raise SourceError("SOURCE_TEXT")
     if state["empty_input"]:
-        raise SourceError("source has a header but no data rows")
+        raise SourceError("SOURCE_ROWS")
     rows = raw.with_row_numbers(staged, blocks).where(F.col("source_row_number") > 0)
     bad = rows.where(F.col("route_date").isNull()).select("source_row_number").first()
     if bad is not None:
-        raise SourceError(f"source row {bad[0]} cannot be routed to a date")
+        raise SourceError(f"SOURCE_ROUTE row {bad[0]}")
     return rows.select("source_row_number", "line", "route_date")
 
 
@@ -98,8 +98,6 @@ def split_source(
     rows = read_source(spark, source)
     reversed_row = out_of_order_rows(rows).select("source_row_number", "route_date").first()
     if reversed_row is not None:
-        raise SourceError(
-            f"source date {reversed_row['route_date']} appears after a later date was closed"
-        )
+        raise SourceError(f"SOURCE_ORDER date {reversed_row['route_date']}")
     write_daily_objects(rows, folder, start, end)
     return rows

@@ -138,10 +138,7 @@ def profile_duplicate_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select '{c}' as column_name, {q} as prob, round(quantile_cont({c}, {q}), 6) as quantile from lineitem"
     for c in LINE_MEASURES for q in C.PROFILE_QUANTILES))
 def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = stage(quantiles.value_counts(table(spark, sf_dir, "lineitem"), LINE_MEASURES), "counts")
-    return _rounded(
-        quantiles.weighted_quantiles(counts, "column_name", "value", "row_count", C.PROFILE_QUANTILES)
-    )
+    return _rounded(quantiles.column_quantiles(table(spark, sf_dir, "lineitem"), LINE_MEASURES, C.PROFILE_QUANTILES))
 
 
 @query(_per_column(

@@ -228,7 +228,7 @@ def test_publication_and_audit(spark, months):
     with pytest.raises(catalog.PublicationConflict):
         publish_one(rows[1], "/elsewhere")
     drift = catalog.publication_drift(inventory, catalog.partitions(spark, name)).collect()
-    assert [(r["month"], r["finding"]) for r in drift] == [("03", "partition is missing")]
+    assert [(r["month"], r["finding"]) for r in drift] == [("03", "PARTITION_MISSING")]
 
     findings = audit.audit_months(spark, lake, inventory, catalog.partitions(spark, name))
     summary = audit.audit_summary(inventory, findings).first()
@@ -262,9 +262,9 @@ def test_publication_and_audit(spark, months):
 def test_catalog_schema_is_checked(spark):
     name = f"t_{uuid.uuid4().hex[:8]}"
     spark.sql(f"create table {name} (record_index bigint, year string, month string) using parquet partitioned by (year, month)")
-    with pytest.raises(catalog.PublicationConflict, match="schema"):
+    with pytest.raises(catalog.PublicationConflict, match="TABLE_SCHEMA"):
         catalog.check_schema(spark, name)
-    with pytest.raises(catalog.PublicationConflict, match="run directory"):
+    with pytest.raises(catalog.PublicationConflict, match="LOCATION_SHAPE"):
         catalog.publish_partition(spark, name, "2020", "02", "/somewhere/")
 
 

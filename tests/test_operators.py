@@ -118,6 +118,33 @@ def test_null_groups_have_gaps_too(spark):
     assert {(r["n"], r["previous_n"]) for r in lagged} == {(1, None), (2, 1), (3, None), (4, 3)}
 
 
+@pytest.mark.parametrize("accuracy", [3, 40, 20_000])
+def test_column_quantiles_by_brackets(spark, accuracy):
+    """A coarse sketch misses and is widened; answers stay exact."""
+    rng = np.random.default_rng(6)
+    values = np.concatenate([np.full(4000, 3.25), rng.lognormal(2, 3, 5000), [-1e12, 1e12, np.inf]])
+    rows = [(float(v), None if i % 3 else i, None, 7) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "a double, b int, none double, same long").repartition(6)
+    probs = [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    found = quantiles.column_quantiles(frame, ["a", "b", "none", "same"], probs, accuracy).collect()
+    seen = {(r["column_name"], r["prob"]): r["quantile"] for r in found}
+    assert len(seen) == len(found) == 3 * len(probs)
+    b = [float(i) for i in range(len(values)) if i % 3 == 0]
+    for p in probs:
+        assert np.isclose(seen["a", p], np.quantile(values, p), rtol=1e-12)
+        assert np.isclose(seen["b", p], np.quantile(b, p), rtol=1e-12)
+        assert seen["same", p] == 7
+    assert quantiles.column_quantiles(frame.limit(0), ["a"], probs).count() == 0
+
+
+def test_column_quantiles_shuffle_no_values(spark):
+    """What is grouped are gaps between brackets and the few values inside them."""
+    frame = spark.range(50_000).select((F.xxhash64("id") / 1e6).alias("a"))
+    low, high = frame.agg(F.percentile_approx("a", F.array(F.lit(0.4999), F.lit(0.5001)), 20_000)).first()[0]
+    counts = quantiles._bracket_counts(frame, {"a": [(low, high)]})
+    assert counts.count() < 60 and counts.agg(F.sum("n")).first()[0] == 50_000
+
+
 def test_excess_counts_null_groups(spark):
     frame = spark.createDataFrame([(1,), (1,), (1,), (None,), (None,), (2,)], "k long")
     assert repeats.excess_rows(frame, ["k"], "n").first()["n"] == 3

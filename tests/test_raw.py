@@ -105,11 +105,11 @@ def test_split_keeps_text_order_and_window(spark, tmp_path):
 
 
 @pytest.mark.parametrize("lines,header,message", [
-    (day_lines("2020-02-01", 2) + day_lines("2020-02-02", 2, 2) + day_lines("2020-02-01", 2, 4), None, "closed"),
-    (day_lines("2020-02-01", 2) + ["5,not a time,1"], None, "row 3 cannot be routed"),
-    (day_lines("2020-02-01", 2) + [""], None, "row 3 cannot be routed"),
-    (day_lines("2020-02-01", 2), "a,b", "header"),
-    ([], None, "no data rows"),
+    (day_lines("2020-02-01", 2) + day_lines("2020-02-02", 2, 2) + day_lines("2020-02-01", 2, 4), None, "SOURCE_ORDER date 2020-02-01"),
+    (day_lines("2020-02-01", 2) + ["5,not a time,1"], None, "SOURCE_ROUTE row 3"),
+    (day_lines("2020-02-01", 2) + [""], None, "SOURCE_ROUTE row 3"),
+    (day_lines("2020-02-01", 2), "a,b", "SOURCE_HEADER"),
+    ([], None, "SOURCE_ROWS"),
 ])
 def test_split_refuses_untrustworthy_sources(spark, tmp_path, lines, header, message):
     source = source_file(tmp_path / "in", lines, header or split.HEADER_LINE.rstrip("\r"))
