@@ -11,8 +11,9 @@ The benchmark is reference data: its windows go to every executor once their num
 be at most ``MAX_WINDOWS``. A larger benchmark is cut by item into several automatons of that
 size, each built and scanned in turn; hits are merged per text, so results are the same.
 
-Results: null or empty text has no words and no hits. A null item has no window; equal windows
-of several items count for each. Every row gives one row; repeated rows give the same result.
+Results: null or empty text has no words and no hits. An item without text has no window; one
+without an id hits like any other but is not named among the items. Equal windows of several
+items count for each. Every row gives one row; repeated rows give the same result.
 An empty benchmark finds nothing; an empty table gives no rows.
 """
 
@@ -49,14 +50,13 @@ def benchmark_shards(benchmark: DataFrame, width: int, most: int) -> list[dict[b
     shards: list[dict[bytes, list[str]]] = [defaultdict(list)]
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct()
     for item, text in rows.orderBy("item_id", "text").toLocalIterator():
-        if item is None:
-            continue
         windows = item_windows(text, width)
         if shards[-1] and len(shards[-1]) + len(windows) > most:
             shards.append(defaultdict(list))
         for window in windows:
-            if item not in shards[-1][window]:
-                shards[-1][window].append(item)
+            holders = shards[-1][window]
+            if item is not None and item not in holders:
+                holders.append(item)
     return [dict(s) for s in shards]
 
 

@@ -140,42 +140,45 @@ def _arrays(row: dict):
     return of("places", np.int64), of("keys", np.int64), of("starts", np.int64), of("widths", np.int64), of("hashes", np.uint64), of("bodies", np.uint64)
 
 
-def _count_anchors(batches):
-    found = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] == _DONE:
-                yield _marked(_DONE, *_arrays(row)[:4])
-            else:
-                found.append(_arrays(row))
-    if not found:
-        return
-    places, keys, starts, widths, hashes, bodies = (np.concatenate(x) for x in zip(*found, strict=True))
-    found.clear()
-    copies, widths = widths & 0xFFFFFFFF, widths >> 32
-    order = np.lexsort((starts, keys, places, bodies, hashes))
-    h = hashes[order]
-    occurrences = np.bincount(np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1, copies[order])
-    # Rows of one document can come from several batches.
-    order = order[first_of_equals(h, bodies[order], places[order], keys[order], starts[order])]
-    h, b = hashes[order], bodies[order]
-    head = np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])])
-    size = np.diff(np.flatnonzero(head), append=len(order))
-    whole = order[np.repeat(size > 1, size)]
-    if len(whole):
-        yield _marked(_DONE, places[whole], keys[whole], starts[whole], widths[whole])
-    top = np.concatenate([[True], h[1:] != h[:-1]])
-    group = np.cumsum(top) - 1
-    kinds = np.bincount(group, head)
-    differing = order[kinds[group] > 1]
-    if len(differing):
-        yield _marked(_OPEN, places[differing], keys[differing], starts[differing])
-    hot = occurrences > HOT_LEAST
-    if hot.any():
-        tally = h[top][hot]
-        out = _marked(_TALLY, None, None, None, None, tally)
-        counts = pa.array(occurrences[hot].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([out.column(0), counts, *out.columns[2:]], schema=out.schema)
+def _count_anchors(hot_least: int):
+    def task(batches):
+        found = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == _DONE:
+                    yield _marked(_DONE, *_arrays(row)[:4])
+                else:
+                    found.append(_arrays(row))
+        if not found:
+            return
+        places, keys, starts, widths, hashes, bodies = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        copies, widths = widths & 0xFFFFFFFF, widths >> 32
+        order = np.lexsort((starts, keys, places, bodies, hashes))
+        h = hashes[order]
+        occurrences = np.bincount(np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1, copies[order])
+        # Rows of one document can come from several batches.
+        order = order[first_of_equals(h, bodies[order], places[order], keys[order], starts[order])]
+        h, b = hashes[order], bodies[order]
+        head = np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])])
+        size = np.diff(np.flatnonzero(head), append=len(order))
+        whole = order[np.repeat(size > 1, size)]
+        if len(whole):
+            yield _marked(_DONE, places[whole], keys[whole], starts[whole], widths[whole])
+        top = np.concatenate([[True], h[1:] != h[:-1]])
+        group = np.cumsum(top) - 1
+        kinds = np.bincount(group, head)
+        differing = order[kinds[group] > 1]
+        if len(differing):
+            yield _marked(_OPEN, places[differing], keys[differing], starts[differing])
+        hot = occurrences > hot_least
+        if hot.any():
+            tally = h[top][hot]
+            out = _marked(_TALLY, None, None, None, None, tally)
+            counts = pa.array(occurrences[hot].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([out.column(0), counts, *out.columns[2:]], schema=out.schema)
+
+    return task
 
 
 def _gather(parts: int, length: int, gram: int, hot: np.ndarray):
@@ -364,16 +367,16 @@ def _expand(length: int):
     return task
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_least: int = HOT_LEAST) -> DataFrame:
     """(place, text_key, runs): packed runs of starts of repeated strings, several per document."""
     texts = common.keyed(docs).select("place", "text_key", "text")
     parts = common.partitions_for(docs)
     found = common.deal(texts.mapInArrow(_find_anchors(parts, length, gram), _ANCHORS), parts)
-    marked = stage(found.mapInArrow(_count_anchors, _MARKED), "anchors")
+    marked = stage(found.mapInArrow(_count_anchors(hot_least), _MARKED), "anchors")
     tallies = marked.where(f"kind = {_TALLY}").select("hash", F.col("place").alias("n"))
     # Anchors number at most one for each string; the share bounds the list.
     total = tallies.agg(F.sum("n")).first()[0] or 0
-    hot = tallies.where(F.col("n") > max(HOT_LEAST, int(total * HOT_SHARE))).select("hash").collect()
+    hot = tallies.where(F.col("n") > max(hot_least, int(total * HOT_SHARE))).select("hash").collect()
     hot = np.sort(np.array([r["hash"] for r in hot], np.int64).view(np.uint64))
     wanted = marked.where(f"kind = {_OPEN}").groupBy("place", "text_key").agg(F.collect_list("runs").alias("wanted"))
     open_texts = texts.join(wanted, ["place", "text_key"]).select("place", "text_key", "text", "wanted")
@@ -382,11 +385,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return runs.groupBy("place", "text_key").agg(F.collect_list("runs").alias("runs"))
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_least: int = HOT_LEAST) -> DataFrame:
     """rest, kept (bytes) and the removed byte spans of every row, with n_bytes and n_removed."""
     texts = common.keyed(docs)
     rest = texts.schema["rest"].dataType.simpleString()
-    found = texts.join(repeated_runs(docs, length, gram), ["place", "text_key"], "left").select("rest", "text", "runs")
+    found = texts.join(repeated_runs(docs, length, gram, hot_least), ["place", "text_key"], "left").select("rest", "text", "runs")
 
     def task(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -16,7 +16,7 @@ def brute(text, bench, width):
     w, hit, items = words(text), set(), set()
     for item, t in bench:
         b = words(t)
-        if item is None or not b:
+        if not b:
             continue
         n = min(width, len(b))
         for i in range(len(b) - n + 1):
@@ -24,7 +24,7 @@ def brute(text, bench, width):
                 if w[s:s + n] == b[i:i + n]:
                     hit |= set(range(s, s + n))
                     items.add(item)
-    return len(w), hit, sorted(items)
+    return len(w), hit, sorted(items - {None})
 
 
 def check(spark, rows, bench, width=4, most=op.MAX_WINDOWS):

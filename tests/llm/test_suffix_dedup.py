@@ -2,9 +2,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import awkward, frame
 
+from gaugelake.llm import common
 from gaugelake.llm import suffix_dedup as op
 
 
@@ -21,8 +23,8 @@ def brute(rows, length):
     return out
 
 
-def check(spark, rows, length, gram):
-    out = op.remove_repeated(frame(spark, rows, True), length, gram).collect()
+def check(spark, rows, length, gram, hot_least=op.HOT_LEAST):
+    out = op.remove_repeated(frame(spark, rows, True), length, gram, hot_least).collect()
     want = defaultdict(list)
     for (i, _), v in brute(rows, length).items():
         want[i].append(v)
@@ -55,9 +57,16 @@ def test_shared_passages(spark, seed, length, gram):
     check(spark, passages(seed), length, gram)
 
 
-def test_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(op, "HOT_LEAST", 3)
-    check(spark, passages(3), 100, 16)
+def test_hot_anchors(spark):
+    rows = passages(3)
+    check(spark, rows, 100, 16, hot_least=3)
+    packed = [x.as_py() for b in op._count_anchors(3)(iter([pa.RecordBatch.from_pylist(anchor_rows(rows, 100, 16), common.schema_of(op._ANCHORS))])) for x in b.column(0)]
+    assert packed.count(op._TALLY) > 2
+
+
+def anchor_rows(rows, length, gram):
+    texts = pa.RecordBatch.from_pydict({"place": [i for i, _ in rows], "text_key": [0] * len(rows), "text": [t for _, t in rows]})
+    return [r for b in op._find_anchors(1, length, gram)(iter([texts])) for r in b.to_pylist()]
 
 
 def test_awkward_rows(spark):
@@ -77,14 +86,13 @@ def test_interval_expansion_against_sorting():
 
 
 @pytest.mark.parametrize("hot", [2_000, 3])
-def test_repeated_rows_in_two_partitions(spark, monkeypatch, hot):
-    monkeypatch.setattr(op, "HOT_LEAST", hot)
+def test_repeated_rows_in_two_partitions(spark, hot):
     rng = random.Random(9)
     alone = [(i, "".join(rng.choice("abcdé ") for _ in range(300))) for i in (1001, None)]
     rows = passages(4) + alone
     # Rows of both halves meet after the shuffle only.
     docs = frame(spark, rows).unionByName(frame(spark, rows[::-1]))
-    out = op.remove_repeated(docs, 100, 16).collect()
+    out = op.remove_repeated(docs, 100, 16, hot).collect()
     want = brute(rows, 100)
     assert sorted((str(r.rest.doc_id), r.n_bytes, bytes(r.kept), len(r.spans)) for r in out) == sorted(
         (str(i), *want[i, t]) for i, t in rows * 2)
