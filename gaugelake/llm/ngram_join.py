@@ -40,6 +40,8 @@ HUB_ROUNDS = 6
 # Hub rounds end when enumerating what is left costs no more than this.
 PAIRS_PER_HOLDER = 20
 LEAD = 32
+# Words of the bitmaps that bound what two sets can share.
+MAP_WORDS = 16
 SALTS = 16
 
 _DOC, _COLD, _HOT, _LIST = range(4)
@@ -225,6 +227,14 @@ def _summary(items: np.ndarray) -> int:
     return int(bits.astype(np.uint64).view(np.int64))
 
 
+def _bitmap(items: np.ndarray) -> np.ndarray:
+    """A bit for each member, by hash: a bit of one set that another lacks is a member it lacks."""
+    at = (common.mix(items, 6) >> np.uint64(32)) % np.uint64(64 * MAP_WORDS)
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[at.astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _candidates(percent: int):
     """Sets of which enough is shared, with their prefix and summaries of the other prefixes."""
 
@@ -238,12 +248,12 @@ def _candidates(percent: int):
                 df = np.frombuffer(b"".join(counts), np.int32)[first]
                 sums = [_summary(prefix(items, df, n, k, percent)) for k in range(1, ORDERS)]
                 rows.append((cls, n, n - len(items), items.tobytes(), df.tobytes(), sums,
-                             prefix(items, df, n, 0, percent).view(np.int64)))
+                             prefix(items, df, n, 0, percent).view(np.int64), _bitmap(items)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                        pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
-                    names=["cls", "n", "own", "items", "df", "sums", "prefix"],
+                        pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 3), strict=True)],
+                    names=["cls", "n", "own", "items", "df", "sums", "prefix", "bits"],
                 )
 
     return task
@@ -291,19 +301,34 @@ def _may_link(percent: int, a: str, b: str):
     return out
 
 
+def _enough_common(percent: int, a: str, b: str):
+    """The members that one bitmap has and the other lacks leave enough to share."""
+
+    def lacking(x: str, y: str):
+        out = F.lit(0)
+        for k in range(MAP_WORDS):
+            out += F.bit_count(F.col(f"{x}bits")[k].bitwiseAND(F.bitwise_not(F.col(f"{y}bits")[k])))
+        return out
+
+    # 100 * shared >= percent * (sum - shared), for either side's bound on what is shared.
+    needed = (F.col(f"{a}n") + F.col(f"{b}n")) * percent
+    sides = [((F.col(f"{x}n") - F.col(f"{x}own") - lacking(x, y)) * (100 + percent) >= needed) for x, y in ((a, b), (b, a))]
+    return sides[0] & sides[1]
+
+
 def _pair(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
 def _with_lead(holders: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add ``lead``: up to ``LEAD`` members that come before a holder's item in its prefix.
+    """Add ``bits`` and ``lead``: up to ``LEAD`` members that come before a holder's item in its prefix.
 
     Prefixes follow one global order, so two sets that share several prefix members meet first at
     the same one, and the leads of all later meetings overlap. What lies beyond a lead can only
     let a pair meet twice.
     """
-    placed = sets.join(holders.select("cls").distinct(), "cls", "left_semi").select("cls", "prefix", F.posexplode("prefix").alias("at", "item"))
-    leads = placed.select("cls", "item", F.slice("prefix", F.lit(1), F.least("at", F.lit(LEAD))).alias("lead"))
+    placed = sets.join(holders.select("cls").distinct(), "cls", "left_semi").select("cls", "prefix", "bits", F.posexplode("prefix").alias("at", "item"))
+    leads = placed.select("cls", "item", "bits", F.slice("prefix", F.lit(1), F.least("at", F.lit(LEAD))).alias("lead"))
     return holders.join(leads, ["cls", "item"])
 
 
@@ -311,7 +336,7 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of classes that links connect, from (cls, n, items, counts) rows."""
     grouped = shared.groupBy("cls").agg(F.max("n").alias("n"), F.collect_list("items").alias("items"), F.collect_list("counts").alias("counts"))
     sets = stage(grouped.mapInArrow(
-        _candidates(percent), "cls long, n int, own int, items binary, df binary, sums array<long>, prefix array<long>"), "sets")
+        _candidates(percent), "cls long, n int, own int, items binary, df binary, sums array<long>, prefix array<long>, bits array<long>"), "sets")
     holders = sets.select(F.explode("prefix").alias("item"), "cls", "n", "own", "sums")
     groups = holders.groupBy("item").count().where("count > 1").select("item")
     holders = stage(holders.join(groups, "item"), "holders")
@@ -351,7 +376,7 @@ def linked_classes(shared: DataFrame, percent: int) -> DataFrame | None:
     a, b = now.alias("a"), now.alias("b")
     pairs = a.join(b, F.col("a.item") == F.col("b.item")).where("a.cls < b.cls and a.root <> b.root").where(_may_link(percent, "a.", "b."))
     # Whoever shares an earlier member has met there: holders of an open member apart are apart in all they share.
-    pairs = pairs.where(~F.arrays_overlap("a.lead", "b.lead"))
+    pairs = pairs.where(_enough_common(percent, "a.", "b.")).where(~F.arrays_overlap("a.lead", "b.lead"))
     pairs = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     found = stage(_checked(stage(pairs, "pairs"), sets, percent), "links")
     return common.components(links.unionByName(found), "components")
