@@ -7,8 +7,7 @@ one partition and splits groups of copies of any size evenly. A partition is wor
 shards of about a million tokens. Texts longer than a window give whole windows first; what is
 left of each is indexed. The next unused text seeds a window: its strongest terms query the
 shard's index, and unused texts fill the window by falling BM25 score; when those it offers are
-used up it is asked again, then by all terms of the seed, until no unused text shares one. The
-text that does not fit is cut, and its remainder seeds the next window. What is left over at the end of a shard
+used up it is asked again by all terms of the seed, until no unused text shares one. The text that does not fit is cut, and its remainder seeds the next window. What is left over at the end of a shard
 goes on to the next; at the end of a partition it is cut into sequences whose lengths are
 powers of two, so nothing is padded.
 
@@ -33,9 +32,8 @@ from gaugelake.session import stage
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
 PARTITION_TOKENS = 4_000_000
-# How much one question asks; questions are repeated until there is no answer.
+# Terms of the first question; the second asks by all.
 QUERY_TERMS = 16
-NEIGHBOURS = 64
 _K1, _B = 1.2, 0.75
 
 
@@ -81,10 +79,9 @@ class Shard:
         self.unused = np.ones(len(texts), bool)
 
     def offers(self, seed: int) -> Iterator[int]:
-        """Unused texts that share a term with a seed; the caller uses each before the next."""
+        """Texts that share a term with a seed, unused when asked for: by its strongest terms, then by all."""
         for query in (self.queries[seed], self.terms[seed]):
-            while len(found := self.neighbours(query)):
-                yield from found.tolist()
+            yield from self.neighbours(query).tolist()
 
     def neighbours(self, query: np.ndarray) -> np.ndarray:
         """Unused texts with the highest scores, best first, ties by position."""
@@ -93,8 +90,6 @@ class Shard:
         scores = np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), len(self.unused))
         scores[~self.unused] = 0
         found = np.flatnonzero(scores)
-        if len(found) > NEIGHBOURS:
-            found = np.sort(found[np.argpartition(-scores[found], NEIGHBOURS)[:NEIGHBOURS]])
         return found[np.argsort(-scores[found], kind="stable")]
 
 

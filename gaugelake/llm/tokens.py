@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from gaugelake.llm import common
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 # Characters that both libraries normalise, lower-case and classify alike.
 _PLAIN = regex.compile(r"[\t\n\r -~¡-įı-ňŊ-ž‐-‧‰-⁞€]*")
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -51,8 +52,8 @@ class Encoder:
         self.model = self.whole.model
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
-        self.pieces = _Cache(self._piece)
         self.words = _Cache(self._word)
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
@@ -67,16 +68,20 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
+        pieces = self.pattern.findall(word)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        # Of a word with signs around it the middle may be known by itself.
+        words = self.words
+        return b"".join([words[p] if p != word else self._piece(p) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of every text."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-            self.pieces.clear()
         of, out = self.words.__getitem__, []
         for text in texts:
             if self.pattern is not None and _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
