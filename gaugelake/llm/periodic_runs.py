@@ -288,6 +288,39 @@ def planted(docs: DataFrame) -> DataFrame:
     )
 
 
+OP11_SQL = r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    xor(4294967295::bigint, list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint),
+      lambda c, x: list_reduce(range(8), lambda d, k: xor(d >> 1, (d & 1) * 3988292384::bigint), xor(c, x)),
+      4294967295::bigint)) as h
+  from documents),
+places as (
+  select doc_id, words, len(words) as n, h % 10 = 0 and len(words) > 0 as planted, (h // 10) % greatest(len(words), 1) as a, h // 10 as g
+  from split),
+word as (
+  select doc_id, i, case when planted and i >= a then words[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] else words[i + 1] end as w
+  from (select *, unnest(range(0, n)) as i from places)),
+equal as (
+  select l.doc_id, r.i - l.i as q, l.i as i from word l join word r on l.doc_id = r.doc_id and l.w = r.w and l.i < r.i),
+stretch as (
+  select doc_id, q, min(i) as s, max(i) + 1 + q as e
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from equal) group by doc_id, q, island),
+run as (
+  select doc_id, s, e - s as n, min(q) as q from stretch where e - s >= greatest(12, 2 * q) group by doc_id, s, e),
+told as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) as lines,
+    min_by({'s': s, 'n': n, 'q': q}, {'a': -n, 'b': s, 'c': q}) as top
+  from run group by 1),
+gone as (select distinct doc_id, i from (select doc_id, unnest(range(s + q, s + n)) as i from run)),
+kept as (
+  select word.doc_id, string_agg(w, ' ' order by word.i) as text
+  from word anti join gone on gone.doc_id = word.doc_id and gone.i = word.i group by 1)
+select p.doc_id, coalesce(t.n_runs, 0) as n_runs, t.top.s as start, t.top.n as length, t.top.q as period,
+  1000 * t.top.n // t.top.q as exponent_milli, sha256(coalesce(t.lines, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from places p left join told t on t.doc_id = p.doc_id left join kept k on k.doc_id = p.doc_id"""
+
+
 def op11_periodic_runs(spark, sf_dir) -> DataFrame:
     docs = planted(common.read_table(spark, sf_dir, "documents"))
     longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start as start, -r.period as period)))")

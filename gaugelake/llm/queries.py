@@ -8,9 +8,9 @@ from gaugelake.llm.fingerprints import op2_fingerprints
 from gaugelake.llm.hash_forest import op13_nearest_neighbours
 from gaugelake.llm.ngram_join import op4_ngram_jaccard_join
 from gaugelake.llm.packing import op1_packing
-from gaugelake.llm.periodic_runs import op11_periodic_runs
+from gaugelake.llm.periodic_runs import OP11_SQL, op11_periodic_runs
 from gaugelake.llm.quality import op3_quality
-from gaugelake.llm.substring_dedup import op10_substring_dedup
+from gaugelake.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from gaugelake.llm.suffix_dedup import op6_suffix_dedup
 from gaugelake.llm.token_rollups import OP8_SQL, op8_token_rollups
 from gaugelake.llm.toxicity import op9_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
         op11_periodic_runs, op12_conversation_repair, op13_nearest_neighbours,
     )
 }
-ORACLES: dict[str, str] = {"op8_token_rollups": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_token_rollups": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_periodic_runs": OP11_SQL}

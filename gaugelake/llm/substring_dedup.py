@@ -224,6 +224,23 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
     return cut.select(*own, "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select doc_id, s, row_number() over (partition by array_to_string(words[s + 1 : s + 20], ' ') order by doc_id, s) as copy
+  from (select doc_id, words, unnest(range(0, greatest(len(words) - 19, 0))) as s from docs)),
+gone as (
+  select distinct doc_id, i from (select doc_id, unnest(range(s, s + 20)) as i from windows where copy > 1)),
+kept as (
+  select w.doc_id, string_agg(w.word, ' ' order by w.i) as text
+  from (select doc_id, unnest(words) as word, unnest(range(0, len(words))) as i from docs) w
+  anti join gone g on g.doc_id = w.doc_id and g.i = w.i group by 1),
+lost as (select doc_id, count(*) as n from gone group by 1)
+select d.doc_id, len(d.words) as n_words, coalesce(l.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from docs d left join lost l on l.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id"""
+
+
 def op10_substring_dedup(spark, sf_dir) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
