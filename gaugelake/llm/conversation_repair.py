@@ -418,6 +418,86 @@ def damaged(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _sql() -> str:
+    """The same by carrying, for each state, the cheapest 'cost audit text' as one string that sorts."""
+    none = "999999999"
+
+    def step(value: str, cost: str, letter: str, line: str) -> str:
+        """``value`` after an edit; ``line`` is what it leaves, or null."""
+        at = f"strpos({value}, chr(1))"
+        text = f"substr({value}, {at} + 1)"
+        longer = f"{text} || coalesce(case when {text} = '' then '' else chr(2) end || {line}, '')"
+        return (f"case when left({value}, 9) = '{none}' then '{none}' else lpad((left({value}, 9)::int + {cost})::varchar, 9, '0') "
+                f"|| substr({value}, 10, {at} - 10) || '{letter}' || chr(1) || {longer} end")
+
+    def inserted(v: str) -> str:
+        """One round of insertions before a turn or the end."""
+        new = []
+        for q in range(_STATES):
+            ways = [f"{v}.s{q}"] + [
+                step(f"{v}.s{p}", str(INSERT), "I", f"'{_FILL_ROLE[p]}:'") for p in range(_STATES) if _FILL[p] == q]
+            new.append(f"'s{q}': least({', '.join(ways)})")
+        return f"{{{', '.join(new)}}}"
+
+    def turn(v: str, r: str) -> str:
+        entries = []
+        for q in range(_STATES):
+            ways = [step(f"{v}.s{q}", str(DELETE), "D", "null")]
+            for (p, initial), to in _KEPT.items():
+                if to == q:
+                    kept = step(f"{v}.s{p}", f"{r}.late * {TRUNCATED}", "K", f"{r}.role || ':' || {r}.body")
+                    ways.append(f"case when {r}.first = '{'sua'[initial]}' and not {r}.out then {kept} else '{none}' end")
+            for p in range(_STATES):
+                if _FILL[p] == q:
+                    named = step(f"{v}.s{p}", f"{r}.late * {TRUNCATED} + {RENAME}", "R", f"'{_FILL_ROLE[p]}:' || {r}.body")
+                    ways.append(f"case when not {r}.out then {named} else '{none}' end")
+            entries.append(f"'s{q}': least({', '.join(ways)})")
+        return f"{{{', '.join(entries)}}}"
+
+    def twice(v: str) -> str:
+        """Both rounds, each bound to a name so that the text of one does not repeat in the other."""
+        return f"list_transform(list_transform([{v}], lambda y: {inserted('y')}), lambda z: {inserted('z')})[1]"
+
+    start = f"{{'s0': '000000000' || chr(1), 's1': '{none}', 's2': '{none}', 's3': '{none}'}}"
+    return rf"""
+with named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as body,
+    list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''),
+      lambda x: ascii(x)::bigint) as name from conversations),
+hashed as (
+  select *, xor(4294967295::bigint, list_reduce(name,
+    lambda c, x: list_reduce(range(8), lambda d, k: xor(d >> 1, (d & 1) * 3988292384::bigint), xor(c, x)), 4294967295::bigint)) % 20 as h
+  from named),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case when h = 1 then '' when h = 2 then regexp_replace(body, '[.!?]', '', 'g') else body end as body,
+    unnest(case when h = 3 then [1, 2] else [1] end) as copy
+  from hashed where h <> 0),
+placed as (
+  select *, rtrim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, left(role, 1) as first,
+    row_number() over (partition by conv_id order by turn nulls first, role, body, copy) as pos from damaged),
+seen as (
+  select *, bare = '' as blank, row_number() over (partition by conv_id, role, body order by pos) > 1 as again,
+    right(bare, 1) not in ('.', '!', '?') as cut, lag(first) over (partition by conv_id order by pos) as before from placed),
+told as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+    count(*) filter (again and not blank) as duplicate, count(*) filter (cut and not again and not blank) as truncated,
+    count(*) filter (before || first not in ('su', 'ua', 'au')) as illegal,
+    list({{'role': role, 'body': body, 'first': first, 'out': blank or again, 'late': (cut and not again and not blank)::int}} order by pos) as turns
+  from seen group by 1),
+solved as (
+  select *, list_reduce(turns, lambda v, r: {twice(turn('v', 'r'))}, {twice(start)}) as v from told),
+best as (select *, least(v.s0, v.s3) as b from solved)
+select c.conv_id, coalesce(b.gaps, 0) as gaps, coalesce(b.blank, 0) as blank, coalesce(b.duplicate, 0) as duplicate,
+  coalesce(b.truncated, 0) as truncated, coalesce(b.illegal, 0) as illegal, coalesce(left(b.b, 9)::bigint, 0) as cost,
+  coalesce(substr(b.b, 10, strpos(b.b, chr(1)) - 10), '') as audit,
+  sha256(coalesce(replace(substr(b.b, strpos(b.b, chr(1)) + 1), chr(2), chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join best b on c.conv_id is not distinct from b.conv_id"""
+
+
+OP12_SQL = _sql()
+
+
 def op12_conversation_repair(spark, sf_dir) -> DataFrame:
     conversations = common.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair_report(damaged(conversations), conversations)

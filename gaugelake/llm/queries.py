@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugelake.llm.conversation_repair import op12_conversation_repair
+from gaugelake.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from gaugelake.llm.decontaminate import op5_benchmark_decontamination
 from gaugelake.llm.fingerprints import op2_fingerprints
 from gaugelake.llm.hash_forest import op13_nearest_neighbours
@@ -25,4 +25,4 @@ QUERIES = {
         op11_periodic_runs, op12_conversation_repair, op13_nearest_neighbours,
     )
 }
-ORACLES: dict[str, str] = {"op8_token_rollups": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_periodic_runs": OP11_SQL}
+ORACLES: dict[str, str] = {"op8_token_rollups": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_conversation_repair": OP12_SQL}
