@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.llm import common
-from gaugelake.llm.tokens import encoded, width_of
+from gaugelake.llm.tokens import encoded, forget, width_of
 from gaugelake.session import stage
 
 WINDOW = 2048
@@ -41,6 +41,7 @@ def document_frequencies(tokens: DataFrame, dtype: np.dtype) -> np.ndarray:
     """Documents that hold each id; as long as the largest id, so bounded by the vocabulary."""
 
     def task(batches):
+        forget()
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for packed in batch.column(0):
@@ -152,6 +153,7 @@ def _pack(dtype, idf: np.ndarray, mean: float, window: int, shard_tokens: int):
     def task(batches):
         from pyspark import TaskContext
 
+        forget()
         next_id = TaskContext.get().partitionId() << 40
         open_pieces: list = []
         kept: dict[int, tuple] = {}  # texts that open pieces of earlier shards come from

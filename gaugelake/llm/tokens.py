@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from gaugelake.llm import common
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 # Characters that both libraries normalise, lower-case and classify alike.
 _PLAIN = regex.compile(r"[\t\n\r -~¡-įı-ňŊ-ž‐-‧‰-⁞€]*")
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -98,6 +98,11 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Give up this worker's encoders, before work that needs the memory for itself."""
+    encoder_of.cache_clear()
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """place, text_key, rest, n and ids (packed) of every document, ``end_id`` last; null text is empty.
 
