@@ -55,6 +55,11 @@ def without_carriage_return(line: Column) -> Column:
     return F.when(line.endswith("\r"), F.left(line, F.char_length(line) - 1)).otherwise(line)
 
 
+def without_newline(record: Column) -> Column:
+    """A record as it was read: one line end less. A record never ends in two."""
+    return F.when(record.endswith("\n"), F.left(record, F.char_length(record) - 1)).otherwise(record)
+
+
 def csv_is_well_formed(record: Column) -> Column:
     """False for bad quoting, a quote left open, or a line end outside quotes."""
     body = without_carriage_return(record)

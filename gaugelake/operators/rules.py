@@ -68,9 +68,9 @@ def with_row_issues(df: DataFrame) -> DataFrame:
     ``with_object_issues`` appends them.
     """
     whole = F.size("fields") == C.FIELD_COUNT
-    ts, numbers = F.col("event_timestamp_local"), F.col("numbers")
-    blank = F.transform("fields", parsing.is_blank)
+    ts, numbers, blank = F.col("event_timestamp_local"), F.col("numbers"), F.col("blank")
     n_analogue = len(C.ANALOGUE_FIELDS)
+    judged = whole & ~(F.col("is_plain") & ts.isNotNull())
 
     def unread(is_blank: Column, value: Column) -> Column:
         return ~is_blank & value.isNull()
@@ -92,6 +92,14 @@ def with_row_issues(df: DataFrame) -> DataFrame:
         ),
     )
 
+    # Every list of names is made once a row, and only for rows that are not plain.
+    lists = {"missing": missing, "unparsed": unparsed, "nonfinite": nonfinite, "off_domain": off_domain}
+    listed = (
+        df.withColumn("blank", F.when(judged, F.transform("fields", parsing.is_blank)))
+        .select("*", *[F.when(judged, names).alias(f"{name}_names") for name, names in lists.items()])
+    )
+    missing, unparsed, nonfinite, off_domain = (F.col(f"{name}_names") for name in lists)
+
     # Reasons are fixed texts of the contract.
     checked = _issues(
         _issue(
@@ -118,14 +126,12 @@ def with_row_issues(df: DataFrame) -> DataFrame:
     miscounted = _issues(
         _issue(
             C.COLUMN_COUNT, F.lit(True),
-            F.format_string(f"Expected {C.FIELD_COUNT} columns but found %d.", F.size("fields")),
+            F.concat(F.lit(f"Expected {C.FIELD_COUNT} columns but found "), F.size("fields").cast("string"), F.lit(".")),
         )
     )
     none = F.array().cast(C.ISSUE_TYPE)
-    return df.withColumn(
-        "issues",
-        F.when(F.col("is_plain") & ts.isNotNull(), none).when(whole, checked).otherwise(miscounted),
-    )
+    issues = F.when(judged, checked).when(whole, none).otherwise(miscounted)
+    return listed.withColumn("issues", issues).drop("blank", *(f"{name}_names" for name in lists))
 
 
 def with_named_numbers(df: DataFrame) -> DataFrame:
@@ -144,27 +150,28 @@ def with_object_issues(df: DataFrame, expected_date: str, index_flag: str, ts_fl
         _issue(
             C.SOURCE_DATE_MISMATCH, row_date != expected,
             F.concat(
-                F.lit("Timestamp date "), F.date_format(row_date, "yyyy-MM-dd"),
-                F.lit(" does not match expected source_date "),
-                F.date_format(expected, "yyyy-MM-dd"), F.lit("."),
+                F.lit("Timestamp date "), row_date.cast("string"),
+                F.lit(" does not match expected source_date "), expected.cast("string"), F.lit("."),
             ),
         ),
         _issue(
             C.DUPLICATE_RECORD_INDEX, F.col(index_flag),
-            F.format_string(
-                "record_index %d occurs more than once in the input object.",
-                F.col("record_index"),
+            F.concat(
+                F.lit("record_index "), F.col("record_index").cast("string"),
+                F.lit(" occurs more than once in the input object."),
             ),
         ),
         _issue(
             C.DUPLICATE_TIMESTAMP, F.col(ts_flag),
-            F.format_string(
-                "timestamp %s occurs more than once in the input object.",
-                F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
+            F.concat(
+                F.lit("timestamp "), ts.cast("string"), F.lit(" occurs more than once in the input object."),
             ),
         ),
     )
-    return df.withColumn("issues", F.concat("issues", found)).drop(index_flag, ts_flag)
+    # Most rows have no such issue: they keep the list they have.
+    wrong = (row_date != expected) | F.col(index_flag) | F.col(ts_flag)
+    issues = F.when(wrong, F.concat("issues", found)).otherwise(F.col("issues"))
+    return df.withColumn("issues", issues).drop(index_flag, ts_flag)
 
 
 def is_valid() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake import contract as C
@@ -257,7 +258,7 @@ def build_days(
     judged = judged.withColumn("problems", problems)
     # One row a day, written so that Spark knows how small it is beside the rows.
     accepted = stage(judged.where(F.size("problems") == 0), "accepted")
-    write_outputs(lake, run, result, accepted.select("object_key", "input_id", "raw_sha256"))
+    write_outputs(lake, run, result, accepted.select("object_key", "input_id", "raw_sha256", "source_date", "input_row_count"))
     commit(spark, lake, run, result, accepted)
     return judged.where(F.size("problems") > 0).select(
         "source_date", F.array_join("problems", ", ").alias("error")
@@ -267,24 +268,35 @@ def build_days(
 def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: DataFrame) -> None:
     """Staging and quarantine files of accepted objects, each in source order.
 
-    Range partitioning by (day, row) splits a very large day into several ordered files.
-    ``accepted`` has one row per day.
+    The rows of all days are numbered on, day after day, and dealt in equal slices: a very large
+    day becomes several ordered files. What is the same in every row, or follows from its text,
+    is added after the rows have moved. ``accepted`` has one row per day.
     """
-    rows = result.rows.join(accepted, "object_key")
+    spark = accepted.sparkSession
+    parts = partitions_for(spark, stored_size(result.staged))
+    order = W.partitionBy(F.lit(1)).orderBy("source_date", "input_id")
+    dealt = stage(accepted.select(
+        "object_key", "input_id", "raw_sha256",
+        (F.sum("input_row_count").over(order) - F.col("input_row_count")).alias("rows_before"),
+        F.sum("input_row_count").over(W.partitionBy(F.lit(1))).alias("all_rows"),
+    ), "dealt")
+    at = F.expr(f"(rows_before + source_row_number - 1) * {parts} div all_rows")
+    rows = result.staged.join(dealt, "object_key").withColumn(
+        "slice", F.greatest(F.lit(0), F.least(at, F.lit(parts - 1))).cast("int")
+    ).drop("rows_before", "all_rows")
     day = F.col("source_date")
     folders = ["year", "month", "day", "input_id"]
-    parts = partitions_for(rows.sparkSession, stored_size(result.rows))
-    dated = rows.select(
-        "*", F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"),
+    valid = rows.where(rules.is_valid()).select(
+        "record_index", "event_timestamp_local", *C.ANALOGUE, *C.DIGITAL, "issues", "input_id", "source_row_number", "slice",
+        F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"),
         F.date_format(day, "dd").alias("day"),
     )
-    valid = rules.valid_rows(dated, keep=(*folders, "source_row_number"))
     names = [f.name for f in C.NORMALIZED_SCHEMA]
 
     def write_staging() -> None:
+        moved = valid.repartitionById(parts, F.col("slice")).sortWithinPartitions(*folders, "source_row_number")
         (
-            valid.repartitionByRange(parts, *folders, "source_row_number")
-            .sortWithinPartitions(*folders, "source_row_number")
+            rules.valid_rows(moved, keep=folders)
             .select(*names, *folders)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -294,20 +306,22 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
             .parquet(lake.staging)
         )
 
-    rejected = rules.quarantine_rows(
-        rows, run.pipeline_version, F.lit(run.processing_timestamp).cast("timestamp"),
-        {
-            "source_object_key": L.relative(lake, F.col("object_key")),
-            "source_object_checksum": F.concat(F.lit("sha256:"), F.col("raw_sha256")),
-        },
-        keep=("input_id", "source_date"),
-    )
     dates = ["source_date", "input_id"]
+    rejected = rows.where(~rules.is_valid()).select(
+        "object_key", "raw_sha256", *dates, "source_row_number", "original_record", "issues", "slice"
+    )
 
     def write_quarantine() -> None:
+        moved = rejected.repartitionById(parts, F.col("slice")).sortWithinPartitions(*dates, "source_row_number")
         (
-            rejected.repartitionByRange(parts, *dates, "source_row_number")
-            .sortWithinPartitions(*dates, "source_row_number")
+            rules.quarantine_rows(
+                transform.with_fields(moved), run.pipeline_version, F.lit(run.processing_timestamp).cast("timestamp"),
+                {
+                    "source_object_key": L.relative(lake, F.col("object_key")),
+                    "source_object_checksum": F.concat(F.lit("sha256:"), F.col("raw_sha256")),
+                },
+                keep=dates,
+            )
             .select(*sorted(C.QUARANTINE_COLUMNS), *dates)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -318,7 +332,7 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
             .json(lake.quarantine)
         )
 
-    together(rows.sparkSession, write_staging, write_quarantine)
+    together(spark, write_staging, write_quarantine)
 
 
 def commit(

@@ -71,9 +71,11 @@ def write_daily_objects(
         kept = kept.where(F.col("route_date") >= F.lit(start))
     if end is not None:
         kept = kept.where(F.col("route_date") <= F.lit(end))
+    # One row a day, from one pass.
+    days = stage(kept.groupBy("route_date").agg(F.sum(F.length("line")).alias("size")), "days")
     if isinstance(header, str):
-        header = kept.select("route_date").distinct().withColumn("line", F.lit(header))
-    size = kept.agg(F.sum(F.length("line"))).first()[0]
+        header = days.select("route_date", F.lit(header).alias("line"))
+    size = days.agg(F.sum("size")).first()[0]
     headers = header.select(F.lit(0).cast("bigint").alias("source_row_number"), "line", "route_date")
     (
         kept.select("source_row_number", "line", "route_date")

@@ -20,9 +20,14 @@ class Validated:
     """Result of one validation run; every frame covers all objects of the run."""
 
     objects: DataFrame
-    rows: DataFrame
+    staged: DataFrame
     limits: Thresholds
 
+    @property
+    def rows(self) -> DataFrame:
+        """Every row; ``fields`` of rejected rows are split anew where they are asked for."""
+        return with_fields(self.staged)
+
     def valid(self) -> DataFrame:
         return rules.valid_rows(self.rows)
 
@@ -49,6 +54,11 @@ class Validated:
         return metrics.with_errors(metrics.reconciliation(metrics.with_warnings(made)))
 
 
+def with_fields(rows: DataFrame) -> DataFrame:
+    """Add ``fields`` from the text of the row; null without a text."""
+    return rows.withColumn("fields", parsing.csv_fields(parsing.without_newline(F.col("original_record"))))
+
+
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Typed values and single-row issues of every line, header lines included."""
     judged = rules.with_row_issues(rules.parse_values(raw.checked_lines(lines)))
@@ -90,6 +100,5 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
         *[c for c in judged.columns if c not in (
             "line", "original_record", "file_path", "block_start", "scan_id")],
         F.when(rejected, F.col("original_record")).alias("original_record"),
-        F.when(rejected, parsing.csv_fields(F.col("line"))).alias("fields"),
     )
     return Validated(objects, stage(rows, "judged"), limits or Thresholds())
