@@ -76,16 +76,23 @@ def featured(texts: DataFrame, keep: list[str], make: Callable[[], Callable]) ->
 
 
 def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """At most ``most`` rows (doc_id, label) to learn from, the same ones whatever the layout.
+    """At most ``most`` rows of ``labelled``, the same ones whatever the layout.
+
+    The bound makes it small enough to broadcast; it holds 16 bytes a row.
+    """
+    rows = labelled(labels, label, folds, held_out)
+    return stage(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).coalesce(1), "labelled")
+
+
+def labelled(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """Every row (doc_id, label) to learn from.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_out`` never take part. Of a
-    doc_id labelled more than once the largest label counts. The bound makes it small enough
-    to broadcast; it holds 16 bytes a row.
+    doc_id labelled more than once the largest label counts.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-    rows = rows.where(fold_of("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return stage(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).coalesce(1), "labelled")
+    return rows.where(fold_of("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def fold_of(column: str, folds: int):

@@ -1,11 +1,11 @@
 """Quality classifier: Bradley-Terry pairwise ranking of documents.
 
-At most ``TRAIN_ROWS`` labelled rows teach it. Each low-quality text of the sample is set
-against good ones picked by hash, at most ``PAIRS`` pairs, and a logistic loss on the
-differences of their features gives one weight per feature: the strength of a document is the
-weighted sum. Features are shares of character classes, word and line statistics and measures
-of repetition, each as it is and as its quantile bin in the sample, so strength need not be
-linear in them. The threshold is a quantile of the sample's strengths, the share of low labels;
+Every labelled row outside the held-out fold teaches it. Low-quality texts are set against good
+ones in the order of a hash, ``PAIRS_EACH`` pairs for every labelled row, so that every row is in
+a pair, and a logistic loss on the differences of their features gives one weight per feature:
+the strength of a document is the weighted sum. Features are made once, for learning and scores. Features are shares of character classes, word and line statistics and measures
+of repetition, each as it is and as its quantile bin among labelled rows, so strength need not be
+linear in them. The threshold is a quantile of the labelled rows' strengths, the share of low labels;
 it is mapped to a score of 0.3.
 
 Results: null or empty text has zero features and a score like any other. Every row gets a
@@ -28,8 +28,7 @@ from gaugelake.llm import common
 from gaugelake.llm import features as fx
 from gaugelake.session import stage
 
-TRAIN_ROWS = 20_000
-PAIRS = 40_000
+PAIRS_EACH = 2
 THRESHOLD = 0.3
 _BINS = 10
 _CLASSES, _MATRIX = fx.byte_classes(
@@ -89,48 +88,95 @@ class Model:
     def __init__(self, cuts=None, weights=None, cut=0.0, share=0.0):
         self.cuts, self.weights, self.cut, self.share = cuts, weights, cut, share
 
-    def strengths(self, texts: DataFrame, *keep: str) -> DataFrame:
-        """Columns ``keep`` and strength of every row of ``texts``, which needs a column text."""
+    def strengths(self, found: DataFrame, *keep: str) -> DataFrame:
+        """Columns ``keep`` and strength of every row of ``found``, which has ``features``."""
         cuts, weights = self.cuts, self.weights
-        fields = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+        fields = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in keep)
 
         def task(batches):
-            of = make()
             for batch in batches:
-                rows = np.array([of(t.as_py() or "") for t in batch.column(0)]).reshape(-1, len(NAMES))
-                strength = expand(rows, cuts) @ weights
+                strength = expand(matrix(batch.column(0)), cuts) @ weights
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(strength, pa.float64())], names=[*keep, "strength"])
 
-        return texts.select(F.col("text").alias("read"), *keep).mapInArrow(task, f"{fields}, strength double")
+        return found.select("features", *keep).mapInArrow(task, f"{fields}, strength double")
 
-    def score(self, texts: DataFrame, *keep: str) -> DataFrame:
+    def score_features(self, found: DataFrame, *keep: str) -> DataFrame:
         if self.weights is None:
-            return texts.select(*keep, F.lit(float(self.share)).alias("score"))
+            return found.select(*keep, F.lit(float(self.share)).alias("score"))
         at = math.log(THRESHOLD / (1 - THRESHOLD)) - self.cut
-        return self.strengths(texts, *keep).select(*keep, (1 / (1 + F.exp(-(F.col("strength") + at)))).alias("score"))
+        return self.strengths(found, *keep).select(*keep, (1 / (1 + F.exp(-(F.col("strength") + at)))).alias("score"))
+
+    def score(self, texts: DataFrame, *keep: str) -> DataFrame:
+        """Columns ``keep`` and score of every row of ``texts``, which needs a column text."""
+        return self.score_features(fx.featured(texts, list(keep), make), *keep)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """One row of features for every list of a column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, len(NAMES)))
 
 
-def pairs_of(rows: DataFrame, low: int, good: int, most: int) -> DataFrame:
-    """Feature differences of pairs, label 1 where the first is the better; half are turned round."""
-    # A bounded sample: numbering it in one task is bounded too.
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "text_key")) - 1)
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``at``, from 0 within each label in the order of a hash; no task sees more than its range."""
+    order = ["label", F.xxhash64("doc_id"), "text_key"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stage(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "quality-order")
+    # One row for a range and label.
+    counts = ranged.groupBy("label", "part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("part")) - F.col("n")
+    counts = counts.select("label", "part", "first", before.alias("before"))
+    return ranged.join(F.broadcast(counts), ["label", "part"]).select(*rows.columns, (F.col("row") - F.col("first") + F.col("before")).alias("at"))
+
+
+def pairs_of(rows: DataFrame, low: int, good: int, most: int, cuts: list[np.ndarray] | None = None) -> DataFrame:
+    """Feature differences of pairs, label 1 where the first is the better; half are turned round.
+
+    Every bad text meets equally many good ones; from as many pairs as there are good texts on,
+    each of those is met too. With ``cuts`` features are expanded before they are compared.
+    """
+    placed = numbered(rows)
     each = max(1, min(good, most // low))
-    worse = numbered.where("label = 0").select(F.col("at").alias("low"), F.col("features").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("turn"))
-    # Steps of one bad text through the good ones: no pair twice.
-    worse = worse.withColumn("at", F.pmod(F.xxhash64("low") % good + F.col("turn"), F.lit(good)).cast("int"))
-    better = numbered.where("label = 1").select("at", F.col("features").alias("y"))
+    worse = placed.where("label = 0").select(F.col("at").alias("low"), F.col("features").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("turn"))
+    # The bad texts go through the good ones in turn: no pair twice.
+    worse = worse.withColumn("at", F.pmod(F.col("low") * each + F.col("turn"), F.lit(good).cast("long")))
+    better = placed.where("label = 1").select("at", F.col("features").alias("y"))
     sign = F.when(F.pmod(F.col("low") + F.col("turn"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    pairs = worse.join(better, "at").withColumn("sign", sign)
-    difference = F.zip_with("y", "x", lambda y, x: (y - x) * F.col("sign"))
-    return pairs.where(F.col("turn") < each).select(array_to_vector(difference).alias("features"), ((F.col("sign") + 1) / 2).alias("label"))
+    pairs = worse.join(better, "at").select("y", "x", sign.alias("sign"))
+    if cuts is None:
+        pairs = pairs.select(F.zip_with("y", "x", lambda y, x: (y - x) * F.col("sign")).alias("features"), "sign")
+    else:
+        pairs = pairs.mapInArrow(_differences(cuts), "features array<double>, sign double")
+    return pairs.select(array_to_vector("features").alias("features"), ((F.col("sign") + 1) / 2).alias("label"))
+
 
+def _differences(cuts: list[np.ndarray]):
+    def task(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 1_000) for i in range(0, batch.num_rows, 1_000)):
+                sign = part.column(2).to_numpy(zero_copy_only=False)
+                apart = (expand(matrix(part.column(0)), cuts) - expand(matrix(part.column(1)), cuts)) * sign[:, None]
+                starts = pa.array(np.arange(len(sign) + 1, dtype=np.int32) * apart.shape[1])
+                lists = pa.ListArray.from_arrays(starts, pa.array(apart.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, part.column(2)], names=["features", "sign"])
+
+    return task
+
+
+def described(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, text_key, ``keep`` and features of every row, written once to learn from and to score."""
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"),
+        F.col("text").cast("string").alias("text"), *keep,
+    )
+    return stage(fx.featured(texts, ["doc_id", "text_key", *keep], make), "quality-features")
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most: int = TRAIN_ROWS, pairs: int = PAIRS) -> Model:
-    sample = fx.labelled_sample(labels, "quality", folds, held_out, most)
-    texts = fx.sample_texts(docs, sample).withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    # The scan ends here: what follows is a bounded sample that a few partitions hold.
-    texts = stage(texts, "quality-sample")
-    rows = stage(fx.featured(texts, ["doc_id", "text_key", "label"], make).coalesce(2), "quality-features")
+
+def learn(found: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
+    """A model from every labelled row outside the held-out fold; ``found`` is of ``described``."""
+    marks = fx.labelled(labels, "quality", folds, held_out)
+    # Of a doc_id the text of least hash counts; minima combine before rows move.
+    one = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text_key", "features")).alias("one"))
+    rows = stage(one.join(marks, "doc_id").select("doc_id", "one.text_key", "label", "one.features"), "quality-labelled")
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     low, good = int(n - (good or 0)), int(good or 0)
     if not low or not good:
@@ -138,26 +184,23 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     columns = rows.select(*(F.col("features")[i].alias(c) for i, c in enumerate(NAMES)))
     steps = [i / _BINS for i in range(1, _BINS)]
     cuts = [np.unique(q) for q in columns.approxQuantile(list(NAMES), steps, 0.002)]
+    compared = pairs_of(rows, low, good, PAIRS_EACH * n, cuts)
+    fit = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=40).fit(compared)
+    model = Model(cuts, fit.coefficients.toArray())
+    model.cut = model.strengths(rows, "label").approxQuantile("strength", [low / n], 0.0005)[0]
+    return model
 
-    def expanded(batches):
-        for batch in batches:
-            wide = expand(np.array(batch.column(3).to_pylist()).reshape(-1, len(NAMES)), cuts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(wide.tolist(), pa.list_(pa.float64()))],
-                                             names=["doc_id", "text_key", "label", "features"])
 
-    wide = stage(rows.mapInArrow(expanded, "doc_id long, text_key long, label double, features array<double>"), "quality-bins")
-    compared = stage(pairs_of(wide, low, good, pairs).coalesce(2), "quality-pairs")
-    fit = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=40).fit(compared)
-    weights = fit.coefficients.toArray()
-    strength = F.aggregate(F.zip_with("features", F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    cut = wide.select(strength.alias("s")).approxQuantile("s", [low / n], 0.001)[0]
-    return Model(cuts, weights, cut)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Model:
+    return learn(described(docs), labels, folds, held_out)
 
 
 def op3_quality(spark, sf_dir) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = train(docs, common.read_table(spark, sf_dir, "labels")).score(fx.plain(docs), "rest")
-    return found.select(
-        F.col("rest.doc_id").alias("doc_id"), fx.held_out("rest.doc_id", 5, 0).alias("held_out"), "score",
+    docs = docs.select(F.col("doc_id").alias("own_id"), "doc_id", "text")
+    found = described(docs, "own_id")
+    scored = learn(found, common.read_table(spark, sf_dir, "labels")).score_features(found, "own_id")
+    return scored.select(
+        F.col("own_id").alias("doc_id"), fx.held_out("own_id", 5, 0).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
