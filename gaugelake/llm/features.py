@@ -7,6 +7,7 @@ word is found once and a text costs a few vector operations.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ WORDS_KEPT = 400_000
 class WordTable(dict):
     """Number of a word, with one row of properties per word found by ``describe``."""
 
-    def __init__(self, describe: Callable[[str], tuple], width: int):
+    def __init__(self, describe: Callable[[str], tuple], width: int, dtype: type = np.float64):
         self.describe = describe
-        self.values = np.zeros((1 << 12, width))
+        self.values = np.zeros((1 << 12, width), dtype)
 
     def __missing__(self, word: str) -> int:
         n = len(self)
@@ -54,25 +55,28 @@ def histogram(raw: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
 
 
-def featured(texts: DataFrame, keep: list[str], make: Callable[[], Callable]) -> DataFrame:
+def featured(texts: DataFrame, keep: list[str], make: Callable[[], Callable], by: str | None = None) -> DataFrame:
     """Columns ``keep`` and ``features`` (array of double) of every row.
 
-    ``make`` gives a worker its function from (text, row of kept values) to numbers. Null text
-    is empty.
+    ``make`` gives a worker its function from (text, (value of the kept column ``by``,)) to
+    numbers. Null text is empty. Kept columns pass as they are; a kept text travels once.
     """
-    fields = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+    others = [c for c in keep if c != "text"]
+    names = ["text", *others] if "text" in keep else others
+    fields = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
 
     def task(batches):
         of = make()
         for batch in batches:
-            kept = batch.columns[1:]
-            extra = zip(*(c.to_pylist() for c in kept), strict=True) if kept else iter(lambda: (), None)
+            extra = zip(batch.column(1 + others.index(by)).to_pylist()) if by else repeat(())
             rows = [of(t.as_py() or "", x) for t, x in zip(batch.column(0), extra, strict=False)]
+            kept = batch.columns if "text" in keep else batch.columns[1:]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"]
+                [*kept, pa.array(rows, pa.list_(pa.float64()))], names=[*names, "features"]
             )
 
-    return texts.select(F.col("text").alias("read"), *keep).mapInArrow(task, f"{fields}, features array<double>")
+    read = F.col("text").alias("read")
+    return texts.select(read, *others).mapInArrow(task, f"{fields}, features array<double>")
 
 
 def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from gaugelake.session import stage
 
 TRAIN_ROWS = 20_000
 LEXICON_TERMS = 3_000
+COUNTS_KEPT = 300_000
 LEAST_DOCUMENTS = 4
 LEAST_ODDS = 8.0
 FOLDS = 5
@@ -51,6 +52,7 @@ ADDRESS = frozenset(
 )
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _SIZES = range(3, 8)
 _CLASSES, _MATRIX = fx.byte_classes(
@@ -64,22 +66,41 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in _SIZES if len(word) > n)]
 
 
+def weighed(word: str, weights: dict[str, float], heads: frozenset) -> float:
+    """Largest weight of a lower-case word and its beginnings; ``heads`` are the starts of all terms with a star."""
+    best = weights.get(word, 0.0)
+    if word[: _SIZES[0]] in heads:
+        for n in _SIZES:
+            if len(word) <= n:
+                break
+            best = max(best, weights.get(word[:n] + "*", 0.0))
+    return best
+
+
 def lexicon(sample: DataFrame) -> list[dict[str, float]]:
     """Weights by term: one dictionary without each fold, and one over all."""
     schema = common.schema_of("term string, fold int, toxic long, other long")
 
+    def flushed(counts):
+        for fold, (toxic, other) in enumerate(counts):
+            terms = list(toxic.keys() | other.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), pa.array([fold] * len(terms), pa.int32()),
+                 pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], schema=schema,
+            )
+            toxic.clear()
+            other.clear()
+
     def task(batches):
-        counts: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+        counts = [(Counter(), Counter()) for _ in range(FOLDS)]
         for batch in batches:
-            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = set(_LETTERS.findall((text or "").lower()))
-                for term in {t for w in words if len(w) <= 30 for t in terms_of(w)} | {""}:
-                    counts[term, fold][label < 0.5] += 1
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()),
-             pa.array([counts[k][0] for k in keys]), pa.array([counts[k][1] for k in keys])], schema=schema,
-        ) if keys else pa.RecordBatch.from_pylist([], schema)
+            for text, label, fold in zip(*batch.columns, strict=True):
+                words = set(_LETTERS.findall((text.as_py() or "").lower()))
+                counts[fold.as_py()][label.as_py() < 0.5].update({t for w in words if len(w) <= 30 for t in terms_of(w)} | {""})
+                # Sums follow, so counts may leave in parts.
+                if sum(len(c) for pair in counts for c in pair) > COUNTS_KEPT:
+                    yield from flushed(counts)
+        yield from flushed(counts)
 
     # Toxic texts are few and clean ones many: count the clean only for terms of toxic ones.
     rows = sample.select("text", "label", "fold").mapInArrow(task, "term string, fold int, toxic long, other long")
@@ -115,20 +136,27 @@ class Describer:
 
     def __init__(self, weights: list[dict[str, float]]):
         self.weights = weights
-        self.tables = [fx.WordTable(lambda w, x=x: self.describe(w, x), 7) for x in weights]
+        # Few words begin like a term that ends in a star.
+        heads = [frozenset(t[: _SIZES[0]] for t in x if t[-1:] == "*") for x in weights]
+        self.tables = [fx.WordTable(lambda w, x=x, h=h: self.describe(w, x, h), 7, np.float32) for x, h in zip(weights, heads, strict=True)]
 
-    def describe(self, word: str, weights: dict[str, float]) -> tuple:
+    def describe(self, word: str, weights: dict[str, float], heads: frozenset) -> tuple:
         """weight, insult, address, hidden, hidden hit, capitals, long run"""
         lower = word.lower()
-        found = _LETTERS.findall(lower)
-        best = max((weights.get(t, 0.0) for w in found for t in terms_of(w)), default=0.0)
-        insult = any(w in INSULTS for w in found)
         core = lower.strip(".,;:!?\"'()[]…«»¿¡“”")
-        hidden = bool(found) and bool(core) and not _PLAIN_WORD.fullmatch(core)
-        bare = "".join(_LETTERS.findall(core.translate(_LEET))) if hidden else ""
-        hit = hidden and (bare in INSULTS or any(t in weights for t in terms_of(bare)))
-        run = any(a == b == c for a, b, c in zip(lower, lower[1:], lower[2:], strict=False) if a.isalpha())
-        return best, insult, any(w in ADDRESS for w in found), hidden, hit, len(word) > 2 and word.isupper(), run
+        # Letters alone between signs are the word's only run of letters, and hide nothing.
+        alone = core.isalpha()
+        found = [core] if alone else _LETTERS.findall(lower)
+        best = weighed(core, weights, heads) if alone else max([weighed(w, weights, heads) for w in found], default=0.0)
+        hidden = not alone and bool(found) and bool(core) and not _PLAIN_WORD.fullmatch(core)
+        hit = False
+        if hidden:
+            bare = "".join(_LETTERS.findall(core.translate(_LEET)))
+            hit = bare in INSULTS or bare in weights or (bare[: _SIZES[0]] in heads and any(t in weights for t in terms_of(bare)))
+        run = _TRIPLE.search(lower) is not None and any(
+            a == b == c for a, b, c in zip(lower, lower[1:], lower[2:], strict=False) if a.isalpha())
+        return (best, not INSULTS.isdisjoint(found), not ADDRESS.isdisjoint(found), hidden, hit,
+                len(word) > 2 and word.isupper(), run)
 
     def __call__(self, text: str, extra: tuple) -> list[float]:
         table = self.tables[extra[-1]]
@@ -138,7 +166,7 @@ class Describer:
         if not words:
             return [0.0] * (len(self.names) - len(_CLASSES)) + share
         numbers = table.numbers(words)
-        seen = table.values[numbers]
+        seen = table.values[numbers].astype(float)
         weight = seen[:, 0]
         hit = np.flatnonzero((weight > 0) | (seen[:, 1] > 0))
         address = np.cumsum(np.concatenate([[0], seen[:, 2]]))
@@ -168,7 +196,7 @@ class Model:
         if self.trees is None:
             return texts.select(*keep, F.lit(float(self.share)).alias("score"))
         weights = self.weights
-        rows = fx.featured(texts.withColumn("fold", F.lit(FOLDS)), [*keep, "fold"], lambda: Describer(weights))
+        rows = fx.featured(texts.withColumn("fold", F.lit(FOLDS)), [*keep, "fold"], lambda: Describer(weights), "fold")
         raw = raw_scores(self.trees, rows.select(*keep, array_to_vector("features").alias("features")))
         points = list(zip(self.curve.boundaries.toArray().tolist(), self.curve.predictions.toArray().tolist(), strict=True))
         return raw.select(*keep, interpolated("raw", points).alias("score"))
@@ -197,9 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     if not n or toxic in (0, n):
         return Model([], share=(toxic or 0) / max(n, 1))
     weights = lexicon(texts)
-    rows = fx.featured(texts, ["doc_id", "label", "fold"], lambda: Describer(weights))
-    # A bounded sample of numbers: a few partitions hold it.
-    rows = stage(rows.select("label", "fold", array_to_vector("features").alias("features")).coalesce(2), "toxic-features")
+    rows = fx.featured(texts, ["label", "fold"], lambda: Describer(weights), "fold")
+    # A bounded sample of numbers: described by all tasks, then a few partitions hold it.
+    rows = stage(rows.select("label", "fold", array_to_vector("features").alias("features")), "toxic-features").coalesce(2)
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=4, stepSize=0.3, seed=7, minInstancesPerNode=8)
     model = trees.fit(rows.where(F.col("fold") > CURVE_FOLD))
     held = raw_scores(model, rows.where(F.col("fold") <= CURVE_FOLD)).select("raw", "label")

@@ -52,3 +52,25 @@ def test_lexicon_ignores_held_out_labels(spark, corpus):
     rows, labels = corpus
     sample = op.fx.labelled_sample(labels, "toxic", 3, 1, 100).collect()
     assert len(sample) == 100 and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in sample)
+
+
+def test_counts_that_leave_in_parts_give_the_same_lexicon(spark, corpus, monkeypatch):
+    rows, _ = corpus
+    sample = spark.createDataFrame([(t, float(i % 5 == 0), i % 5 * 3 % 5) for i, t in rows], "text string, label double, fold int").repartition(2)
+    whole = op.lexicon(sample)
+    monkeypatch.setattr(op, "COUNTS_KEPT", 50)
+    assert whole[-1] and op.lexicon(sample) == whole
+
+
+def test_words_are_described_as_letter_by_letter():
+    weights = {"zzgrub": 2.0, "zzg*": 3.0, "ab": 1.5, "idio*": 4.0}
+    of = op.Describer([weights])
+    heads = frozenset(["zzg", "idi"])
+    words = ["zzgrub", "Zzgrub!", "zzg", "xx-zzgrub", "z z", "1d10tic", "idiotic", "YOU", "aaab", "²²²", "é½", "...", "ab", "AB'ab", "Ⅷab"]
+    for word in words:
+        found = op._LETTERS.findall(word.lower())
+        got = of.describe(word, weights, heads)
+        assert got[0] == max((weights.get(t, 0.0) for w in found for t in op.terms_of(w)), default=0.0), word
+        assert got[1] == any(w in op.INSULTS for w in found) and got[2] == any(w in op.ADDRESS for w in found)
+        assert got[6] == any(a == b == c and a.isalpha() for a, b, c in zip(word.lower(), word.lower()[1:], word.lower()[2:], strict=False))
+    assert of.describe("1d10tic", weights, heads)[3:5] == (True, True) and of.describe("idiotic.", weights, heads)[3] is False
