@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelake import contract
@@ -62,26 +63,38 @@ def write_daily_objects(
 ) -> None:
     """Write ``source_date=…`` directories in source order, the header line first.
 
-    Rows are range-partitioned by (date, row), so a very large day becomes several part
-    files in order instead of one task. ``header`` is one line, or a frame of
-    (route_date, line) when headers differ by date.
+    Rows are dealt in slices by (date, place between the date's first and last row), so a very
+    large day becomes several part files in order instead of one task, and the lines are made
+    once, for the write. ``header`` is one line, or a frame of (route_date, line) when headers
+    differ by date.
     """
     kept = rows
     if start is not None:
         kept = kept.where(F.col("route_date") >= F.lit(start))
     if end is not None:
         kept = kept.where(F.col("route_date") <= F.lit(end))
-    # One row a day, from one pass.
-    days = stage(kept.groupBy("route_date").agg(F.sum(F.length("line")).alias("size")), "days")
+    # One row a day, from one pass that makes no lines.
+    number = F.col("source_row_number").cast("bigint")
+    days = stage(kept.groupBy(F.col("route_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(number).alias("first"), F.max(number).alias("last")), "days")
     if isinstance(header, str):
-        header = days.select("route_date", F.lit(header).alias("line"))
-    size = days.agg(F.sum("size")).first()[0]
+        header = days.select(F.col("day").alias("route_date"), F.lit(header).alias("line"))
+    # How many slices there are changes no result, so some lines say how long lines are.
+    length = kept.select(F.length("line").alias("length")).limit(1000).agg(F.avg("length")).first()[0]
+    total = days.agg(F.sum("n")).first()[0] or 1
+    parts = partitions_for(rows.sparkSession, int(total * (length or 0)))
+    dealt = days.withColumn("before", F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("day")) - F.col("n"))
+    # A header is dealt like the first row of its date.
+    place = F.greatest(number - F.col("first"), F.lit(0)) * (F.col("n") / (F.col("last") - F.col("first") + 1))
+    slice_of = F.floor((F.col("before") + place) * F.lit(parts / total)).cast("int")
     headers = header.select(F.lit(0).cast("bigint").alias("source_row_number"), "line", "route_date")
     (
         kept.select("source_row_number", "line", "route_date")
         .unionByName(headers)
-        .withColumnRenamed("route_date", "source_date")
-        .repartitionByRange(partitions_for(rows.sparkSession, size), "source_date", "source_row_number")
+        .join(dealt, F.col("route_date").eqNullSafe(F.col("day")), "left")
+        .select("source_row_number", "line", F.col("route_date").alias("source_date"),
+                F.least(F.coalesce(slice_of, F.lit(0)), F.lit(parts - 1)).alias("slice"))
+        .repartitionById(parts, F.col("slice"))
         .sortWithinPartitions("source_date", "source_row_number")
         .select(F.col("line").alias("value"), "source_date")
         .write.mode("overwrite")
