@@ -43,14 +43,14 @@ def run_folders(spark: SparkSession, lake: Lake, runs: DataFrame) -> list[str]:
     """Folders of runs that hold files, one per month of history."""
     key = L.curated_key(lake, F.col("year"), F.col("month"), F.col("run_id"))
     found = [f"{lake.root.rstrip('/')}/{r[0]}" for r in runs.select(key).collect()]
-    return [folder for folder in found if L.exists(spark, folder)]
+    return L.existing(spark, found)
 
 
 def month_folders(spark: SparkSession, lake: Lake, inputs: DataFrame) -> list[str]:
     """Staging folders of the selected months that hold files."""
     months = inputs.select(*S.MONTH).distinct().collect()
     found = [f"{lake.staging}/year={r['year']}/month={r['month']}" for r in months]
-    return [folder for folder in found if L.exists(spark, folder)]
+    return L.existing(spark, found)
 
 
 def staged_rows(spark: SparkSession, lake: Lake, inputs: DataFrame) -> DataFrame:

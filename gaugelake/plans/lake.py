@@ -128,8 +128,16 @@ INTERVAL_SCHEMA = T.StructType(
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return bool(existing(spark, [path]))
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of some paths of one file system that exist; what is the same for all is asked once."""
+    if not paths:
+        return []
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = as_path(paths[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [path for path in paths if system.exists(as_path(path))]
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -15,7 +15,7 @@ from gaugelake.operators import resume, rules
 from gaugelake.plans import lake as L
 from gaugelake.plans import transform
 from gaugelake.plans.lake import Lake
-from gaugelake.session import partitions_for, stage, stored_size, together
+from gaugelake.session import partitions_for, stage, together
 from gaugelake.sources import objects, raw, tables
 
 
@@ -160,9 +160,7 @@ def output_folders(
         L.staging_key(lake, day, input_id).alias("s"), L.quarantine_key(lake, day, input_id).alias("q")
     ).collect()
     root = lake.root.rstrip("/")
-    return tuple(
-        [path for path in (f"{root}/{row[i]}" for row in keys) if L.exists(spark, path)] for i in (0, 1)
-    )
+    return tuple(L.existing(spark, [f"{root}/{row[i]}" for row in keys]) for i in (0, 1))
 
 
 def decide(
@@ -258,7 +256,8 @@ def build_days(
     judged = judged.withColumn("problems", problems)
     # One row a day, written so that Spark knows how small it is beside the rows.
     accepted = stage(judged.where(F.size("problems") == 0), "accepted")
-    write_outputs(lake, run, result, accepted.select("object_key", "input_id", "raw_sha256", "source_date", "input_row_count"))
+    write_outputs(lake, run, result, accepted.select(
+        "object_key", "input_id", "raw_sha256", "source_date", "input_row_count", "valid_row_count", "quarantine_row_count"))
     commit(spark, lake, run, result, accepted)
     return judged.where(F.size("problems") > 0).select(
         "source_date", F.array_join("problems", ", ").alias("error")
@@ -269,14 +268,18 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
     """Staging and quarantine files of accepted objects, each in source order.
 
     The rows of all days are numbered on, day after day, and dealt in equal slices: a very large
-    day becomes several ordered files. What is the same in every row, or follows from its text,
-    is added after the rows have moved. ``accepted`` has one row per day.
+    day becomes several ordered files. What is the same in every row of a day, or follows from
+    its text, is added after the rows have moved. ``accepted`` has one row per day.
     """
     spark = accepted.sparkSession
-    parts = partitions_for(spark, stored_size(result.staged))
+    # Rows take about this much in the shuffle and the files.
+    size = accepted.agg(F.sum(F.col("valid_row_count") * 200 + F.col("quarantine_row_count") * 800)).first()[0]
+    parts = partitions_for(spark, size)
     order = W.partitionBy(F.lit(1)).orderBy("source_date", "input_id")
+    # One row per calendar day, so its broadcast stays small for any history.
+    days = F.broadcast(accepted.select("source_date", "object_key", "input_id", "raw_sha256"))
     dealt = stage(accepted.select(
-        "object_key", "input_id", "raw_sha256",
+        "object_key",
         (F.sum("input_row_count").over(order) - F.col("input_row_count")).alias("rows_before"),
         F.sum("input_row_count").over(W.partitionBy(F.lit(1))).alias("all_rows"),
     ), "dealt")
@@ -284,17 +287,18 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
     rows = result.staged.join(dealt, "object_key").withColumn(
         "slice", F.greatest(F.lit(0), F.least(at, F.lit(parts - 1))).cast("int")
     ).drop("rows_before", "all_rows")
-    day = F.col("source_date")
     folders = ["year", "month", "day", "input_id"]
     valid = rows.where(rules.is_valid()).select(
-        "record_index", "event_timestamp_local", *C.ANALOGUE, *C.DIGITAL, "issues", "input_id", "source_row_number", "slice",
-        F.date_format(day, "yyyy").alias("year"), F.date_format(day, "MM").alias("month"),
-        F.date_format(day, "dd").alias("day"),
+        "record_index", "event_timestamp_local", *C.ANALOGUE, *C.DIGITAL, "source_date", "source_row_number", "slice"
     )
     names = [f.name for f in C.NORMALIZED_SCHEMA]
 
     def write_staging() -> None:
-        moved = valid.repartitionById(parts, F.col("slice")).sortWithinPartitions(*folders, "source_row_number")
+        day = F.col("source_date")
+        moved = valid.repartitionById(parts, F.col("slice")).join(days, "source_date").select(
+            "*", F.array().cast(C.ISSUE_TYPE).alias("issues"), F.date_format(day, "yyyy").alias("year"),
+            F.date_format(day, "MM").alias("month"), F.date_format(day, "dd").alias("day"),
+        ).sortWithinPartitions(*folders, "source_row_number")
         (
             rules.valid_rows(moved, keep=folders)
             .select(*names, *folders)
@@ -308,11 +312,12 @@ def write_outputs(lake: Lake, run: Run, result: transform.Validated, accepted: D
 
     dates = ["source_date", "input_id"]
     rejected = rows.where(~rules.is_valid()).select(
-        "object_key", "raw_sha256", *dates, "source_row_number", "original_record", "issues", "slice"
+        "source_date", "source_row_number", "original_record", "issues", "slice"
     )
 
     def write_quarantine() -> None:
-        moved = rejected.repartitionById(parts, F.col("slice")).sortWithinPartitions(*dates, "source_row_number")
+        moved = rejected.repartitionById(parts, F.col("slice")).join(days, "source_date").sortWithinPartitions(
+            *dates, "source_row_number")
         (
             rules.quarantine_rows(
                 transform.with_fields(moved), run.pipeline_version, F.lit(run.processing_timestamp).cast("timestamp"),
@@ -342,9 +347,11 @@ def commit(
     keyed = accepted.withColumn(
         "staging_key", L.staging_key(lake, F.col("source_date"), F.col("input_id"))
     ).withColumn("quarantine_folder", L.quarantine_key(lake, F.col("source_date"), F.col("input_id")))
-    staging, quarantine = output_folders(spark, lake, accepted)
-    staged = objects_by_key(spark, lake, staging, "*.parquet", "staging")
-    rejected = objects_by_key(spark, lake, quarantine, "*.json", "quarantine")
+    staged = objects_by_key(
+        spark, lake, lake.staging, "*.parquet", "staging", keyed.select("staging_key"))
+    rejected = objects_by_key(
+        spark, lake, lake.quarantine, "*.json", "quarantine",
+        keyed.select(F.col("quarantine_folder").alias("quarantine_key")))
     joined = keyed.join(staged, "staging_key", "left").join(
         rejected.withColumnRenamed("quarantine_key", "quarantine_folder"), "quarantine_folder", "left"
     )
@@ -378,14 +385,19 @@ def commit(
 
 
 def objects_by_key(
-    spark: SparkSession, lake: Lake, folder: objects.Folders, glob: str, prefix: str
+    spark: SparkSession, lake: Lake, folder: objects.Folders, glob: str, prefix: str,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """(<prefix>_key, size, digest) per directory below ``folder``."""
+    """(<prefix>_key, size, digest) per directory below ``folder``; with ``wanted`` (<prefix>_key)
+    only files of those directories are read."""
     if not folder or (isinstance(folder, str) and not L.exists(spark, folder)):
         return spark.createDataFrame(
             [], f"{prefix}_key string, {prefix}_byte_size long, {prefix}_sha256 string"
         )
-    return objects.object_checksums(spark, folder, glob).select(
+    key = L.relative(lake, F.regexp_replace("file_path", "/[^/]*$", ""))
+    keep = None if wanted is None else (
+        lambda paths: paths.join(wanted, key == F.col(f"{prefix}_key"), "left_semi"))
+    return objects.object_checksums(spark, folder, glob, keep=keep).select(
         L.relative(lake, F.col("object_key")).alias(f"{prefix}_key"),
         F.col("byte_size").alias(f"{prefix}_byte_size"), F.col("sha256").alias(f"{prefix}_sha256"),
     )

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugelake import contract as C
 from gaugelake.contract import Thresholds
 from gaugelake.functions import parsing
 from gaugelake.operators import metrics, ordered, repeats, rules
@@ -72,7 +73,7 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
     from. Row numbers need only the block table. Objects whose header drifts, that are empty,
     not UTF-8 or malformed contribute no rows; they keep their row in ``objects``.
     """
-    parsed = raw.with_joined_records(lines.sparkSession, stage(parsed_lines(lines), "parsed"), parsed_lines)
+    parsed = raw.with_joined_records(lines.sparkSession, stage(parsed_lines(lines), "parsed", "zstd"), parsed_lines)
     blocks = stage(raw.block_table(parsed), "blocks")
     objects = raw.object_table(blocks)
     # One row an object: written, so that Spark knows its size and no row moves for the join.
@@ -94,11 +95,14 @@ def validate(lines: DataFrame, limits: Thresholds | None = None) -> Validated:
     judged = rules.with_object_issues(
         flagged, "source_date", "repeats_index", "repeats_timestamp"
     )
-    # Only rejected rows need their text again, so valid rows drop it before the write.
+    # Only rejected rows need their text again, so valid rows drop it before the write; typed
+    # signals are asked of valid rows only.
     rejected = ~rules.is_valid()
+    signals = (*C.ANALOGUE, *C.DIGITAL)
     rows = judged.select(
         *[c for c in judged.columns if c not in (
-            "line", "original_record", "file_path", "block_start", "scan_id")],
+            "line", "original_record", "file_path", "block_start", "scan_id", *signals)],
+        *[F.when(~rejected, F.col(name)).alias(name) for name in signals],
         F.when(rejected, F.col("original_record")).alias("original_record"),
     )
-    return Validated(objects, stage(rows, "judged"), limits or Thresholds())
+    return Validated(objects, stage(rows, "judged", "zstd"), limits or Thresholds())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ _PARENT = "/[^/]*$"
 
 
 Folders = str | list[str]
+Filter = Callable[[DataFrame], DataFrame]
 
 
 def _files(spark: SparkSession, folder: Folders, glob: str) -> DataFrame:
@@ -57,13 +60,14 @@ def object_sizes(spark: SparkSession, folder: Folders, glob: str = "*") -> DataF
 
 
 def file_checksums(
-    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES, without: DataFrame | None = None
+    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES, without: DataFrame | None = None,
+    keep: Filter | None = None,
 ) -> DataFrame:
     """(file_path, byte_size, sha256) of every file below ``folder``.
 
     Only paths travel to the tasks; a file that can't be read fails its task. Spark's file
     listing leaves out empty files, so they have no row here. Objects named in ``without``
-    (object_key) are left unread.
+    (object_key) are left unread, as are files that ``keep`` drops from the listing.
     """
     tasks = 4 * spark.sparkContext.defaultParallelism
     paths = _files(spark, folder, glob).select(
@@ -72,13 +76,16 @@ def file_checksums(
     if without is not None:
         left_out = without.select(F.col("object_key").alias("left_out"))
         paths = paths.join(left_out, F.regexp_replace("file_path", _PARENT, "") == F.col("left_out"), "left_anti")
+    if keep is not None:
+        paths = keep(paths)
     return paths.repartition(tasks, "file_path").mapInPandas(
         _digest_reader(chunk), "file_path string, byte_size long, sha256 string"
     )
 
 
 def object_checksums(
-    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES, without: DataFrame | None = None
+    spark: SparkSession, folder: Folders, glob: str, chunk: int = CHUNK_BYTES, without: DataFrame | None = None,
+    keep: Filter | None = None,
 ) -> DataFrame:
     """(object_key, byte_size, sha256, file_count) per directory.
 
@@ -90,7 +97,7 @@ def object_checksums(
         lambda e: e["sha256"],
     )
     return (
-        file_checksums(spark, folder, glob, chunk, without)
+        file_checksums(spark, folder, glob, chunk, without, keep)
         .groupBy(F.regexp_replace("file_path", _PARENT, "").alias("object_key"))
         .agg(
             F.sum("byte_size").alias("byte_size"),

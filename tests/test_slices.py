@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.functions import parsing
 from gaugelake.plans import publish, transform
+from gaugelake.plans import lake as L
 from gaugelake.plans.lake import Lake
 from gaugelake.sources import raw, tables
 
@@ -47,3 +48,34 @@ def parsing_fields(record):
 def test_one_line_end_is_taken(spark):
     frame = spark.createDataFrame([("a\r\n",), ("a",), ("",)], "t string")
     assert [r[0] for r in frame.select(parsing.without_newline(F.col("t"))).collect()] == ["a\r", "a", ""]
+
+
+def test_rejected_rows_stage_no_signals_and_only_wanted_folders_are_digested(spark, tmp_path):
+    lake = Lake(str(tmp_path))
+    lines = day_lines("2020-02-01", 20, 0)
+    write_object(lake.raw, "2020-02-01", [*lines[:19], lines[18]])
+    result = transform.validate(raw.read_lines(spark, lake.raw))
+    kept = result.staged.select(F.size("issues").alias("n"), "tp2", "comp", "original_record").collect()
+    assert sorted(r.n > 0 for r in kept) == [False] * 18 + [True] * 2
+    assert all((r.tp2 is None and r.comp is None) == (r.n > 0) == (r.original_record is not None) for r in kept)
+    publish.publish_days(spark, lake, RUN)
+    stray = tmp_path / "quarantine/source=telemetry/source_date=2020-02-01/input_id=other"
+    stray.mkdir()
+    (stray / "part-0.json").write_text("{}\n")
+    every = publish.objects_by_key(spark, lake, lake.quarantine, "*.json", "quarantine")
+    assert every.count() == 2
+    key = every.where(~F.col("quarantine_key").endswith("=other")).select("quarantine_key")
+    found = publish.objects_by_key(spark, lake, lake.quarantine, "*.json", "quarantine", key).collect()
+    assert [(r.quarantine_key, len(r.quarantine_sha256)) for r in found] == [(key.first()[0], 64)]
+    assert L.existing(spark, [f"{tmp_path}/none", str(stray), lake.raw]) == [str(stray), lake.raw]
+
+
+def test_many_rejected_rows_get_more_slices(spark, tmp_path, monkeypatch):
+    """Slices follow what rows take as text, not the size of their compressed table."""
+    asked = []
+    monkeypatch.setattr(publish, "partitions_for", lambda spark, size: asked.append(size) or 2)
+    lake = Lake(str(tmp_path))
+    lines = day_lines("2020-02-01", 20, 0)
+    write_object(lake.raw, "2020-02-01", [*lines, *lines[:5]])
+    publish.publish_days(spark, lake, RUN)
+    assert asked == [15 * 200 + 10 * 800]
