@@ -15,7 +15,7 @@ from gaugelake.operators import selection as S
 from gaugelake.plans import lake as L
 from gaugelake.plans import publish
 from gaugelake.plans.lake import Lake
-from gaugelake.session import partitions_for, stage, together
+from gaugelake.session import partitions_for, share_listings, stage, together
 from gaugelake.sources import objects, tables
 
 RUN = ["year", "month", "run_id"]
@@ -134,6 +134,7 @@ def compact_months(
     carries its findings and holds up no other. Running again with the same inputs writes
     nothing.
     """
+    share_listings(spark)
     limits = bounds or CompactionBounds()
     months = S.month_table(spark, known_start, known_end)
     chosen = S.selected_inputs(L.manifests(spark, lake)) if selection is None else selection

@@ -15,7 +15,7 @@ from gaugelake.operators import resume, rules
 from gaugelake.plans import lake as L
 from gaugelake.plans import transform
 from gaugelake.plans.lake import Lake
-from gaugelake.session import partitions_for, stage, together
+from gaugelake.session import partitions_for, share_listings, stage, together
 from gaugelake.sources import objects, raw, tables
 
 
@@ -213,6 +213,7 @@ def publish_days(
     so a reader that goes through the ledger never sees a day half done. Objects over the
     run's size limit are refused by their listed size; their bodies are not read.
     """
+    share_listings(spark)
     large = too_large(spark, lake, run, folders)
     decided = stage(decide(spark, lake, run, force, folders, large), "decisions")
     legacy = decided.where(F.col("status") == "manifest_upgraded")
@@ -344,6 +345,21 @@ def commit(
     spark: SparkSession, lake: Lake, run: Run, result: transform.Validated, accepted: DataFrame
 ) -> None:
     """Write interval rows, then the manifest rows that make the days visible."""
+    within = result.intervals.join(accepted.select("object_key", "source_date"), "object_key").select(
+        "source_date", "seconds", "interval_count"
+    )
+    # The files are digested meanwhile.
+    manifest, _ = together(
+        spark,
+        lambda: stage(manifest_rows(spark, lake, run, accepted), "manifest"),
+        lambda: L.write_ledger(within, lake.control("daily_interval"), "source_date"),
+    )
+    # The last write is the commit.
+    L.write_ledger(manifest, lake.control("daily_manifest"), "source_date")
+
+
+def manifest_rows(spark: SparkSession, lake: Lake, run: Run, accepted: DataFrame) -> DataFrame:
+    """Ledger rows of accepted days from their metrics and the files written for them."""
     keyed = accepted.withColumn(
         "staging_key", L.staging_key(lake, F.col("source_date"), F.col("input_id"))
     ).withColumn("quarantine_folder", L.quarantine_key(lake, F.col("source_date"), F.col("input_id")))
@@ -372,16 +388,7 @@ def commit(
     ).withColumn("quarantine_byte_size", F.coalesce("quarantine_byte_size", F.lit(0))).withColumn(
         "staging_byte_size", F.coalesce("staging_byte_size", F.lit(0))
     )
-    dates = accepted.select("object_key", "source_date")
-    within = result.intervals.join(dates, "object_key").select(
-        "source_date", "seconds", "interval_count"
-    )
-    L.write_ledger(within, lake.control("daily_interval"), "source_date")
-    # The last write is the commit.
-    L.write_ledger(
-        manifest.select(*[f.name for f in L.MANIFEST_SCHEMA]),
-        lake.control("daily_manifest"), "source_date",
-    )
+    return manifest.select(*[f.name for f in L.MANIFEST_SCHEMA])
 
 
 def objects_by_key(
